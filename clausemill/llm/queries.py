@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, secrets, simhash
+from . import decontaminate, langid, packing, quality, secrets, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, samples)
     held_out = F.coalesce(langid.remainder(F.col("id"), 4) == 2, F.lit(False))
     return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in global random order, in eight shards whose row counts are at most one apart."""
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+    text = F.coalesce("text", F.lit(""))
+    return placed.select(
+        F.col("id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and the divergence verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.judge(docs, quality.references(docs))
+    return found.select(F.col("id").alias("doc_id"), *quality.NAMES)
