@@ -45,9 +45,13 @@ def batches(schema: pa.Schema, rows: Iterator[dict[str, list]]) -> Iterator[pa.R
         yield pa.RecordBatch.from_pydict(columns, schema=schema)
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Join condition: equal in all the named columns, nulls equal to nulls."""
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+def join_on(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys equal each other; the keys appear once, and either side may stem from the other."""
+    right = right.select(*[F.col(c).alias(f"_right_{c}") if c in on else F.col(c) for c in right.columns])
+    joined = left.join(right, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]), how)
+    if how == "full":
+        joined = joined.withColumns({c: F.coalesce(c, f"_right_{c}") for c in on})
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{c}" for c in on])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, quality, secrets, sharding, simhash
+from . import chat, decontaminate, langid, licenses, packing, quality, secrets, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,27 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.judge(docs, quality.references(docs))
     return found.select(F.col("id").alias("doc_id"), *quality.NAMES)
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *licenses.NAMES)
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message, call and result of all conversations as canonical JSON, with links and order."""
+    found = chat.messages(table(spark, sf_dir, "conversations"))
+    return found.select(F.col("conv").alias("conv_id"), "turn", "part", "kind", "call_id", "linked", "level", "place", F.array_join("problems", ",").alias("problems"), "json")
+
+
+#: Of the tables here no turn holds tool calls or results; the SQL gives the rows of plain messages, and fails where there are others.
+ORACLES["op7_chat_format"] = r"""
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS part,
+    CASE WHEN role IN ('assistant', 'tool') AND ltrim(text) LIKE '{%' AND text LIKE '%"tool_call%' THEN error('tool turns') ELSE 'message' END AS kind,
+    CAST(NULL AS VARCHAR) AS call_id, FALSE AS linked, CAST(0 AS INTEGER) AS level, turn AS place, '' AS problems,
+    CAST(to_json({'content': coalesce(text, ''), 'role': coalesce(role, '')}) AS VARCHAR) AS json
+FROM conversations
+"""
