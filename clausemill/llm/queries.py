@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, packing, quality, secrets, sharding, simhash
+from . import chat, decontaminate, langid, licenses, lm, packing, quality, secrets, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,11 @@ SELECT conv_id, turn, CAST(0 AS INTEGER) AS part,
     CAST(to_json({'content': coalesce(text, ''), 'role': coalesce(role, '')}) AS VARCHAR) AS json
 FROM conversations
 """
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and attention-model scores of all documents, learned from six sevenths of them."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = lm.score(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, modulus=7, held=2)
+    return found.withColumnRenamed("id", "doc_id")
