@@ -144,15 +144,69 @@ def train(params: dict[str, np.ndarray], texts: list[np.ndarray], start: int, pa
     return recent
 
 
-def log_probabilities(params: dict[str, np.ndarray], texts: list[np.ndarray], start: int, pad: int, block: int = 1024) -> np.ndarray:
-    """Natural log probability of each text's class ids."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ids, begins = np.concatenate(texts) if texts else np.zeros(0, np.int64), np.cumsum(sizes) - sizes
-    text, first = windows(sizes)
-    out = np.zeros(len(texts))
-    for at in range(0, len(text), block):
-        own = text[at : at + block]
-        x, y, exists = gather(ids, begins, sizes, own, first[at : at + block], start, pad)
-        z = forward(params, x)[0][np.arange(y.size), y.ravel()].reshape(y.shape)
-        np.add.at(out, own, np.where(exists, z, 0).sum(axis=1, dtype=np.float64))
-    return out
+class Scorer:
+    """Scores texts with fixed parameters. Keys, values and queries depend on an id and its place only, so they are
+    looked up; bias and the sums of the softmaxes ride along in the matrix products."""
+
+    def __init__(self, p: dict[str, np.ndarray], start: int, pad: int):
+        self.start, self.pad = start, pad
+        early = p["P"]
+        late = early[WIDTH - STEP :]
+        self.key, self.key_at = p["E"] @ p["Wk"], early @ p["Wk"]
+        self.value = np.concatenate([p["E"] @ p["Wv"] @ p["Wo"], np.ones((len(p["E"]), 1), np.float32)], axis=1)
+        self.value_at = np.concatenate([early @ p["Wv"] @ p["Wo"], np.zeros((WIDTH, 1), np.float32)], axis=1)
+        scale = np.float32(DIM**-0.5)
+        self.query, self.query_at = p["E"] @ p["Wq"] * scale, late @ p["Wq"] * scale
+        self.own, self.own_at = p["E"], late
+        self.W1, self.b1, self.W2 = p["W1"], p["b1"], p["W2"]
+        self.U = np.concatenate([p["U"], p["c"][None, :]]).astype(np.float32)
+        self.seen = np.ascontiguousarray(MASK == 0).astype(np.float32)
+
+    def block(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of the targets y (windows, STEP) after the inputs x (windows, WIDTH)."""
+        n, late = len(x), x[:, WIDTH - STEP :]
+        s = (self.query[late] + self.query_at) @ (self.key[x] + self.key_at).transpose(0, 2, 1)
+        np.minimum(s, 60, out=s)  # far above what training reaches; keeps exp finite
+        np.exp(s, out=s)
+        s *= self.seen
+        o = s @ (self.value[x] + self.value_at)
+        h = (self.own[late] + self.own_at + o[:, :, :DIM] / np.maximum(o[:, :, DIM:], np.float32(1e-30))).reshape(n * STEP, DIM)
+        m = h @ self.W1
+        m += self.b1
+        np.maximum(m, 0, out=m)
+        g = np.ones((n * STEP, DIM + 1), np.float32)
+        g[:, :DIM] = h + m @ self.W2
+        z = g @ self.U
+        picked = z[np.arange(len(z)), y.ravel()]
+        top = z.max()
+        if top > 80 or top < -80:
+            shift = z.max(axis=1)
+            return (picked - shift - np.log(np.exp(z - shift[:, None]).sum(axis=1))).reshape(y.shape)
+        np.exp(z, out=z)
+        return (picked - np.log(z @ np.ones(z.shape[1], np.float32))).reshape(y.shape)
+
+    def score(self, texts: list[np.ndarray], block: int = 128) -> np.ndarray:
+        """Natural log probability of each text's ids."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        lanes = -(-sizes // STEP)
+        # of each text: pads, the start, its ids, and zeros up to whole steps
+        room = lanes * STEP + WIDTH - STEP + 1
+        begins = np.cumsum(room) - room
+        flat_ids = np.full(int(room.sum()), self.pad, np.int32)
+        ids = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        inside = np.arange(len(ids)) + np.repeat(begins + WIDTH - STEP + 1 - (np.cumsum(sizes) - sizes), sizes)
+        flat_ids[inside] = ids
+        flat_ids[begins[sizes > 0] + WIDTH - STEP] = self.start
+        text, first = windows(sizes)
+        at = (begins[text] + first).astype(np.int64)
+        out = np.zeros(len(text))
+        steps = np.arange(WIDTH)
+        for k in range(0, len(text), block):
+            base = at[k : k + block, None]
+            x = flat_ids[base + steps]
+            y = flat_ids[base + steps[WIDTH - STEP :] + 1]
+            got = self.block(x, np.minimum(y, self.U.shape[1] - 1))
+            left = sizes[text[k : k + block]] - first[k : k + block]
+            got[np.arange(STEP)[None, :] >= left[:, None]] = 0
+            out[k : k + block] = got.sum(axis=1, dtype=np.float64)
+        return np.bincount(text, weights=out, minlength=len(texts))

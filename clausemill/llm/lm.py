@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import attention
 from .common import utf8, written
 
-CLASSES, CHUNK_BYTES, START_DOCS, START_STEPS, SHARE, BUCKET_DOCS, PIECE = 128, 16 << 20, 400, 500, 16, 1000, 200
+CLASSES, CHUNK_BYTES, START_DOCS, START_STEPS, SHARE, BUCKET_DOCS, PIECE = 256, 16 << 20, 400, 500, 16, 1000, 200
 END = b""  # as a word
 
 
@@ -188,6 +188,7 @@ class Lexicon:
 
     def __init__(self, vocabulary: Vocabulary, words: list[bytes], counts: list[int]):
         self.v, coder = vocabulary, subwords(vocabulary.path, vocabulary.pattern)
+        self.scorer = attention.Scorer(vocabulary.params, CLASSES, CLASSES + 1)
         self.number = {w: n for n, w in enumerate(words)}
         ids = [coder.encode(w) for w in words]
         self.sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -216,7 +217,7 @@ class Lexicon:
                 where = np.arange(int(sizes.sum())) + np.repeat(self.begins[n] - (np.cumsum(sizes) - sizes), sizes)
                 coded.append(self.classes[where])
                 some.append((len(words), int(self.known[n].sum()), float(self.base[n].sum()), float(self.member[n].sum())))
-            logs = attention.log_probabilities(self.v.params, coded, CLASSES, CLASSES + 1)
+            logs = self.scorer.score(coded)
             rows += [(*x[:3], (x[3] + y) / math.log(10)) for x, y in zip(some, logs.tolist(), strict=True)]
             at = end
         columns = list(zip(*rows, strict=True))
