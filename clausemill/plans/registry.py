@@ -5,11 +5,396 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import kernels as K
+from ..functions import text as T
+from ..kernels.words import FUNCTION_WORDS
+from ..operators import corpus, evaluate, extract, search, subwords, tagging
+from ..session import table
+from ..sources.readers import html_text
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+#: Searches over `documents`, one of each kind; words of its four languages.
+SEARCHES = {
+    "Q01": "worthless", "Q02": "the", "Q03": '"in the"', "Q04": "of the", "Q05": '"de la"', "Q06": '"and in the"', "Q07": "the AND der", "Q08": '"of the" AND and',
+    "Q09": "idiot OR scum", "Q10": "que OR die OR les", "Q11": "the NOT of", "Q12": "NOT the", "Q13": "NOT NOT scum", "Q14": "the NOT OR und", "Q15": '"zzz qqq" OR "license"',
+}
+WORDS_SQL = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
+TOKENS_SQL = f"tok AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS term FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents))"
+LINES_SQL = "ln AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
+SENTS_SQL = f"{LINES_SQL}, sent AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[a-z]+') AS w FROM ln WHERE len(regexp_extract_all(lower(line), '[a-z]+')) > 0)"
+STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(FUNCTION_WORDS))
+GRAMS_SQL = (
+    f"{SENTS_SQL}, g AS (SELECT n, doc_id, line_no, i, w[i : i + n - 1] AS gram FROM (SELECT n, doc_id, line_no, w, unnest(range(1, len(w) - n + 2)) AS i "
+    "FROM sent, range(1, 6) r(n) WHERE len(w) >= n)), c AS (SELECT n, gram, count(*) AS frequency, min((doc_id, line_no, i)) AS first_seen FROM g GROUP BY n, gram)"
+)
+MEANINGFUL_SQL = f"(gram[1] NOT IN ({STOP_SQL}) AND gram[-1] NOT IN ({STOP_SQL}))"
+NATIVE = {"whitespace": T.whitespace_tokens, "wordpunct": T.word_punct_tokens, "word": T.word_tokens}
+NATIVE_SQL = (
+    "t AS (SELECT 'whitespace' AS tokenizer, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS token FROM documents "
+    "UNION ALL SELECT 'wordpunct', unnest(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_\\p{M}]+|[^\\p{L}\\p{N}_\\p{M}\\s]+')) FROM documents "
+    "UNION ALL SELECT 'word', unnest(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_\\p{M}]+')) FROM documents)"
+)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.build_index(corpus.tokens(documents(spark, sf_dir)))
+
+
+def ascii_terms(text: str) -> list[str]:
+    import re
+
+    return re.findall("[a-z]+", text.lower())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query that entry() runs."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    """Documents with the phrase `in the` and the word `and`, ranked."""
+    docs = documents(spark, sf_dir)
+    return search.search(search.build_index(corpus.tokens(docs)), docs.select("doc_id"), '"in the" AND and', ascii_terms)
+
+
+def _found(names: list[str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = documents(spark, sf_dir)
+        return search.search_all(search.build_index(corpus.tokens(docs)), docs.select("doc_id"), {n: SEARCHES[n] for n in names}, ascii_terms)
+
+    return run
+
+
+def _search_sql(names: list[str]) -> str:
+    """The same searches from the parsed queries: one CTE of hits per operand, set algebra, and ranking."""
+    from ..kernels.query import operands, parse
+
+    ctes, results, terms = [TOKENS_SQL], [], []
+    for name in names:
+        groups = []
+        for g, conjunction in enumerate(parse(SEARCHES[name])):
+            parts = []
+            for o, operand in enumerate(conjunction):
+                words = ascii_terms(operand.text)
+                cte = f"{name}_{g}_{o}"
+                joins = " ".join(f"JOIN tok t{k} ON t{k}.doc_id = t0.doc_id AND t{k}.pos = t0.pos + {k} AND t{k}.term = '{w}'" for k, w in enumerate(words) if k)
+                ctes.append(f"{cte} AS (SELECT DISTINCT t0.doc_id FROM tok t0 {joins} WHERE t0.term = '{words[0]}')")
+                parts.append(f"doc_id {'NOT ' if operand.negated else ''}IN (SELECT doc_id FROM {cte})")
+            groups.append("(" + " AND ".join(parts) + ")")
+        results.append(f"SELECT '{name}' AS query_id, doc_id FROM documents WHERE {' OR '.join(groups)}")
+        terms += [f"('{name}', {k}, '{w}')" for k, w in enumerate(w for t in operands(SEARCHES[name]) for w in ascii_terms(t))]
+    ctes.append("hits AS (SELECT DISTINCT query_id, doc_id FROM (" + " UNION ALL ".join(results) + "))")
+    ctes.append("q(query_id, k, term) AS (VALUES " + ", ".join(terms) + ")")
+    ctes.append("tf AS (SELECT term, doc_id, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY term, doc_id)")
+    ctes.append("wt AS (SELECT term, doc_id, (1 + ln(tf)) * ln((SELECT count(DISTINCT doc_id) FROM documents) / count(*) OVER (PARTITION BY term)) AS w FROM tf)")
+    ctes.append("sc AS (SELECT h.query_id, h.doc_id, coalesce(sum(w ORDER BY k), 0.0) AS score FROM hits h LEFT JOIN (SELECT q.query_id, q.k, wt.doc_id, wt.w FROM q JOIN wt ON q.term = wt.term) p ON p.query_id = h.query_id AND p.doc_id = h.doc_id GROUP BY h.query_id, h.doc_id)")
+    return "WITH " + ", ".join(ctes) + " SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM sc"
+
+
+for _name, _ids in {
+    "search_term": ["Q01", "Q02"], "search_phrase": ["Q03", "Q04", "Q05", "Q06"], "search_and": ["Q07", "Q08"], "search_or": ["Q09", "Q10", "Q15"],
+    "search_not": ["Q11", "Q12", "Q13", "Q14"], "search_batch": list(SEARCHES),
+}.items():
+    QUERIES[_name], ORACLES[_name] = _found(_ids), _search_sql(_ids)
+
+
+# ---- tokens and statistics ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {NATIVE_SQL} SELECT tokenizer, count(*) AS tokens, count(DISTINCT token) AS token_dictionary, count(DISTINCT CASE WHEN regexp_matches(token, '[\\p{{L}}\\p{{N}}_\\p{{M}}]') THEN lower(token) END) AS term_dictionary, 100.0 * (1 - count(DISTINCT CASE WHEN regexp_matches(token, '[\\p{{L}}\\p{{N}}_\\p{{M}}]') THEN lower(token) END) / greatest(count(DISTINCT token), 1)) AS reduction_pct FROM t GROUP BY tokenizer")
+def tokenizer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.tokenizer_table(documents(spark, sf_dir), NATIVE)
+
+
+@query(f"WITH {NATIVE_SQL} SELECT tokenizer, CAST(count(*) FILTER (NOT regexp_matches(token, '[\\p{{L}}\\p{{N}}_\\p{{M}}]')) AS BIGINT) AS punctuation_only, CAST(count(*) FILTER (token IN ('₹', 'Rs', 'Rs.', 'INR')) AS BIGINT) AS bare_currency_symbol, CAST(count(*) FILTER (token = '-') AS BIGINT) AS hyphen_fragments, count(DISTINCT CASE WHEN regexp_full_match(token, '\\p{{L}}+') THEN token END) - count(DISTINCT CASE WHEN regexp_full_match(token, '\\p{{L}}+') THEN lower(token) END) AS case_duplicates, CAST(count(*) FILTER (regexp_full_match(token, '\\p{{L}}')) AS BIGINT) AS single_char_tokens FROM t GROUP BY tokenizer")
+def tokenizer_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.tokenizer_problems(documents(spark, sf_dir), NATIVE)
+
+
+@query(f"WITH {SENTS_SQL}, d AS (SELECT doc_id, length(coalesce(text, '')) AS characters FROM documents), s AS (SELECT doc_id, count(*) AS sentences, sum(len(w)) AS tokens FROM sent GROUP BY doc_id), v AS (SELECT doc_id, unnest(w) AS word FROM sent), vd AS (SELECT doc_id, count(DISTINCT word) AS vocabulary FROM v GROUP BY GROUPING SETS ((doc_id), ())) SELECT d.doc_id, CAST(coalesce(sentences, 0) AS BIGINT) AS sentences, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, characters, coalesce(vocabulary, 0) AS vocabulary FROM d LEFT JOIN s USING (doc_id) LEFT JOIN vd USING (doc_id) UNION ALL SELECT NULL, CAST((SELECT sum(sentences) FROM s) AS BIGINT), CAST((SELECT sum(tokens) FROM s) AS BIGINT), CAST((SELECT sum(characters) FROM d) AS BIGINT), (SELECT vocabulary FROM vd WHERE doc_id IS NULL)")
+def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.document_statistics(documents(spark, sf_dir))
+
+
+@query(f"WITH {TOKENS_SQL} (SELECT 'common' AS category, term AS word, count(*) AS n FROM tok WHERE length(term) >= 4 GROUP BY term ORDER BY n DESC, min((doc_id, pos)) LIMIT 8) UNION ALL (SELECT 'rare', term, count(*) AS n FROM tok WHERE length(term) >= 4 GROUP BY term HAVING count(*) = 1 ORDER BY term LIMIT 8)")
+def common_and_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = corpus.word_frequencies(documents(spark, sf_dir))
+    common, rare = corpus.common_words(f), corpus.rare_words(f)
+    return common.select(F.lit("common").alias("category"), "word", "n").unionByName(rare.select(F.lit("rare").alias("category"), "word", "n"))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT DISTINCT term FROM tok")
+def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.tokens(documents(spark, sf_dir)).select("term").distinct()
+
+
+def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.ngram_counts(corpus.sentence_tokens(documents(spark, sf_dir)))
+
+
+@query(f"WITH {GRAMS_SQL} SELECT CAST(n AS INTEGER) AS n, CAST(sum(frequency) AS BIGINT) AS total, count(*) AS unique_grams, CAST(count(*) FILTER (frequency >= 2 AND {MEANINGFUL_SQL}) AS BIGINT) AS meaningful_grams FROM c GROUP BY n")
+def ngram_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.ngram_summary(_grams(spark, sf_dir))
+
+
+@query(f"WITH {GRAMS_SQL} SELECT CAST(n AS INTEGER) AS n, CAST(row_number() OVER (PARTITION BY n ORDER BY frequency DESC, first_seen) AS INTEGER) AS rank, array_to_string(gram, ' ') AS ngram, frequency FROM c QUALIFY rank <= 10")
+def top_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.top_ngrams(_grams(spark, sf_dir))
+
+
+@query(f"WITH {GRAMS_SQL} SELECT CAST(n AS INTEGER) AS n, CAST(row_number() OVER (PARTITION BY n ORDER BY frequency DESC, first_seen) AS INTEGER) AS rank, array_to_string(gram, ' ') AS ngram, frequency FROM c WHERE n >= 2 AND frequency >= 2 AND {MEANINGFUL_SQL} QUALIFY rank <= 10")
+def top_meaningful_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.top_ngrams(corpus.meaningful(_grams(spark, sf_dir)).where("n >= 2 and frequency >= 2 and meaningful"))
+
+
+@query(f"WITH {GRAMS_SQL} SELECT array_to_string(gram, ' ') AS ngram, frequency, {MEANINGFUL_SQL} AS meaningful FROM c WHERE n = 2")
+def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = corpus.ngram_counts(corpus.sentence_tokens(documents(spark, sf_dir)), (2,))
+    return corpus.meaningful(counts).select(F.array_join("gram", " ").alias("ngram"), "frequency", "meaningful")
+
+
+@query(f"WITH {GRAMS_SQL}, z AS (SELECT n, count(*) AS size FROM c GROUP BY n) SELECT CAST(n AS INTEGER) AS n, size, size / (SELECT size FROM z WHERE n = 1) AS growth FROM z")
+def dictionary_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.dictionary_growth(_grams(spark, sf_dir))
+
+
+@query(f"WITH {TOKENS_SQL}, a AS (SELECT * FROM tok WHERE term NOT IN ({STOP_SQL})) SELECT *, 100.0 * (after - before) / before AS change_pct FROM (SELECT 'tokens' AS measure, (SELECT count(*) FROM tok) AS before, (SELECT count(*) FROM a) AS after UNION ALL SELECT 'vocabulary', (SELECT count(DISTINCT term) FROM tok), (SELECT count(DISTINCT term) FROM a))")
+def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = corpus.tokens(documents(spark, sf_dir))
+    return corpus.before_after(words, words.where(~F.col("term").isin(corpus.MEANINGLESS)))
+
+
+# ---- cleaning ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LINES_SQL}, s AS (SELECT doc_id, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM ln) SELECT doc_id, line, count(*) AS n FROM s WHERE length(line) > 0 AND length(line) < 60 GROUP BY doc_id, line HAVING count(*) >= 3")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.repeated_lines(documents(spark, sf_dir))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?im)^[ \t]*page[ \t]+[0-9]+([ \t]+of[ \t]+[0-9]+)?[ \t]*$', '', 'g'), '(?m)^[ \t]*[0-9]+[ \t]*$', '', 'g'), '(?m)^[ \t]*(?:[0-9]+(?:\.[0-9]+)*|[a-z]|[ivx]+)[.)][ \t]+', '', 'g'), '[ \t]+', ' ', 'g'), chr(10) || '{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
+def layout_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.collapse(T.drop_labels(T.drop_number_lines(T.drop_page_lines(T.text("text")))))
+    return documents(spark, sf_dir).select("doc_id", t.alias("text"))
+
+
+@query()
+def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", K.clean_text(F.col("text")).alias("text"))
+
+
+@query()
+def rejoined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.rejoin_lines(corpus.lines(documents(spark, sf_dir)))
+
+
+@query("SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') AS text FROM documents")
+def raw_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.raw_lower(T.text("text")).alias("text"))
+
+
+@query("SELECT doc_id, list_sort(list_filter([length(x) FOR x IN string_split(coalesce(text, ''), chr(10))], lambda n: n > 20))[CAST(floor(0.9 * (len(list_filter([length(x) FOR x IN string_split(coalesce(text, ''), chr(10))], lambda n: n > 20)) - 1)) AS INTEGER) + 1] AS width FROM documents")
+def typical_line_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = F.array_sort(F.filter(F.transform(F.split(T.text("text"), "\n"), lambda x: F.length(x)), lambda n: n > 20))
+    held = documents(spark, sf_dir).select("doc_id", lengths.alias("l"))
+    return held.select("doc_id", F.when(F.size("l") > 0, F.element_at("l", F.floor(0.9 * (F.size("l") - 1)).cast("int") + 1)).cast("long").alias("width"))
+
+
+@query()
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", K.each(html_text, "string")(F.col("html")).alias("text"))
+
+
+# ---- index and ranking -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TOKENS_SQL} SELECT term, doc_id, CAST(list(pos ORDER BY pos) AS INTEGER[]) AS positions FROM tok GROUP BY term, doc_id")
+def positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings(spark, sf_dir)
+
+
+@query(f"WITH {TOKENS_SQL} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY term")
+def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.document_frequencies(postings(spark, sf_dir))
+
+
+@query(f"WITH {TOKENS_SQL}, p AS (SELECT term, doc_id, list(pos ORDER BY pos) AS positions FROM tok GROUP BY term, doc_id) SELECT term, '{{\"df\":' || count(*) || ',\"postings\":{{' || string_agg('\"' || doc_id || '\":[' || array_to_string(positions, ',') || ']', ',' ORDER BY doc_id) || '}}}}' AS json FROM p GROUP BY term")
+def index_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.index_json(postings(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, {WORDS_SQL} AS terms FROM documents WHERE len({WORDS_SQL}) > 0")
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.token_stream(postings(spark, sf_dir))
+
+
+@query("WITH q(query_id, query) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in SEARCHES.items()) + ") SELECT query_id, query, CASE WHEN ' ' || query || ' ' LIKE '% NOT %' THEN 'Boolean NOT' WHEN ' ' || query || ' ' LIKE '% AND %' THEN 'Boolean AND' WHEN ' ' || query || ' ' LIKE '% OR %' THEN 'Boolean OR' ELSE CASE len(string_split(trim(query, '\"'), ' ')) WHEN 1 THEN 'Unigram' WHEN 2 THEN 'Bigram' WHEN 3 THEN 'Trigram' ELSE len(string_split(trim(query, '\"'), ' ')) || '-gram phrase' END END AS type FROM q")
+def query_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(SEARCHES.items()), "query_id string, query string").withColumn("type", T.query_type(F.col("query")))
+
+
+# ---- evaluation --------------------------------------------------------------------------------------------------
+
+RELEVANT_SQL = "rel AS (SELECT q.query_id, l.doc_id FROM (SELECT DISTINCT query_id FROM q) q, labels l WHERE l.quality = 1)"
+_BASE_SEARCH = _search_sql(list(SEARCHES)).rsplit(" SELECT query_id, doc_id, score", 1)
+METRICS_SQL = (
+    _BASE_SEARCH[0] + ", ranked AS (SELECT query_id, doc_id, score" + _BASE_SEARCH[1] + f"), {RELEVANT_SQL}, "
+    "b AS (SELECT coalesce(r.query_id, x.query_id) AS query_id, r.rank, x.doc_id IS NOT NULL AS is_relevant FROM ranked r FULL JOIN rel x ON r.query_id = x.query_id AND r.doc_id = x.doc_id), "
+    "k AS (SELECT query_id, CAST(count(*) FILTER (is_relevant) AS BIGINT) AS relevant, count(rank) AS retrieved, count(*) FILTER (is_relevant AND rank IS NOT NULL) AS hits, count(*) FILTER (rank <= 5) AS f, count(*) FILTER (rank <= 5 AND is_relevant) AS fh FROM b GROUP BY query_id), "
+    "m AS (SELECT query_id, relevant, retrieved, CASE WHEN retrieved > 0 THEN hits / retrieved WHEN relevant = 0 THEN 1.0 ELSE 0.0 END AS precision, CASE WHEN relevant > 0 THEN hits / relevant END AS recall, "
+    "CASE WHEN f > 0 THEN fh / f WHEN relevant = 0 THEN 1.0 ELSE 0.0 END AS p_at_k, CASE WHEN relevant > 0 THEN fh / relevant END AS r_at_k FROM k), "
+    "e AS (SELECT query_id, relevant, retrieved, precision, recall, CASE WHEN recall IS NULL THEN NULL WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1, p_at_k, r_at_k FROM m)"
+)
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _found(list(SEARCHES))(spark, sf_dir)
+    queries = search.query_table(spark, SEARCHES)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    relevant = good.withColumn("query_id", F.explode(F.array(*[F.lit(q) for q in SEARCHES])))
+    return evaluate.precision_recall(ranked, relevant, queries).join(queries.select("query_id", "type"), "query_id")
+
+
+@query(METRICS_SQL + " SELECT * FROM e")
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).drop("type")
+
+
+@query(METRICS_SQL + ", ty AS (" + ORACLES["query_types"].replace("WITH q(", "WITH q2(").replace("FROM q", "FROM q2") + ") SELECT type, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1, avg(p_at_k) AS p_at_k, avg(r_at_k) AS r_at_k FROM e JOIN ty USING (query_id) GROUP BY type")
+def evaluation_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.averages(_evaluated(spark, sf_dir), "type")
+
+
+@query("SELECT 'Q1' AS query_id, doc_id FROM documents WHERE contains(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'), 'mit license') AND NOT contains(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'), 'apache') UNION ALL SELECT 'Q2', doc_id FROM documents WHERE contains(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'), 'cc by') OR contains(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'), 'token')")
+def substring_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.substring_relevance(documents(spark, sf_dir), {"Q1": "MIT License NOT apache", "Q2": '"CC BY" OR token'})
+
+
+@query("WITH a AS (SELECT item_id AS id, unnest(string_split(lower(text), ' ')) AS t FROM benchmark), b AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM benchmark), ca AS (SELECT id, t, count(*) AS n FROM a WHERE t <> '' GROUP BY ALL), cb AS (SELECT id, t, count(*) AS n FROM b GROUP BY ALL), x AS (SELECT id, sum(least(ca.n, cb.n)) AS shared FROM ca JOIN cb USING (id, t) GROUP BY id), s AS (SELECT item_id AS id, len(list_filter(string_split(lower(text), ' '), lambda v: v <> '')) AS n, len(regexp_extract_all(lower(text), '[a-z]+')) AS m, list_filter(string_split(lower(text), ' '), lambda v: v <> '') = regexp_extract_all(lower(text), '[a-z]+') AS exact FROM benchmark) SELECT id, exact, CASE WHEN coalesce(shared, 0) = 0 THEN 0.0 ELSE 2 * (shared / n) * (shared / m) / (shared / n + shared / m) END AS f1 FROM s LEFT JOIN x USING (id)")
+def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    pairs = items.select(F.col("item_id").alias("id"), F.filter(F.split(F.lower("text"), " "), lambda x: x != "").alias("predicted"), T.ascii_words(F.col("text")).alias("gold"))
+    return evaluate.token_f1(pairs)
+
+
+@query("SELECT measure, de, en, es, fr FROM (PIVOT (UNPIVOT (SELECT lang, CAST(count(*) AS DOUBLE) AS docs, CAST(sum(n_chars) AS DOUBLE) AS chars, avg(n_chars) AS mean_chars FROM documents GROUP BY lang) ON docs, chars, mean_chars INTO NAME measure VALUE value) ON lang IN ('de', 'en', 'es', 'fr') USING first(value) GROUP BY measure)")
+def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.avg("n_chars").alias("mean_chars"))
+    return evaluate.pivoted(rows, ("docs", "chars", "mean_chars"), "lang", ["de", "en", "es", "fr"])
+
+
+# ---- morphology, extraction, tagging -----------------------------------------------------------------------------
+
+
+@query("WITH w AS (SELECT c.conv_id, c.turn, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS surface FROM (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS x FROM conversations) c), p AS (SELECT 'p' AS pipeline, surface, CASE WHEN conv_id % 2 = 0 THEN regexp_replace(surface, 's$', '') ELSE surface END AS lemma, (conv_id, turn, pos) AS ord FROM w), c AS (SELECT pipeline, surface, lemma, count(*) AS n, min(ord) AS f FROM p GROUP BY ALL) SELECT pipeline, surface, lemma FROM c QUALIFY row_number() OVER (PARTITION BY pipeline, surface ORDER BY n DESC, f) = 1")
+def lemma_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    w = turns.select("conv_id", "turn", F.posexplode(T.ascii_words(T.text("text"))).alias("pos", "surface"))
+    lemma = F.when(F.col("conv_id") % 2 == 0, F.regexp_replace("surface", "s$", "")).otherwise(F.col("surface"))
+    return corpus.lemma_map(w.select(F.lit("p").alias("pipeline"), "surface", lemma.alias("lemma"), F.struct("conv_id", "turn", "pos").alias("ord")))
+
+
+@query("SELECT event_type, arg_min(user_id, (ts, event_id)) AS user_id FROM events GROUP BY event_type")
+def first_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.first_label(table(spark, sf_dir, "events"), "event_type", "user_id", F.struct("ts", "event_id"))
+
+
+@query("WITH d AS (SELECT doc_id, unnest(range(0, len(text), 500)) AS s FROM documents), m AS (SELECT doc_id, s AS start, s + 40 AS \"end\", 'M' AS label FROM d), r AS (SELECT doc_id, s + 30 AS start, s + 60 AS \"end\", 'R' AS label FROM d WHERE s % 1000 = 0) SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = m.doc_id AND m.start < r.\"end\" AND r.start < m.\"end\") UNION ALL SELECT * FROM r")
+def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = documents(spark, sf_dir).where(F.length("text") > 0).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.length("text") - 1).cast("long"), F.lit(500).cast("long"))).alias("s"))
+    model = step.select("doc_id", F.col("s").alias("start"), (F.col("s") + 40).alias("end"), F.lit("M").alias("label"))
+    rules = step.where("s % 1000 = 0").select("doc_id", (F.col("s") + 30).alias("start"), (F.col("s") + 60).alias("end"), F.lit("R").alias("label"))
+    return extract.merge_entities(model, rules)
+
+
+@query("WITH w AS (SELECT conv_id * 1000 + turn AS sent_id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS word FROM (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS x FROM conversations)) SELECT sent_id, CAST(pos AS INTEGER) AS pos, lower(word) AS w, lower(right(word, 3)) AS suf3, coalesce(lower(lag(word) OVER s), '<S>') AS prev, coalesce(lower(lag(word, 2) OVER s), '<S>') AS prev2, coalesce(lower(lead(word) OVER s), '</S>') AS next FROM w WINDOW s AS (PARTITION BY sent_id ORDER BY pos)")
+def tagger_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    words = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), F.posexplode(F.regexp_extract_all(T.text("text"), F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "word"))
+    return tagging.features(words).select("sent_id", "pos", "w", "suf3", "prev", "prev2", "next")
+
+
+@query()
+def typed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = documents(spark, sf_dir).select("doc_id", F.posexplode(K.typed_tokens(F.col("text"))).alias("pos", "t"))
+    return each.groupBy("doc_id", "t.type").agg(F.count("*").alias("n"))
+
+
+@query()
+def hybrid_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.size(K.tokenize("hybrid")(F.col("text"))).alias("n"))
+
+
+@query()
+def rule_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.entities(documents(spark, sf_dir))
+
+
+@query()
+def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.numeric_profile(documents(spark, sf_dir))
+
+
+@query()
+def pipeline_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.pipeline_table(extract.pipeline_tokens(documents(spark, sf_dir)))
+
+
+@query()
+def pipeline_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = extract.flat_tokens(extract.pipeline_tokens(documents(spark, sf_dir), ("Final Pipeline",)))
+    return search.build_index(words, ("pipeline",))
+
+
+@query()
+def stemming_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.stemming_tests(spark)
+
+
+@query()
+def stop_word_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.stop_word_order(corpus.tokens(documents(spark, sf_dir)))
+
+
+@query()
+def obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.obligations(extract.annotations(documents(spark, sf_dir)))
+
+
+@query()
+def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.noun_phrases(extract.annotations(documents(spark, sf_dir)))
+
+
+@query()
+def subword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    f = corpus.word_frequencies(docs)
+    merges = subwords.learn_merges(subwords.pre_tokens(docs), vocabulary=500)
+    return subwords.subword_table(corpus.common_words(f), corpus.rare_words(f), merges)
+
+
+@query("SELECT event_type, epoch_us(time_bucket(INTERVAL 1 hour, ts)) AS started, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.ingest import windowed_events as windowed
+
+    return windowed(table(spark, sf_dir, "events")).select("event_type", F.unix_micros(F.col("window.start").cast("timestamp")).alias("started"), "n", "total")
+
+
