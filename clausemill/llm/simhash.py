@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, utf8
+from .common import checkpoint, components, small, utf8
 
 SEED = 42
 BITS = 64
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id"
     """(id, fp long) for every row."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in small(parts):
             fps = [fingerprint(shingle_hashes(t, shingle_words)) for t in utf8(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
@@ -101,11 +101,22 @@ def _exceeds(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.nd
     return above
 
 
-def sliced_counts(plane: Callable[[int], np.ndarray], radius: int) -> tuple[list[np.ndarray], np.ndarray] | None:
-    """Adds the 64 XOR planes into carry-save counters; (counters, lanes over the radius), or None if all are."""
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _beyond(n: int) -> np.ndarray:
+    """Words with ones in the lanes from n on, which only fill up the last word."""
+    words = np.zeros(-(-n // 64), np.uint64)
+    if n % 64:
+        words[-1] = ALL << np.uint64(n % 64)
+    return words
+
+
+def sliced_counts(plane: Callable[[int], np.ndarray], n: int, radius: int) -> tuple[list[np.ndarray], np.ndarray] | None:
+    """Adds the 64 XOR planes of n lanes into carry-save counters; (counters, lanes over the radius), or None if all are."""
     first = plane(0)
     counters = [np.zeros_like(first) for _ in range(max(1, radius.bit_length()))]
-    over = np.zeros_like(first)
+    over = np.zeros_like(first) | _beyond(n)
     for b in range(BITS):
         carry = first if b == 0 else plane(b)
         for k, c in enumerate(counters):
@@ -114,7 +125,7 @@ def sliced_counts(plane: Callable[[int], np.ndarray], radius: int) -> tuple[list
                 break
         else:
             over |= carry
-        if b % 16 == 15 and _exceeds(counters, over, radius).all():
+        if b % 16 == 15 and (_exceeds(counters, over, radius) == ALL).all():
             return None
     return counters, _exceeds(counters, over, radius)
 
@@ -128,7 +139,7 @@ def pair_distances(xors: np.ndarray, radius: int) -> np.ndarray:
     if not len(xors):
         return np.zeros(0, np.uint16)
     vertical = planes(xors)
-    found = sliced_counts(lambda b: vertical[b], radius)
+    found = sliced_counts(lambda b: vertical[b], len(xors), radius)
     if found is None:
         return np.full(len(xors), radius + 1, np.uint16)
     total = sum(_unpack(c, len(xors)).astype(np.uint16) << k for k, c in enumerate(found[0]))
@@ -137,9 +148,8 @@ def pair_distances(xors: np.ndarray, radius: int) -> np.ndarray:
 
 def tile_distances(queries: np.ndarray, vertical: np.ndarray, n: int, radius: int) -> np.ndarray | None:
     """Distances of each query to the n values whose planes are given, or None if all are above the radius."""
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    masks = np.where((queries[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]) & np.uint64(1) == 1, ones, np.uint64(0))
-    found = sliced_counts(lambda b: vertical[b][None, :] ^ masks[b][:, None], radius)
+    masks = np.where((queries[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]) & np.uint64(1) == 1, ALL, np.uint64(0))
+    found = sliced_counts(lambda b: vertical[b][None, :] ^ masks[b][:, None], n, radius)
     if found is None:
         return None
     total = sum(_unpack(c, n).astype(np.uint16) << k for k, c in enumerate(found[0]))
@@ -307,7 +317,7 @@ def band_minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(words: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
+    for part in small(parts):
         whole, fps, bands = [], [], []
         for text in utf8(part.column(1)):
             hashes = shingle_hashes(text, words)
@@ -364,7 +374,7 @@ def _member_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def _agree(words: int, similarity: float, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) → (a, b) whose shingle sets have the similarity."""
-    for part in parts:
+    for part in small(parts):
         kept = []
         for left, right in zip(utf8(part.column(2)), utf8(part.column(3)), strict=True):
             x, y = np.unique(shingle_hashes(left, words)), np.unique(shingle_hashes(right, words))
