@@ -143,7 +143,8 @@ def stop_word_meaning(spark, sentences: list[str], lists: dict[str, frozenset[st
     """Each sentence as each stop list leaves it."""
     lists = lists or {"general": STOP_WORDS, "custom": CUSTOM_STOP_WORDS}
     own = spark.createDataFrame([(s,) for s in sentences], "sentence string").withColumn("w", F.filter(K.tokenize("treebank")(F.lower("sentence")), lambda x: x.rlike(r"^\p{L}+$")))
-    return own.select("sentence", *[F.array_join(F.filter("w", lambda x, words=sorted(words): ~x.isin(words)), " ").alias(name) for name, words in lists.items()])
+    left = lambda words: F.filter("w", lambda x: ~x.isin(sorted(words)))
+    return own.select("sentence", *[F.array_join(left(words), " ").alias(name) for name, words in lists.items()])
 
 
 def pipeline_tokens(docs: DataFrame, names: tuple[str, ...] = tuple(PIPELINES)) -> DataFrame:
