@@ -86,6 +86,7 @@ def annotations(docs: DataFrame) -> DataFrame:
 def obligations(annotated: DataFrame) -> DataFrame:
     """(doc_id, sent_id, subject, modal, negated, verb, object, type): self-joins on the head of modal verbs."""
     key = ["doc_id", "sent_id"]
+    annotated = annotated.persist()  # read by each side of the joins; annotation is the dear part
     modal = annotated.where(F.lower("text").isin(sorted(MODALS)) & (F.col("head") >= 0)).select(*key, F.col("pos").alias("modal_pos"), F.col("text").alias("modal"), F.col("head").alias("v"))
     verb = annotated.where(F.col("tag").rlike("^(VB|MD)")).select(*key, F.col("pos").alias("v"), F.col("lemma").alias("verb"))
     child = annotated.where("dep in ('nsubj', 'nsubjpass', 'neg', 'dobj', 'attr', 'oprd')").select(*key, F.col("head").alias("v"), "pos", "dep")
@@ -179,13 +180,16 @@ def pipeline_table(of_pipelines: DataFrame, seconds: dict[str, float] | None = N
     from .corpus import meaningful
 
     spark = of_pipelines.sparkSession
-    words = of_pipelines.select("pipeline", F.explode("words").alias("w")).groupBy("pipeline", "w").agg(F.count("*").alias("n"))
-    counts = words.groupBy("pipeline").agg(F.sum("n").alias("token_count"), F.count("*").alias("vocabulary"))
-    grams = of_pipelines.select("pipeline", F.explode(F.concat(T.ngrams(F.col("words"), 2), T.ngrams(F.col("words"), 3))).alias("gram")).groupBy("pipeline", "gram").agg(F.count("*").alias("frequency"))
-    good = meaningful(grams).groupBy("pipeline").agg(F.count_if((F.col("frequency") >= 2) & F.col("meaningful")).alias("meaningful_ngrams"))
+    sized = F.concat(*[F.transform(T.ngrams(F.col("words"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in (1, 2, 3)])
+    grams = of_pipelines.select("pipeline", F.explode(sized).alias("g")).groupBy("pipeline", "g.n", "g.gram").agg(F.count("*").alias("frequency"))
+    single = F.col("n") == 1
+    counts = meaningful(grams).groupBy("pipeline").agg(
+        F.sum(F.when(single, F.col("frequency"))).alias("token_count"), F.count_if(single).alias("vocabulary"),
+        F.count_if(~single & (F.col("frequency") >= 2) & F.col("meaningful")).alias("meaningful_ngrams"),
+    )
     rows = [(n, i, *(probes_kept(n)[k] for k in ("domain_terms", "negations")), (seconds or {}).get(n)) for i, n in enumerate(PIPELINES)]
     probes = spark.createDataFrame(rows, "pipeline string, ord int, domain_terms int, negations int, seconds double")
-    return probes.join(counts, "pipeline").join(good, "pipeline", "left").fillna({"meaningful_ngrams": 0})
+    return probes.join(counts, "pipeline")
 
 
 def lemma_table(spark, words: list[str]) -> DataFrame:
