@@ -41,9 +41,11 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def batches(schema: pa.Schema, rows: Iterator[dict[str, list]]) -> Iterator[pa.RecordBatch]:
-    for columns in rows:
-        yield pa.RecordBatch.from_pydict(columns, schema=schema)
+def small(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are held twice."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
 
 
 def join_on(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

@@ -30,13 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS, CHARS, LEAST_SHARE, SYMBOLS, LANE, BLOCK = 128, 512, 0.001, 64, 2048, 4_000_000
+from .common import small
+
+ROWS, CHARS, LEAST_SHARE, SYMBOLS, LANE, BLOCK = 128, 512, 0.001, 64, 2048, 2_000_000
 UNKNOWN = "und"
 
 
-def automaton(codes: list[int]) -> np.ndarray:
-    """Transition table of the codes' suffix automaton: entry [state * SYMBOLS + code] is
-    (next state * SYMBOLS) * 2 + 1 if a new phrase begins there, without the 1 if the match goes on."""
+def automaton(codes: list[int], symbols: int = SYMBOLS) -> np.ndarray:
+    """Transition table of the codes' suffix automaton: entry [state * symbols + code] is
+    (next state * symbols) * 2 + 1 if a new phrase begins there, without the 1 if the match goes on."""
     nxt: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
     for c in codes:
@@ -62,13 +64,13 @@ def automaton(codes: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    start = np.ones(SYMBOLS, np.int32)
+    start = np.ones(symbols, np.int32)
     for c, to in nxt[0].items():
-        start[c] = to * SYMBOLS * 2 + 1
+        start[c] = to * symbols * 2 + 1
     table = np.tile(start, (len(nxt), 1))
     for state, steps in enumerate(nxt):
         for c, to in steps.items():
-            table[state, c] = to * SYMBOLS * 2
+            table[state, c] = to * symbols * 2
     return table.reshape(-1)
 
 
@@ -82,7 +84,7 @@ class Model:
         for point in range(0x110000):
             if (c := chr(point)).isalpha():
                 self.code[point] = code.get(c.lower(), 1)
-        self.tables = [automaton(self.codes(text).tolist()) for _, text in samples]
+        self.tables = [automaton(self.codes(text).tolist(), len(common) + 2) for _, text in samples]
 
     def codes(self, text: str) -> np.ndarray:
         got = self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
@@ -133,7 +135,7 @@ class Model:
         return names, scores
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(samples)
 
@@ -161,19 +163,24 @@ def learn(labelled: DataFrame, rows: int = ROWS, chars: int = CHARS, least_share
     return tuple((lang, "\n".join(parts)) for lang, parts in sorted(texts.items()))
 
 
+def blockwise(samples: tuple[tuple[str, str], ...], texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Predictions in blocks of about BLOCK characters, which bounds memory."""
+    names, scores, at = [], [], 0
+    while at < len(texts):
+        size, end = 0, at
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= BLOCK):
+            size += len(texts[end] or "")
+            end += 1
+        got = model(samples).predict(texts[at:end])
+        names += got[0]
+        scores += got[1]
+        at = end
+    return names, scores
+
+
 def _predict(samples: tuple[tuple[str, str], ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        texts = part.column(1).to_pylist()
-        names, scores, at = [], [], 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end] or "") <= BLOCK):
-                size += len(texts[end] or "")
-                end += 1
-            got = model(samples).predict(texts[at:end])
-            names += got[0]
-            scores += got[1]
-            at = end
+    for part in small(parts, 1024):
+        names, scores = blockwise(samples, part.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
 
@@ -189,12 +196,10 @@ def remainder(id_column: Column, modulus: int) -> Column:
 
 
 def _accept(samples: tuple[tuple[str, str], ...], text_at: int, least_score: float, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for at in range(0, part.num_rows, 1000):
-            some = part.slice(at, 1000)
-            names, scores = model(samples).predict(some.column(text_at).to_pylist())
-            kept = [n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)]
-            yield some.filter(pa.array(kept, pa.bool_()))
+    for part in small(parts, 1024):
+        names, scores = blockwise(samples, part.column(text_at).to_pylist())
+        kept = [n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)]
+        yield part.filter(pa.array(kept, pa.bool_()))
 
 
 def accept(docs: DataFrame, samples: tuple[tuple[str, str], ...], least_score: float = 0.0, text_col: str = "text") -> DataFrame:

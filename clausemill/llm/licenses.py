@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small, utf8
 from .license_rules import build
 
 #: phrase → label
@@ -102,7 +102,7 @@ NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels"
 
 def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-    for part in parts:
+    for part in small(parts):
         rows = [scanner().scan(t) for t in utf8(part.column(1))]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["id", *NAMES])

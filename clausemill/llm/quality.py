@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small, utf8
 
 #: Function words of some languages, one histogram bin each; all other words share the last bin.
 COMMON_WORDS = (
@@ -129,7 +129,7 @@ def base_measures(text: bytes) -> tuple[list[bytes], int, int, int, int]:
 
 def _add_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, list] = {}
-    for part in parts:
+    for part in small(parts):
         for lang, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
             entry = sums.setdefault(lang, [0, np.zeros(CHAR_BINS + WORD_BINS, np.int64)])
             entry[0] += 1
@@ -157,7 +157,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 def _judge(refs: list[tuple[str, list[int]]], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = [(np.array(bins[:CHAR_BINS]), np.array(bins[CHAR_BINS:])) for _, bins in refs]
     known = [(c, w) for c, w in known if c.sum() and w.sum()]
-    for part in parts:
+    for part in small(parts):
         out: list[tuple] = []
         for text in utf8(part.column(1)):
             words, chars, symbols, dup, repeated = base_measures(text or b"")
