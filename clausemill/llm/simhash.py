@@ -291,8 +291,8 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle_words: int = 3, id_col
 
 # ---- wide radii ------------------------------------------------------------------------------------------------
 
-#: Bands, minima in a band, and the widest distance of 64 bits that is still looked at.
-BANDS, DEPTH, WIDE = 20, 3, 20
+#: Bands, minima in a band, the widest distance of 64 bits that is still looked at, links of a member in a bucket of few.
+BANDS, DEPTH, WIDE, NEAREST, FEW = 20, 3, 20, 4, 64
 
 
 def band_minima(hashes: np.ndarray) -> np.ndarray:
@@ -330,8 +330,9 @@ def _sketch(words: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def _nearest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band, key, fp, id) sorted → (a, b): each member with its nearest predecessors in the bucket.
 
-    A member is compared with the TILE members before it and with the bucket's first TILE, by bit-sliced
-    distance; members that are near the bucket's start or each other are linked, at most two links a member.
+    A member is compared, by bit-sliced distance, with the members before it in its own TILE, the TILE before and the
+    bucket's first, and linked to the NEAREST of them, or in buckets of more than FEW members to the nearest one. So
+    the links of a member are bounded whatever the bucket's size.
     """
     for band, key, fps, ids in _member_runs(parts):
         new = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])])
@@ -339,19 +340,20 @@ def _nearest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for at, size in zip(new[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
             own, who = fps[at : at + size].view(np.uint64), ids[at : at + size]
+            links = NEAREST if size <= FEW else 1
             for q in range(0, size, TILE):
-                queries = own[q : q + TILE]
-                for back in {0, max(0, q - TILE), q}:
+                queries, got, places = own[q : q + TILE], [], []
+                for back in sorted({0, max(0, q - TILE), q}):
                     block = own[back : back + TILE]
-                    got = tile_distances(queries, planes(block), len(block), WIDE)
-                    if got is None:
-                        continue
-                    before = (back + np.arange(len(block)))[None, :] < (q + np.arange(len(queries)))[:, None]
-                    got = np.where(before, got, WIDE + 1)
-                    best = got.argmin(axis=1)
-                    hit = np.flatnonzero(got[np.arange(len(best)), best] <= WIDE)
-                    a.append(who[q + hit])
-                    b.append(who[back + best[hit]])
+                    tile = tile_distances(queries, planes(block), len(block), WIDE)
+                    got.append(np.full((len(queries), len(block)), WIDE + 1) if tile is None else tile)
+                    places.append(back + np.arange(len(block)))
+                got, place = np.concatenate(got, axis=1), np.concatenate(places)
+                got = np.where(place[None, :] < (q + np.arange(len(queries)))[:, None], got, WIDE + 1)
+                best = np.argsort(got, axis=1, kind="stable")[:, :links]
+                i, j = np.nonzero(np.take_along_axis(got, best, axis=1) <= WIDE)
+                a.append(who[q + i])
+                b.append(who[place[best[i, j]]])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
