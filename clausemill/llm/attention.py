@@ -146,44 +146,58 @@ def train(params: dict[str, np.ndarray], texts: list[np.ndarray], start: int, pa
 
 class Scorer:
     """Scores texts with fixed parameters. Keys, values and queries depend on an id and its place only, so they are
-    looked up; bias and the sums of the softmaxes ride along in the matrix products."""
+    looked up; biases and the sums of the softmaxes ride along in the matrix products."""
 
     def __init__(self, p: dict[str, np.ndarray], start: int, pad: int):
         self.start, self.pad = start, pad
-        early = p["P"]
+        early, scale = p["P"], np.float32(DIM**-0.5)
         late = early[WIDTH - STEP :]
-        self.key, self.key_at = p["E"] @ p["Wk"], early @ p["Wk"]
-        self.value = np.concatenate([p["E"] @ p["Wv"] @ p["Wo"], np.ones((len(p["E"]), 1), np.float32)], axis=1)
-        self.value_at = np.concatenate([early @ p["Wv"] @ p["Wo"], np.zeros((WIDTH, 1), np.float32)], axis=1)
-        scale = np.float32(DIM**-0.5)
-        self.query, self.query_at = p["E"] @ p["Wq"] * scale, late @ p["Wq"] * scale
-        self.own, self.own_at = p["E"], late
+        side = lambda *parts: np.ascontiguousarray(np.concatenate(parts, axis=1), np.float32)
+        # keys | values | one; queries | the ids' own embeddings
+        self.seen_by = side(p["E"] @ p["Wk"], p["E"] @ p["Wv"] @ p["Wo"], np.ones((len(p["E"]), 1)))
+        self.seen_at = side(early @ p["Wk"], early @ p["Wv"] @ p["Wo"], np.zeros((WIDTH, 1)))
+        self.asking, self.asking_at = side(p["E"] @ p["Wq"] * scale, p["E"]), side(late @ p["Wq"] * scale, late)
         self.W1, self.b1, self.W2 = p["W1"], p["b1"], p["W2"]
-        self.U = np.concatenate([p["U"], p["c"][None, :]]).astype(np.float32)
-        self.seen = np.ascontiguousarray(MASK == 0).astype(np.float32)
-
-    def block(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of the targets y (windows, STEP) after the inputs x (windows, WIDTH)."""
-        n, late = len(x), x[:, WIDTH - STEP :]
-        s = (self.query[late] + self.query_at) @ (self.key[x] + self.key_at).transpose(0, 2, 1)
-        np.minimum(s, 60, out=s)  # far above what training reaches; keeps exp finite
+        self.U = np.ascontiguousarray(np.concatenate([p["U"], p["c"][None, :]]), np.float32)
+        self.seen, self.ones = np.ascontiguousarray(MASK == 0).astype(np.float32), np.ones(self.U.shape[1], np.float32)
+
+    def block(self, x: np.ndarray, y: np.ndarray, safe: bool = False) -> np.ndarray:
+        """Natural log probabilities of the targets y (windows, STEP) after the inputs x (windows, WIDTH).
+
+        Exponentials are taken as they are; should one overflow, the block is done again with maxima subtracted.
+        """
+        n = len(x)
+        kv = self.seen_by.take(x, axis=0, mode="clip")
+        kv += self.seen_at
+        qe = self.asking.take(x[:, WIDTH - STEP :], axis=0, mode="clip")
+        qe += self.asking_at
+        s = qe[:, :, :DIM] @ kv[:, :, :DIM].transpose(0, 2, 1)
+        if safe:
+            s += MASK
+            s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
         s *= self.seen
-        o = s @ (self.value[x] + self.value_at)
-        h = (self.own[late] + self.own_at + o[:, :, :DIM] / np.maximum(o[:, :, DIM:], np.float32(1e-30))).reshape(n * STEP, DIM)
+        o = s @ kv[:, :, DIM:]
+        h = o[:, :, :DIM] / o[:, :, DIM:]
+        h += qe[:, :, DIM:]
+        h = h.reshape(n * STEP, DIM)
         m = h @ self.W1
         m += self.b1
         np.maximum(m, 0, out=m)
         g = np.ones((n * STEP, DIM + 1), np.float32)
-        g[:, :DIM] = h + m @ self.W2
+        np.matmul(m, self.W2, out=g[:, :DIM])
+        g[:, :DIM] += h
         z = g @ self.U
-        picked = z[np.arange(len(z)), y.ravel()]
-        top = z.max()
-        if top > 80 or top < -80:
-            shift = z.max(axis=1)
-            return (picked - shift - np.log(np.exp(z - shift[:, None]).sum(axis=1))).reshape(y.shape)
+        picked = z.take(np.arange(0, z.size, z.shape[1]) + y.ravel())
+        if safe:
+            top = z.max(axis=1)
+            z -= top[:, None]
+            picked -= top
         np.exp(z, out=z)
-        return (picked - np.log(z @ np.ones(z.shape[1], np.float32))).reshape(y.shape)
+        out = picked - np.log(z @ self.ones)
+        if not safe and not np.isfinite(out).all():
+            return self.block(x, y, True)
+        return out.reshape(y.shape)
 
     def score(self, texts: list[np.ndarray], block: int = 128) -> np.ndarray:
         """Natural log probability of each text's ids."""
@@ -192,7 +206,7 @@ class Scorer:
         # of each text: pads, the start, its ids, and zeros up to whole steps
         room = lanes * STEP + WIDTH - STEP + 1
         begins = np.cumsum(room) - room
-        flat_ids = np.full(int(room.sum()), self.pad, np.int32)
+        flat_ids = np.full(int(room.sum()), self.pad, np.intp)
         ids = np.concatenate(texts) if texts else np.zeros(0, np.int32)
         inside = np.arange(len(ids)) + np.repeat(begins + WIDTH - STEP + 1 - (np.cumsum(sizes) - sizes), sizes)
         flat_ids[inside] = ids
@@ -201,12 +215,15 @@ class Scorer:
         at = (begins[text] + first).astype(np.int64)
         out = np.zeros(len(text))
         steps = np.arange(WIDTH)
-        for k in range(0, len(text), block):
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            self._fill(out, flat_ids, at, sizes[text] - first, steps, block)
+        return np.bincount(text, weights=out, minlength=len(texts))
+
+    def _fill(self, out: np.ndarray, flat_ids: np.ndarray, at: np.ndarray, left: np.ndarray, steps: np.ndarray, block: int) -> None:
+        for k in range(0, len(at), block):
             base = at[k : k + block, None]
             x = flat_ids[base + steps]
             y = flat_ids[base + steps[WIDTH - STEP :] + 1]
             got = self.block(x, np.minimum(y, self.U.shape[1] - 1))
-            left = sizes[text[k : k + block]] - first[k : k + block]
-            got[np.arange(STEP)[None, :] >= left[:, None]] = 0
+            got[np.arange(STEP)[None, :] >= left[k : k + block, None]] = 0
             out[k : k + block] = got.sum(axis=1, dtype=np.float64)
-        return np.bincount(text, weights=out, minlength=len(texts))

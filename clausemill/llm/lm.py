@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import utf8, written
+from .common import small, utf8, written
 
 CLASSES, CHUNK_BYTES, START_DOCS, START_STEPS, SHARE, BUCKET_DOCS, PIECE = 256, 16 << 20, 400, 500, 16, 1000, 200
 END = b""  # as a word
@@ -108,25 +108,24 @@ class Vocabulary:
 
 def _chunk_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, train, text) in order of chunk → (chunk, word, c): a chunk's distinct words, with training counts."""
-    now, counts = None, Counter()
+    now, counts, held = None, Counter(), set()
 
     def out() -> Iterator[pa.RecordBatch]:
+        counts.update(dict.fromkeys(held.difference(counts), 0))
         for at in range(0, len(words := list(counts)), 100_000):
             some = words[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array([now] * len(some), pa.int32()), pa.array([w.decode() for w in some], pa.string()), pa.array([counts[w] for w in some], pa.int64())], names=["chunk", "word", "c"])
 
-    for part in parts:
+    for part in small(parts):
         for chunk, train, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2)), strict=True):
             if chunk != now:
                 if now is not None:
                     yield from out()
-                now, counts = chunk, Counter()
+                now, counts, held = chunk, Counter(), set()
             if train:
                 counts.update(words_of(text))
             else:
-                for word in words_of(text):
-                    if word not in counts:
-                        counts[word] = 0
+                held.update(words_of(text))
     if now is not None:
         yield from out()
 
