@@ -9,8 +9,8 @@ word of pairs at a time, and a block is abandoned as soon as every pair in it ex
   group of exact copies of any size is one row. A bucket that is still large is split again on the bits its key
   left open, by the same argument, inside its task.
 * `similar_groups` serves wide radii, where such keys would be too short: its buckets are bands of minima of the
-  same shingle hashes, the bit-sliced distance picks each member's nearest predecessor, and the Jaccard
-  similarity of the whole shingle sets decides.
+  same shingle hashes. Every pair of a bucket is looked at; sizes and parity sketches of the distinct shingles rule out
+  only pairs that can't be similar, and the Jaccard similarity of the whole shingle sets decides on the others.
 
 Defined cases: a null text is an empty one; without words the fingerprint is zero and links like any other;
 with fewer words than a shingle the whole sequence is the one shingle. Repeated rows give repeated results. Rows
@@ -22,7 +22,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
-from itertools import combinations
+from itertools import combinations, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -291,8 +292,8 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle_words: int = 3, id_col
 
 # ---- wide radii ------------------------------------------------------------------------------------------------
 
-#: Bands, minima in a band, the widest distance of 64 bits that is still looked at, links of a member in a bucket of few.
-BANDS, DEPTH, WIDE, NEAREST, FEW = 20, 3, 20, 4, 64
+#: Bands, minima in a band, 64-bit words of a parity sketch, members that one task compares at once.
+BANDS, DEPTH, PARITY, MEMBERS = 20, 3, 16, 4096
 
 
 def band_minima(hashes: np.ndarray) -> np.ndarray:
@@ -316,56 +317,94 @@ def band_minima(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity(hashes: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """Bit i is 1 if an odd number of the distinct hashes falls into bin i of 64 * words.
+
+    A hash that two sets share cancels out, so sketches differ in at most as many bits as the sets in elements.
+    """
+    bins = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(64 * words)
+    return np.packbits((np.bincount(bins.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def possible(differing: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of x and y elements that differ in at least so many can be similar: false only if they can't."""
+    most = (x + y) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return (differing <= most) & (np.minimum(x, y) + 1e-6 >= similarity * np.maximum(x, y))
+
+
 def _sketch(words: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in small(parts):
-        whole, fps, bands = [], [], []
+        whole, sizes, sketches, bands = [], [], [], []
         for text in utf8(part.column(1)):
-            hashes = shingle_hashes(text, words)
+            hashes = np.unique(shingle_hashes(text, words))
             whole.append(xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split())))
-            fps.append(fingerprint(hashes))
+            sizes.append(len(hashes))
+            sketches.append(parity(hashes).tobytes())
             bands.append(band_minima(hashes) if len(hashes) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.binary()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "whole", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "whole", "n", "sketch", "bands"])
 
 
-def _nearest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, key, fp, id) sorted → (a, b): each member with its nearest predecessors in the bucket.
+def _blocks(similarity: float, members: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, key, n, id) sorted → (band, key, part, id): the members of each bucket of several.
 
-    A member is compared, by bit-sliced distance, with the members before it in its own TILE, the TILE before and the
-    bucket's first, and linked to the NEAREST of them, or in buckets of more than FEW members to the nearest one. So
-    the links of a member are bounded whatever the bucket's size.
+    A bucket of more than `members` is cut into blocks in order of n; each pair of blocks is a part of its own, left out
+    only if the sizes alone rule out all its pairs.
     """
-    for band, key, fps, ids in _member_runs(parts):
+    for band, key, n, ids in _member_runs(parts):
         new = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])])
         sizes = np.diff(np.r_[new, len(ids)])
+        few = np.repeat((sizes > 1) & (sizes <= members), sizes)
+        yield _rows(band[few], key[few], 0, ids[few])
+        for at, size in zip(new[sizes > members].tolist(), sizes[sizes > members].tolist(), strict=True):
+            edges = [*range(at, at + size, members), at + size]
+            for i in range(len(edges) - 1):
+                for j in range(i, len(edges) - 1):
+                    if n[edges[i + 1] - 1] + 1e-6 >= similarity * n[edges[j]]:
+                        pick = np.r_[edges[i] : edges[i + 1], edges[j] : edges[j + 1]] if i < j else np.arange(edges[i], edges[i + 1])
+                        yield _rows(band[pick], key[pick], i * len(edges) + j, ids[pick])
+
+
+def _rows(band: np.ndarray, key: np.ndarray, part: int, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(band), pa.array(key), pa.array(np.full(len(ids), part, np.int64)), pa.array(ids)], names=["band", "key", "part", "id"])
+
+
+def _screen(similarity: float, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, key, part, id, n, sketch) sorted → (a, b) that span the pairs which n and sketch don't rule out."""
+    for band, key, part, ids, n, sketch in _member_runs(parts, 3):
+        new = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        sizes = np.diff(np.r_[new, len(ids)])
         a, b = [], []
         for at, size in zip(new[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            own, who = fps[at : at + size].view(np.uint64), ids[at : at + size]
-            links = NEAREST if size <= FEW else 1
+            own, count, roots = sketch[at : at + size], n[at : at + size], Roots(size)
             for q in range(0, size, TILE):
-                queries, got, places = own[q : q + TILE], [], []
-                for back in sorted({0, max(0, q - TILE), q}):
-                    block = own[back : back + TILE]
-                    tile = tile_distances(queries, planes(block), len(block), WIDE)
-                    got.append(np.full((len(queries), len(block)), WIDE + 1) if tile is None else tile)
-                    places.append(back + np.arange(len(block)))
-                got, place = np.concatenate(got, axis=1), np.concatenate(places)
-                got = np.where(place[None, :] < (q + np.arange(len(queries)))[:, None], got, WIDE + 1)
-                best = np.argsort(got, axis=1, kind="stable")[:, :links]
-                i, j = np.nonzero(np.take_along_axis(got, best, axis=1) <= WIDE)
-                a.append(who[q + i])
-                b.append(who[place[best[i, j]]])
+                end = min(size, q + TILE)
+                differing = np.zeros((end - q, end), np.int64)
+                for w in range(PARITY):
+                    differing += np.bitwise_count(own[q:end, w, None] ^ own[None, :end, w])
+                i, j = np.nonzero(possible(differing, count[q:end, None], count[None, :end], similarity))
+                roots.merge(q + i, j)
+            linked = np.flatnonzero(roots.parent != np.arange(size))
+            a.append(ids[at + linked])
+            b.append(ids[at + roots.parent[linked]])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def _member_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Like runs(), for the key (band, key) and two payload columns."""
+def _column(column: pa.Array) -> np.ndarray:
+    """Numbers as they are, sketches as rows of words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITY) if pa.types.is_binary(column.type) else np.asarray(column)
+
+
+def _member_runs(parts: Iterator[pa.RecordBatch], keys: int = 2) -> Iterator[list[np.ndarray]]:
+    """Like runs(), for so many key columns in front and any number of payload columns."""
     held: list[np.ndarray] | None = None
     for part in parts:
-        now = [np.asarray(part.column(k)) for k in range(4)]
+        if not part.num_rows:
+            continue
+        now = [_column(c) for c in part.columns]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        differs = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))
+        differs = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:keys]]))
         cut = int(differs[-1]) + 1 if len(differs) else 0
         if cut:
             yield [x[:cut] for x in now]
@@ -374,43 +413,81 @@ def _member_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
+def link_sets(sets: list[np.ndarray], similarity: float, sides: np.ndarray) -> np.ndarray:
+    """Roots (positions) of sets of sorted hashes after linking all pairs with the similarity.
+
+    If there are two sides, only pairs across them are linked. Pairs that are linked already, or that sizes and parity
+    sketches rule out, aren't looked at.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    words = PARITY if sizes.max() <= 32 * PARITY else 4 * PARITY
+    sketches = np.stack([parity(s, words) for s in sets])
+    roots, across = np.arange(len(sets)), sides.min() != sides.max()
+    for q in range(1, len(sets)):
+        may = sides[:q] != sides[q] if across else np.ones(q, bool)
+        left = np.flatnonzero(may & (np.minimum(sizes[:q], sizes[q]) + 1e-6 >= similarity * np.maximum(sizes[:q], sizes[q])))
+        differing = np.bitwise_count(sketches[left] ^ sketches[q]).sum(axis=1, dtype=np.int64)
+        fits = possible(differing, sizes[left], sizes[q], similarity)
+        left = left[fits][np.argsort(differing[fits], kind="stable")]
+        while len(left := left[roots[left] != roots[q]]):
+            for k, p in enumerate(left.tolist()):
+                both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                if both >= similarity * (sizes[p] + sizes[q] - both):
+                    low, high = sorted((roots[p], roots[q]))
+                    roots[roots == high] = low
+                    break
+            left = left[k + 1 :]
+    return roots
+
+
 def _agree(words: int, similarity: float, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) → (a, b) whose shingle sets have the similarity."""
-    for part in small(parts):
-        kept = []
-        for left, right in zip(utf8(part.column(2)), utf8(part.column(3)), strict=True):
-            x, y = np.unique(shingle_hashes(left, words)), np.unique(shingle_hashes(right, words))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            kept.append(both >= similarity * (len(x) + len(y) - both))
-        mask = pa.array(kept, pa.bool_())
-        yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
+    """(root, part, side, id, text) sorted → (a, b) that span the pairs of a part whose shingle sets have the similarity."""
 
+    def each() -> Iterator[tuple]:
+        for part in small(parts):
+            keys = [part.column(k).to_pylist() for k in range(4)]
+            for root, nth, side, i, text in zip(*keys, utf8(part.column(4)), strict=True):
+                yield (root, nth), side, i, np.unique(shingle_hashes(text, words))
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    for _, rows in groupby(each(), key=itemgetter(0)):
+        own = [r for r in rows if len(r[3])]
+        if len(own) < 2:
+            continue
+        ids = np.array([r[2] for r in own], np.int64)
+        roots = link_sets([r[3] for r in own], similarity, np.array([r[1] for r in own]))
+        linked = np.flatnonzero(roots != np.arange(len(own)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[roots[linked]])], names=["a", "b"])
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text", members: int = MEMBERS) -> DataFrame:
     """(id, component_id) for every row with an id: groups linked by equal words or by similar shingle sets.
 
     Texts without words aren't linked. Ids are long; rows that repeat an id count as one document with all
-    its texts.
+    its texts. One task compares at most about 2 * members documents at once.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    rows = checkpoint(plain.mapInArrow(partial(_sketch, shingle_words), "id long, whole binary, fp long, bands array<long>").where("size(bands) > 0"))
-    least = rows.groupBy("whole").agg(F.min("id").alias("least"), F.min(F.struct("fp", "bands")).alias("s"))
-    keyed = least.select(F.posexplode("s.bands").alias("band", "key"), F.col("s.fp").alias("fp"), F.col("least").alias("id"))
-    keyed = keyed.select(F.col("band").cast("long").alias("band"), "key", "fp", "id").repartition("band", "key").sortWithinPartitions("band", "key", "fp", "id")
-    maybe = checkpoint(keyed.mapInArrow(_nearest, "a long, b long").where("a <> b").distinct())
-    ends = maybe.select(F.col("a").alias("id")).union(maybe.select(F.col("b").alias("id"))).distinct()
-    texts = plain.join(ends, "id", "left_semi")
-    pairs = maybe.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    similar = pairs.select("a", "b", "text_a", "text_b").mapInArrow(partial(_agree, shingle_words, similarity), "a long, b long")
+    rows = checkpoint(plain.mapInArrow(partial(_sketch, shingle_words), "id long, whole binary, n long, sketch binary, bands array<long>").where("size(bands) > 0"))
+    least = rows.groupBy("whole").agg(F.min("id").alias("least"), F.min(F.struct("n", "sketch", "bands")).alias("s"))
+    keyed = least.select(F.posexplode("s.bands").alias("band", "key"), F.col("s.n").alias("n"), F.col("least").alias("id"))
+    keyed = keyed.select(F.col("band").cast("long").alias("band"), "key", "n", "id").repartition("band", "key").sortWithinPartitions("band", "key", "n", "id")
+    shared = keyed.mapInArrow(partial(_blocks, similarity, members), "band long, key long, part long, id long")
+    sketches = least.select(F.col("least").alias("id"), "s.n", "s.sketch")
+    dealt = shared.join(sketches, "id").select("band", "key", "part", "id", "n", "sketch").repartition("band", "key", "part").sortWithinPartitions("band", "key", "part")
+    maybe = components(dealt.mapInArrow(partial(_screen, similarity), "a long, b long").where("a <> b").distinct())
+    # each group of possible pairs is verified as a whole: in one part, or in the pairs of its blocks if it is large
+    sizes = maybe.groupBy("root").agg(F.ceil(F.count("*") / members).cast("long").alias("blocks"))
+    blocked = maybe.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    blocked = blocked.select("root", F.col("node").alias("id"), "blocks", "block", other.alias("other"))
+    blocked = blocked.select("root", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("part"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id")
+    texts = blocked.join(plain, "id").select("root", "part", "side", "id", "text").repartition("root", "part").sortWithinPartitions("root", "part")
+    similar = texts.mapInArrow(partial(_agree, shingle_words, similarity), "a long, b long").where("a <> b")
     equal = rows.join(least.select("whole", "least"), "whole").select(F.col("id").alias("a"), F.col("least").alias("b")).where("a <> b")
     roots = components(similar.unionByName(equal))
     ids = plain.select("id")
     return ids.join(roots, ids["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("component_id"))
 
 
-
-
-
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is the smallest of its group in groups (id, component_id).
 

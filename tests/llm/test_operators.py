@@ -193,6 +193,38 @@ def test_similar_groups(spark, small, texts, edges):
     assert kept.columns == edges.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 6, None, 9, 10, 11, 12, 13, 14]))
 
 
+def test_similar_pairs_in_a_large_bucket(spark):
+    draw = np.random.default_rng(3)
+    word = lambda n: [f"w{k}" for k in draw.integers(0, 1 << 40, n)]
+    template, docs = word(90), []
+    for _ in range(1500):  # pairs of similarity near 0.8 among thousands that share the template
+        own = word(40)
+        other = own[: 40 - int(draw.integers(4, 22))]
+        docs += [template + own, template + other + word(40 - len(other))]
+    docs = [" ".join(docs[k]) for k in draw.permutation(len(docs))]
+    sets = [frozenset(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in docs]
+    want = common_roots(len(docs), [(a, b) for a, b in combinations(range(len(docs)), 2) if (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)])
+    assert 300 < len(set(want)) < len(docs) - 300
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for members in (simhash.MEMBERS, 700):
+        got = dict(simhash.similar_groups(df, members=members).select("id", "component_id").collect())
+        assert [got[k] for k in range(len(docs))] == want
+
+
+def common_roots(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(x) for x in range(n)]
+
+
 # ---- 3 licenses
 
 
