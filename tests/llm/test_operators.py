@@ -211,6 +211,16 @@ def test_similar_pairs_in_a_large_bucket(spark):
         assert [got[k] for k in range(len(docs))] == want
 
 
+def test_similar_sets_with_repeated_lines(spark):
+    draw = np.random.default_rng(4)
+    docs = []
+    for _ in range(60):  # equal sets of shingles but for the joins, with a line once or 100 times
+        line, rest = (" ".join(f"w{k}" for k in draw.integers(0, 1 << 40, n)) for n in (12, 400))
+        docs += [f"{rest} {line} {line}", f"{rest} {' '.join([line] * 100)}"]
+    got = dict(simhash.similar_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).select("id", "component_id").collect())
+    assert got == {k: k - k % 2 for k in range(len(docs))}
+
+
 def common_roots(n, pairs):
     root = list(range(n))
 
@@ -573,8 +583,7 @@ def test_causality():
 
 
 def test_pipeline(spark, small, texts):
-    import corpus_pipeline
-
+    
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, bench = docs.columns, [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
