@@ -488,10 +488,24 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     return ids.join(roots, ids["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("component_id"))
 
 
+def once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, those with the same id and text reduced to the one whose other columns come first.
+
+    Rows with a null id stay. Only ids that are repeated bring their texts to a shuffle.
+    """
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again_id"))
+    on = docs[id_col] == again["_again_id"]
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    first = docs.join(again, on, "left_semi").groupBy(id_col, text_col).agg(F.min(F.struct(F.lit(0).alias("_none"), *others)).alias("_first"))
+    first = first.select(*[c if c in (id_col, text_col) else F.col("_first")[c].alias(c) for c in docs.columns])
+    return docs.join(again, on, "left_anti").unionByName(first)
+
+
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is the smallest of its group in groups (id, component_id).
 
-    Rows that groups doesn't know, such as those with a null id, stay. Rows with the same id and text stay once.
+    Rows that groups doesn't know, such as those with a null id, stay. So do all rows of an id that is kept: once() reduces
+    those with the same text.
     """
     gone = groups.where("id <> component_id").select(F.col("id").alias("_gone_id")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")

@@ -17,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from clausemill.llm import attention, chat, common, decontaminate, langid, license_rules, licenses, lm, packing, quality, queries, secrets, sharding, simhash
 
 LONG = "lorem ipsum dolor sit amet " * 6000
@@ -221,6 +222,14 @@ def test_similar_sets_with_repeated_lines(spark):
     assert got == {k: k - k % 2 for k in range(len(docs))}
 
 
+def test_repeated_rows_stay_once(spark, edges):
+    once = simhash.once(edges)
+    assert once.columns == edges.columns and sorted(str(r["doc_id"]) for r in once.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 7, 8, None, 9, 10, 11, 12, 13, 14]))
+    rows = [(1, "a b c", "en"), (1, "a b c", "de"), (1, "other words", "en"), (None, "a b c", "en"), (None, "a b c", "en"), (2, None, "en"), (2, None, "en"), (3, "x y", "en")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, "a b c", "de"), (1, "other words", "en"), (None, "a b c", "en"), (None, "a b c", "en"), (2, None, "en"), (3, "x y", "en")]))
+
+
 def common_roots(n, pairs):
     root = list(range(n))
 
@@ -583,7 +592,8 @@ def test_causality():
 
 
 def test_pipeline(spark, small, texts):
-    
+    import corpus_pipeline
+
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, bench = docs.columns, [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
