@@ -127,17 +127,20 @@ class Adam:
             self.params[k] -= (scale * self.rate * up).astype(np.float32)
 
 
-def train(params: dict[str, np.ndarray], texts: list[np.ndarray], start: int, pad: int, steps: int, batch: int = 128, rate: float = 0.01, seed: int = 2) -> float:
-    """Adam over randomly drawn windows of the texts' class ids; params change in place. Returns the last mean loss."""
+def train(params: dict[str, np.ndarray], texts: list[np.ndarray], start: int, pad: int, steps: int | None, batch: int = 128, rate: float = 0.01, seed: int = 2) -> float:
+    """Adam over windows of the texts' class ids, randomly drawn, or without steps each window once in random order; params
+    change in place. Returns the last mean loss."""
     texts = [t for t in texts if len(t)]
-    if not texts or steps <= 0:
+    if not texts or (steps is not None and steps <= 0):
         return 0.0
     sizes = np.array([len(t) for t in texts])
     ids, begins = np.concatenate(texts), np.cumsum(sizes) - sizes
     text, first = windows(sizes)
     draw, adam, recent = np.random.default_rng(seed), Adam(params, rate), 0.0
+    order = draw.permutation(len(text)) if steps is None else None
+    steps = -(-len(text) // batch) if steps is None else steps
     for n in range(steps):
-        pick = draw.integers(0, len(text), batch)
+        pick = draw.integers(0, len(text), batch) if order is None else order[n * batch : (n + 1) * batch]
         loss, grads = gradients(params, *gather(ids, begins, sizes, text[pick], first[pick], start, pad))
         adam.step(grads, 1 - n / steps)
         recent += 0.05 * (loss - recent)

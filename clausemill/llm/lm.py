@@ -6,8 +6,8 @@ one class in which they are told apart by their corpus counts, so that class and
 proper distribution over all ids and the end.
 
 The attention model starts on the driver from a bounded sample (`START_DOCS` training documents with the smallest
-hashes), and is then refined where the data lie: buckets of a fixed `SHARE` of all training documents are each
-trained on, and the parameters are averaged by their numbers of ids. Counts and refinement grow with the corpus;
+hashes), and is then refined where the data lie: buckets of all training documents are each trained on, every window
+once, and the parameters are averaged by their numbers of ids. Counts and refinement grow with the corpus;
 only the averages and the counts of at most one row per vocabulary entry come to the driver.
 
 Documents are dealt into chunks of bounded size by a hash. A chunk's distinct words meet their corpus counts in one
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import attention
 from .common import small, utf8, written
 
-CLASSES, CHUNK_BYTES, START_DOCS, START_STEPS, SHARE, BUCKET_DOCS, PIECE = 256, 16 << 20, 400, 500, 16, 1000, 200
+CLASSES, CHUNK_BYTES, START_DOCS, START_STEPS, BUCKET_DOCS, PIECE = 256, 16 << 20, 400, 500, 1000, 200
 END = b""  # as a word
 
 
@@ -99,8 +99,8 @@ class Vocabulary:
             out.append(self.class_of[ids])
         return out
 
-    def train(self, texts: list[bytes | None], steps: int, rate: float) -> int:
-        """Trains self.params; the number of ids in the texts."""
+    def train(self, texts: list[bytes | None], steps: int | None, rate: float) -> int:
+        """Trains self.params, without steps on every window once; the number of ids in the texts."""
         coded = self.classes(texts)
         attention.train(self.params, coded, CLASSES, CLASSES + 1, steps, rate=rate)
         return sum(map(len, coded))
@@ -149,7 +149,7 @@ def _refine(vocabulary: Vocabulary):
         start = {k: v.copy() for k, v in model.params.items()}
         try:
             texts = [t.encode("utf-8", "replace") for t in rows.sort_values("h")["text"]]
-            n = model.train(texts, max(1, min(200, len(texts) // 2)), 0.002)
+            n = model.train(texts, None, 0.002)
             values = attention.flat(model.params).astype(np.float64)
         finally:
             model.params = start
@@ -246,10 +246,9 @@ def score(docs: DataFrame, path: str, pattern: str, modulus: int = 7, held: int
     share = min(1.0, 4 * START_DOCS / max(1, trained))
     few = train.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("h", "id").limit(START_DOCS)
     vocabulary.train([(r["text"] or "").encode() for r in few.select("text").collect()], START_STEPS, 0.01)
-    some = train.where(F.pmod(F.shiftright("h", 32), F.lit(SHARE)) == 0)
-    buckets = max(1, -(-trained // (SHARE * BUCKET_DOCS)))
-    some = some.select(F.pmod(F.shiftright("h", 8), F.lit(buckets)).alias("bucket"), "h", F.coalesce("text", F.lit("")).alias("text"))
-    tuned = some.groupBy("bucket").applyInPandas(_refine(vocabulary), "at int, weighted double, weight double")
+    buckets = max(1, -(-trained // BUCKET_DOCS))
+    dealt = train.select(F.pmod(F.shiftright("h", 8), F.lit(buckets)).alias("bucket"), "h", F.coalesce("text", F.lit("")).alias("text"))
+    tuned = dealt.groupBy("bucket").applyInPandas(_refine(vocabulary), "at int, weighted double, weight double")
     means = tuned.groupBy("at").agg((F.sum("weighted") / F.sum("weight")).alias("value")).orderBy("at").collect()
     if means:
         vocabulary.params = attention.shaped(np.array([r["value"] for r in means]), vocabulary.params)

@@ -553,6 +553,43 @@ def test_lm_edges(spark, edges, nothing):
     assert lm.score(nothing, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_lm_refines_on_all_training_documents(spark, edges, tmp_path, monkeypatch):
+    import uuid
+
+    import pandas as pd
+
+    folder, size = str(tmp_path), len(attention.flat(attention.initial(lm.CLASSES, lm.CLASSES + 2, np.zeros(lm.CLASSES))))
+
+    def refine(vocabulary):
+        def run(rows):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                file.write(str(len(rows)))
+            return pd.DataFrame({"at": np.arange(size, dtype=np.int32), "weighted": np.zeros(size), "weight": 1.0})
+
+        return run
+
+    monkeypatch.setattr(lm, "_refine", refine)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    lm.score(edges, path, public_tokenizers.PATTERN)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == sum(i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in EDGES)
+
+
+def test_lm_refines_on_every_window(monkeypatch):
+    import pandas as pd
+
+    vocabulary = lm.Vocabulary({1: 5, 2: 3}, 60_000, 8, 2, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    seen, gather = Counter(), attention.gather
+
+    def spy(ids, begins, sizes, text, first, *rest):
+        seen.update(zip(text.tolist(), first.tolist()))
+        return gather(ids, begins, sizes, text, first, *rest)
+
+    monkeypatch.setattr(attention, "gather", spy)
+    texts = ["a short text", "one two three four " * 3000, "another one"]
+    lm._refine(vocabulary)(pd.DataFrame({"h": [1, 2, 3], "text": texts}))
+    assert seen == Counter(zip(*(x.tolist() for x in attention.windows(np.array([len(c) for c in vocabulary.classes([t.encode() for t in texts])])))))
+
+
 def test_attention_gradients_and_scorer():
     draw = np.random.default_rng(7)
     p = attention.initial(6, 8, np.zeros(6))
