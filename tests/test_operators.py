@@ -197,6 +197,19 @@ def test_subwords(spark, docs):
     assert subwords.mean_subwords(table).count() == 3
 
 
+def test_subwords_of_all_pieces(spark, docs):
+    pieces = subwords.pre_tokens(docs).limit(400).cache()
+    rare = pieces.unionByName(spark.createDataFrame([(f"{a}zqzq{b}", 1) for a in "bcdfg" for b in "hjklm"], "piece string, n long"))
+    whole = subwords.learn_merges(rare, vocabulary=150)
+    assert ("z", "q") in whole and whole == subwords.learn_merges(rare, vocabulary=150, most_pieces=5)
+
+
+def test_next_merges():
+    assert subwords.next_merges([(("a", "b"), 9), (("c", "d"), 8), (("b", "e"), 7), (("x", "y"), 6)], set("abcdexy"), 99) == [("a", "b"), ("c", "d")]
+    assert subwords.next_merges([(("a", "b"), 9), (("c", "d"), 8), (("e", "f"), 8), (("f", "c"), 8)], set("abcdef"), 99) == [("a", "b")]
+    assert subwords.next_merges([(("a", "b"), 9), (("c", "d"), 8), (("e", "f"), 5)], set("abcdef"), 7) == [("a", "b")]
+
+
 def test_tagger(spark):
     sentences = ["the employee shall sign the agreement", "the company may claim the bond", "he shall not release the notice", "the worker must pay the company"]
     rows = [(n, i, w, t, 1.0) for n, s in enumerate(sentences) for i, (w, t) in enumerate(zip(s.split(), annotate.tag_domain(s.split())))]
