@@ -387,7 +387,7 @@ def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     f = corpus.word_frequencies(docs)
-    merges = subwords.learn_merges(subwords.pre_tokens(docs), vocabulary=500)
+    merges = subwords.learn_merges(subwords.pre_tokens(docs), vocabulary=2000)
     return subwords.subword_table(corpus.common_words(f), corpus.rare_words(f), merges)
 
 

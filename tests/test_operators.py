@@ -210,6 +210,15 @@ def test_next_merges():
     assert subwords.next_merges([(("a", "b"), 9), (("c", "d"), 8), (("e", "f"), 5)], set("abcdef"), 7) == [("a", "b")]
 
 
+def test_subword_table_is_the_reference_size(spark, small, monkeypatch):
+    from clausemill.plans import registry
+
+    asked, learn = [], subwords.learn_merges
+    monkeypatch.setattr(subwords, "learn_merges", lambda pieces, **k: asked.append(k) or learn(pieces, vocabulary=60))
+    registry.subword_table(spark, small)
+    assert asked == [{"vocabulary": 2000}]
+
+
 def test_tagger(spark):
     sentences = ["the employee shall sign the agreement", "the company may claim the bond", "he shall not release the notice", "the worker must pay the company"]
     rows = [(n, i, w, t, 1.0) for n, s in enumerate(sentences) for i, (w, t) in enumerate(zip(s.split(), annotate.tag_domain(s.split())))]
