@@ -6,12 +6,13 @@ phrases per character wins. Automata are stored as complete transition tables: a
 starts a new phrase, and its table entry says so in the lowest bit, so that many texts advance together in numpy.
 
 The sample is bounded by `rows` labelled rows per language and `chars` characters of each, chosen by a hash; it is
-the only thing that isn't taken from all rows, and languages with fewer than `least_share` of the labelled rows
-aren't learned, so that there are at most 1 / least_share automata. Prediction reads whole texts, cut into lanes of
+the only thing that isn't taken from all rows. Every language that has a labelled row is learned; beyond FULL languages
+each has fewer rows, then fewer characters, so that the automata keep to the memory of FULL. Prediction reads whole texts, cut into lanes of
 LANE characters that are parsed on their own (each cut adds at most one phrase).
 
-Letters are compared in lower case; runs of anything else count as one separator. Letters beyond the sample's
-62 most frequent ones share one symbol.
+Letters are compared in lower case; runs of anything else count as one separator. Each language has symbols for the
+letters of its own sample; of more than 62, the less frequent share HASHED classes. Letters that a language's sample
+doesn't have begin a new phrase in it.
 
 Defined cases: `und` with score 0 for a null text, a text without a letter, or if nothing could be learned; ties go
 to the first language in order; repeated rows are each predicted; rows with a null label are not learned from.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import small
 
-ROWS, CHARS, LEAST_SHARE, SYMBOLS, LANE, BLOCK = 128, 512, 0.001, 64, 2048, 2_000_000
+ROWS, CHARS, FULL, SYMBOLS, HASHED, LANE, BLOCK = 128, 512, 8, 64, 16, 2048, 2_000_000
 UNKNOWN = "und"
 
 
@@ -77,14 +78,23 @@ def automaton(codes: list[int], symbols: int = SYMBOLS) -> np.ndarray:
 class Model:
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.languages = [name for name, _ in samples]
-        letters = Counter(c for _, text in samples for c in text.lower() if c.isalpha())
-        common = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]]
-        code = {c: n for n, c in enumerate(common, 2)}
-        self.code = np.zeros(0x110000, np.uint8)  # 0: not a letter, 1: any other letter
+        letters = [Counter(c for c in text.lower() if c.isalpha()) for _, text in samples]
+        every = sorted(set().union(*letters))
+        code = {c: n for n, c in enumerate(every, 2)}
+        self.code = np.zeros(0x110000, np.int32)  # 0: not a letter, 1: a letter of no sample
         for point in range(0x110000):
             if (c := chr(point)).isalpha():
                 self.code[point] = code.get(c.lower(), 1)
-        self.tables = [automaton(self.codes(text).tolist(), len(common) + 2) for _, text in samples]
+        self.own, self.tables = [], []  # of each language: its symbols for the codes, its automaton
+        for (_, text), found in zip(samples, letters, strict=True):
+            common = [c for c, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+            first = SYMBOLS - 2 if len(common) <= SYMBOLS - 2 else SYMBOLS - 2 - HASHED
+            own = np.ones(len(every) + 2, np.uint8)  # 1: a letter its sample doesn't have
+            own[0] = 0
+            for n, c in enumerate(common):
+                own[code[c]] = 2 + n if n < first else 2 + first + ord(c) % HASHED
+            self.own.append(own)
+            self.tables.append(automaton(own[self.codes(text)].tolist(), int(own.max()) + 1))
 
     def codes(self, text: str) -> np.ndarray:
         got = self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
@@ -94,7 +104,8 @@ class Model:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) by each language."""
-        flat = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
+        flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        flats = [own[flat] for own in self.own]
         sizes = np.array([len(t) for t in texts], np.int64)
         begins = np.cumsum(sizes) - sizes
         lanes = np.maximum(1, -(-sizes // LANE))
@@ -109,9 +120,9 @@ class Model:
         steps = int(left[0]) if len(left) else 0
         for t in range(steps):
             m = int(np.searchsorted(-left, -t, side="left"))  # lanes longer than t
-            codes = flat[at[:m] + t]
-            for table, s, n in zip(self.tables, state, count, strict=True):
-                got = table[s[:m] + codes]
+            here = at[:m] + t
+            for table, codes, s, n in zip(self.tables, flats, state, count, strict=True):
+                got = table[s[:m] + codes[here]]
                 n[:m] += got & 1
                 s[:m] = got >> 1
         for k, n in enumerate(count):
@@ -119,7 +130,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        coded = [self.codes(t) if t else np.zeros(0, np.uint8) for t in texts]
+        coded = [self.codes(t) if t else np.zeros(0, np.int32) for t in texts]
         lettered = np.array([bool((c > 0).any()) for c in coded], bool)
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.tables or not lettered.any():
@@ -140,16 +151,19 @@ def model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(samples)
 
 
-def learn(labelled: DataFrame, rows: int = ROWS, chars: int = CHARS, least_share: float = LEAST_SHARE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[tuple[str, str], ...]:
+def learn(labelled: DataFrame, rows: int = ROWS, chars: int = CHARS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[tuple[str, str], ...]:
     """(language, sample text) in order of language, from rows with a label and a text.
 
     At most `rows` rows per language, those with the smallest hashes, and from each at most `chars` characters,
-    from a place that the hash decides; the rows are picked out where they are.
+    from a place that the hash decides; the rows are picked out where they are. More than FULL languages share the rows
+    and characters of FULL.
     """
     plain = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = [r for r in plain.groupBy("lang").count().withColumn("all", F.sum("count").over(W.partitionBy())).where(F.col("count") >= least_share * F.col("all")).collect()]
+    counts = plain.groupBy("lang").count().collect()
     if not counts:
         return ()
+    each = rows * chars * FULL // max(FULL, len(counts))  # characters of a language
+    rows, chars = max(1, min(rows, each // chars)), max(1, min(chars, each))
     h = F.xxhash64("id", "text")
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * rows / r["count"]))])
     some = plain.withColumn("h", h).where(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))

@@ -521,6 +521,26 @@ def test_language_query(spark, small, texts):
     assert sum(held) / len(held) >= 0.97
 
 
+def test_rare_languages_and_scripts(spark):
+    draw = np.random.default_rng(5)
+    letters = {"la": "abcdefghijklmnàéîõü", "lb": "mnopqrstuvwxyzßøæåđ", "ru": "".join(map(chr, range(0x430, 0x450))), "ka": "".join(map(chr, range(0x10D0, 0x10F1))), "zh": "".join(map(chr, range(0x4E00, 0x4F00))), "ko": "".join(map(chr, range(0xAC00, 0xAD00)))}
+
+    def text(lang):
+        return " ".join("".join(letters[lang][k] for k in draw.integers(0, len(letters[lang]), 6)) for _ in range(60))
+
+    langs = ["la"] * 2400 + ["lb"] * 2400 + ["ru", "ka", "zh", "ko"] * 2
+    samples = langid.learn(spark.createDataFrame([(n, text(lang), lang) for n, lang in enumerate(langs)], "doc_id long, text string, lang string"))
+    assert [lang for lang, _ in samples] == sorted(letters)
+    held = [lang for lang in letters for _ in range(5)]
+    assert langid.Model(samples).predict([text(lang) for lang in held])[0] == held
+
+
+def test_many_languages_share_the_sample(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "repeat('abc ', 500) as text", "concat('l', id % 40) as lang")
+    samples = langid.learn(df)
+    assert len(samples) == 40 and langid.ROWS * langid.CHARS * langid.FULL * 0.9 < sum(len(t) for _, t in samples) < langid.ROWS * langid.CHARS * langid.FULL * 1.1
+
+
 def test_language_edges(spark, edges, nothing):
     samples = langid.learn(edges)
     rows = langid.identify(edges, samples).collect()
