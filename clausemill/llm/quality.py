@@ -3,7 +3,7 @@
 Base rules fail texts that are short or repeat their own five-word windows. The method compares two histograms of a
 text, character classes and common words, with those of each language by Jensen-Shannon distance; a text is kept if
 some language's distances are both small. The references are the summed histograms of all labelled documents, added
-up on the map side; what reaches the driver is one row for each language that holds `least_share` of them. Texts
+up on the map side; what reaches the driver is one row for each language, however rare it is. Texts
 shorter than the minimum lengths have no reliable histogram and are left to the base rules.
 
 Defined cases: a null text has no words; without words, or with fewer than ten, the base rules fail; without
@@ -20,7 +20,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small, utf8
@@ -38,7 +37,7 @@ WORD_BINS = len(WORD_BIN) + 1
 CHAR_BINS = 11
 SYMBOLS = "#*$%&|<>"
 #: Distances (base 2, 0 to 1) above which a text is no language's, and the lengths from which they count.
-CHAR_LIMIT, WORD_LIMIT, LEAST_CHARS, LEAST_WORDS, LEAST_SHARE = 0.30, 0.50, 200, 50, 0.001
+CHAR_LIMIT, WORD_LIMIT, LEAST_CHARS, LEAST_WORDS = 0.30, 0.50, 200, 50
 
 
 def _classes() -> bytes:
@@ -145,13 +144,12 @@ def _sums(sums: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1].tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "n", "bins"])
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_share: float = LEAST_SHARE) -> list[tuple[str, list[int]]]:
-    """(language, summed histogram) from all labelled documents, for at most 1 / least_share languages."""
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[int]]]:
+    """(language, summed histogram) from all labelled documents, for every language."""
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     sums = labelled.mapInArrow(_add_up, "lang string, n long, bins array<long>")
-    each = sums.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(F.col("bins")[k]).alias(f"b{k}") for k in range(CHAR_BINS + WORD_BINS)])
-    held = each.withColumn("all", F.sum("n").over(W.partitionBy())).where(F.col("n") >= least_share * F.col("all"))
-    return sorted((r["lang"], [r[f"b{k}"] for k in range(CHAR_BINS + WORD_BINS)]) for r in held.collect())
+    each = sums.groupBy("lang").agg(*[F.sum(F.col("bins")[k]).alias(f"b{k}") for k in range(CHAR_BINS + WORD_BINS)])
+    return sorted((r["lang"], [r[f"b{k}"] for k in range(CHAR_BINS + WORD_BINS)]) for r in each.collect())
 
 
 def _judge(refs: list[tuple[str, list[int]]], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -404,6 +404,17 @@ def brute_quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), failed
 
 
+def test_quality_of_rare_languages(spark):
+    draw = np.random.default_rng(6)
+    make = lambda a, n: " ".join("".join(chr(a + k) for k in draw.integers(0, n, 6)) for _ in range(80))
+    rows = [(k, make(97, 26), "xx") for k in range(2999)] + [(2999, make(0x430, 32), "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality.references(df)
+    assert [lang for lang, _ in refs] == ["ru", "xx"]
+    new = spark.createDataFrame([(1, make(0x430, 32)), (2, make(97, 26))], "doc_id long, text string")
+    assert all(r["kept"] for r in quality.judge(new, refs).collect())
+
+
 def test_quality(spark, small, texts, edges, nothing):
     got = {r["doc_id"]: r for r in queries.op6_quality_rules(spark, small).collect()}
     for i, t in texts.items():
