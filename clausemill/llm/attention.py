@@ -1,232 +1,253 @@
 """A small causal self-attention model in numpy, forward and backward.
 
-Windows of `width` ids overlap; only the last `step` positions of each predict, so every id is scored once, with at
-least width - step ids before it. One head, a residual ReLU layer, and a softmax over classes of ids.
+Ids are classes, GROUPS groups of MEMBERS each, and two more: the start and the pad. Of an id there are a query, a key, a
+value and a residual vector; a query meets the keys of its own and earlier places in its window, with a bias by distance.
+What comes out predicts the next id's group, and within the group the id, by two softmaxes.
+
+For scoring, windows of WIDTH ids overlap and only the last STEP places of each predict, so every id is scored once with
+at least WIDTH - STEP ids before it. For training, windows lie end to end and all their places predict.
 """
 
 from __future__ import annotations
 
-import numpy as np
-
-WIDTH, STEP, DIM, HIDDEN = 32, 16, 16, 32
+import ctypes
 
+import numpy as np
 
-def initial(classes: int, inputs: int, bias: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
-    draw = np.random.default_rng(seed)
-    scale = lambda *shape: (draw.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-    small = lambda *shape: (0.3 * draw.standard_normal(shape)).astype(np.float32)
-    return {
-        "E": small(inputs, DIM), "P": small(WIDTH, DIM), "Wq": scale(DIM, DIM), "Wk": scale(DIM, DIM), "Wv": scale(DIM, DIM), "Wo": scale(DIM, DIM),
-        "W1": scale(DIM, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "W2": scale(HIDDEN, DIM), "U": scale(DIM, classes), "c": bias.astype(np.float32),
-    }
-
+WIDTH, STEP, DIM, GROUPS, MEMBERS = 32, 16, 16, 32, 32
+CLASSES = GROUPS * MEMBERS
+START, PAD = CLASSES, CLASSES + 1
+SCALE = np.float32(DIM**-0.5)
 
-def flat(params: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([params[k].ravel() for k in sorted(params)])
+SHAPES = {"Q": (CLASSES + 2, DIM), "K": (CLASSES + 2, DIM), "V": (CLASSES + 2, DIM), "R": (CLASSES + 2, DIM), "B": (WIDTH,), "U1": (DIM + 1, GROUPS), "U2": (GROUPS, DIM + 1, MEMBERS)}
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters by name, as views of one flat array."""
     out, at = {}, 0
-    for k in sorted(like):
-        out[k] = np.asarray(values[at : at + like[k].size], np.float32).reshape(like[k].shape)
-        at += like[k].size
+    for name, shape in SHAPES.items():
+        n = int(np.prod(shape))
+        out[name] = flat[at : at + n].reshape(shape)
+        at += n
     return out
 
 
-#: Position i of the queries sees the keys up to its own.
-MASK = np.where(np.arange(WIDTH)[None, :] <= (WIDTH - STEP + np.arange(STEP))[:, None], 0, -1e9).astype(np.float32)
-
-
-def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, first predicted position) of every window of texts with the given numbers of ids."""
-    count = -(-sizes // STEP)
-    text = np.repeat(np.arange(len(sizes)), count)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    return text, nth * STEP
-
-
-def gather(ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, text: np.ndarray, first: np.ndarray, start: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (windows, WIDTH), targets and whether they exist (windows, STEP); an input is the id before its position."""
-    at = first[:, None] + np.arange(STEP - WIDTH, STEP)[None, :]
-    before = at - 1
-    inside = (before >= 0) & (before < sizes[text][:, None])
-    x = np.where(inside, ids[np.where(inside, begins[text][:, None] + before, 0)], pad)
-    x[at == 0] = start
-    targets = at[:, WIDTH - STEP :]
-    exists = targets < sizes[text][:, None]
-    y = np.where(exists, ids[np.where(exists, begins[text][:, None] + targets, 0)], 0)
-    return x, y, exists
-
-
-def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Log probabilities of the classes (windows * STEP, classes), and what the backward pass needs."""
-    n = len(x)
-    e = p["E"][x] + p["P"]
-    late = np.ascontiguousarray(e[:, WIDTH - STEP :])
-    k, v, q = e @ p["Wk"], e @ p["Wv"], late @ p["Wq"]
+def initial(mass: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Parameters that predict classes by their mass, with small random vectors."""
+    draw = np.random.default_rng(seed)
+    flat = np.zeros(SIZE, np.float32)
+    p = views(flat)
+    for name in "QKVR":
+        p[name][:] = 0.3 * draw.standard_normal(p[name].shape)
+    for name in ("U1", "U2"):
+        p[name][..., :DIM, :] = 0.1 * draw.standard_normal(p[name][..., :DIM, :].shape)
+    by_group = mass.reshape(GROUPS, MEMBERS)
+    p["U1"][DIM] = np.log(by_group.sum(axis=1) / mass.sum())
+    p["U2"][:, DIM] = np.log(by_group / by_group.sum(axis=1, keepdims=True))
+    return flat
+
+
+def keep_memory() -> None:
+    """Has the C library keep what numpy frees, up to a limit: given back and taken anew, it costs as much as the arithmetic."""
+    if tune := getattr(ctypes.CDLL(None), "mallopt", None):
+        for option in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            tune(option, 64 << 20)
+
+
+class Windows:
+    """The windows of several texts' ids: of each text pads, the start, its ids, and pads up to whole steps."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, step: int):
+        before = WIDTH - step
+        self.step, count = step, -(-sizes // step)
+        room = count * step + before + 1
+        begins = np.cumsum(room) - room
+        self.flat = np.full(int(room.sum()), PAD, np.intp)
+        self.flat[np.arange(len(ids)) + np.repeat(begins + before + 1 - (np.cumsum(sizes) - sizes), sizes)] = ids
+        self.flat[begins + before] = START
+        self.text = np.repeat(np.arange(len(sizes)), count)
+        first = (np.arange(len(self.text)) - np.repeat(np.cumsum(count) - count, count)) * step
+        self.at, self.left = begins[self.text] + first, sizes[self.text] - first
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def take(self, pick: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs (windows, WIDTH), targets and whether they exist (windows, step); an input is the id before its place."""
+        whole = self.flat[self.at[pick, None] + np.arange(WIDTH + 1)]
+        exists = np.arange(self.step) < self.left[pick, None]
+        return whole[:, :WIDTH], np.where(exists, whole[:, WIDTH + 1 - self.step :], 0), exists
+
+
+def tables(p: dict[str, np.ndarray], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled queries; values with a one behind them; (step, WIDTH) biases by distance, which let nothing later through."""
+    distance = np.arange(WIDTH - step, WIDTH)[:, None] - np.arange(WIDTH)[None, :]
+    biases = np.where(distance >= 0, p["B"][np.maximum(distance, 0)], np.float32(-1e9))
+    return p["Q"] * SCALE, np.concatenate([p["V"], np.ones((CLASSES + 2, 1), p["V"].dtype)], axis=1), biases
+
+
+def attend(p: dict[str, np.ndarray], x: np.ndarray, step: int, safe: bool, known: tuple | None = None) -> tuple:
+    """Queries, keys, values with a one behind them, unnormalised weights, their inverse sums, and what comes out (with a one).
+
+    Exponentials are taken as they are; safe subtracts the maxima before.
+    """
+    late = x[:, WIDTH - step :]
+    queries, values, biases = known or tables(p, step)
+    q, k, v = queries.take(late, axis=0), p["K"].take(x, axis=0), values.take(x, axis=0)
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(DIM**-0.5)
-    s += MASK
-    s -= s.max(axis=2, keepdims=True)
+    s += biases
+    if safe:
+        s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
     o = s @ v
-    h = (late + o @ p["Wo"]).reshape(n * STEP, DIM)
-    r = h @ p["W1"] + p["b1"]
-    m = np.maximum(r, 0)
-    g = h + m @ p["W2"]
-    z = g @ p["U"] + p["c"]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z, (e, late, k, v, q, s, o, h, r, m, g)
-
-
-def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, exists: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss in nats over the existing targets, and its gradients."""
-    z, (e, late, k, v, q, s, o, h, r, m, g) = forward(p, x)
-    n, y, weight = len(x), y.ravel(), (exists.ravel() / max(1, exists.sum())).astype(np.float32)
-    loss = -float((z[np.arange(len(y)), y] * weight).sum())
-    dz = np.exp(z)
-    dz[np.arange(len(y)), y] -= 1
-    dz *= weight[:, None]
-    d = {"U": g.T @ dz, "c": dz.sum(axis=0)}
-    dg = dz @ p["U"].T
-    d["W2"] = m.T @ dg
-    dr = (dg @ p["W2"].T) * (r > 0)
-    d["W1"], d["b1"] = h.T @ dr, dr.sum(axis=0)
-    dh = (dg + dr @ p["W1"].T).reshape(n, STEP, DIM)
-    d["Wo"] = o.reshape(-1, DIM).T @ dh.reshape(-1, DIM)
-    do = dh @ p["Wo"].T
-    dv = s.transpose(0, 2, 1) @ do
-    ds = do @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(DIM**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    d["Wq"] = late.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
-    flat_e = e.reshape(-1, DIM)
-    d["Wk"], d["Wv"] = flat_e.T @ dk.reshape(-1, DIM), flat_e.T @ dv.reshape(-1, DIM)
-    de = dk @ p["Wk"].T + dv @ p["Wv"].T
-    de[:, WIDTH - STEP :] += dh + dq @ p["Wq"].T
-    d["P"] = de.sum(axis=0)
-    d["E"] = np.zeros_like(p["E"])
-    np.add.at(d["E"], x.ravel(), de.reshape(-1, DIM))
-    return loss, d
+    inverse = 1 / o[:, :, DIM:]
+    o = o[:, :, :DIM] * inverse
+    h = np.ones((late.size, DIM + 1), s.dtype)
+    np.add(o.reshape(-1, DIM), p["R"].take(late.ravel(), axis=0), out=h[:, :DIM])
+    return q, k, v, s, inverse, o, h
+
+
+def level(z: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log probabilities of the entries `at` of the flattened rows z, and the sums of the rows' exponentials, which
+    take the rows' place."""
+    if safe:
+        z -= z.max(axis=1, keepdims=True)
+    own = z.ravel().take(at)
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return np.log(total) - own, total
+
+
+def within(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> tuple:
+    """Of the second softmax, in order of the targets' groups: the order, the groups (group, from, to), the rows of h, their
+    logits, and the targets' entries in these."""
+    order = np.argsort((y // MEMBERS).astype(np.uint8), kind="stable")
+    edges = np.cumsum(np.bincount(y // MEMBERS, minlength=GROUPS)).tolist()
+    groups = [(g, a, b) for g, (a, b) in enumerate(zip([0, *edges], edges)) if a < b]
+    hs, z = h.take(order, axis=0), np.empty((y.size, MEMBERS), h.dtype)
+    for g, a, b in groups:
+        np.matmul(hs[a:b], p["U2"][g], out=z[a:b])
+    return order, groups, hs, z, np.arange(y.size) * MEMBERS + (y % MEMBERS)[order]
+
+
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, exists: np.ndarray, grads: np.ndarray, safe: bool = False) -> float:
+    """Mean loss in nats over the existing targets; its gradients go to the flat array."""
+    n, step = y.shape
+    d, flat = views(grads), y.ravel()
+    q, k, v, s, inverse, o, h = attend(p, x, step, safe)
+    weight = (exists.ravel() / max(1, exists.sum())).astype(s.dtype)
+    z, at = h @ p["U1"], np.arange(flat.size) * GROUPS + flat // MEMBERS
+    own, total = level(z, at, safe)
+    loss = own @ weight
+    z *= (weight / total)[:, None]
+    z.ravel()[at] -= weight
+    np.matmul(h.T, z, out=d["U1"])
+    dh = z @ p["U1"].T
+    order, groups, hs, z, at = within(p, h, flat)
+    ws = weight[order]
+    own, total = level(z, at, safe)
+    loss += own @ ws
+    if not safe and not np.isfinite(loss):
+        return gradients(p, x, y, exists, grads, True)
+    z *= (ws / total)[:, None]
+    z.ravel()[at] -= ws
+    d["U2"][:] = 0
+    dhs = np.empty_like(h)
+    for g, a, b in groups:
+        np.matmul(hs[a:b].T, z[a:b], out=d["U2"][g])
+        np.matmul(z[a:b], p["U2"][g].T, out=dhs[a:b])
+    dh[order] += dhs
+    do = np.ascontiguousarray(dh[:, :DIM]).reshape(n, step, DIM)
+    da = do * inverse
+    dv = s.transpose(0, 2, 1) @ da
+    ds = da @ v[:, :, :DIM].transpose(0, 2, 1)
+    ds -= np.einsum("nij,nij->ni", da, o)[:, :, None]
+    ds *= s
+    dq = ds @ k
+    dq *= SCALE
+    dk = ds.transpose(0, 2, 1) @ q
+    along = ds.sum(axis=0)
+    d["B"][:] = [np.trace(along, WIDTH - step - distance) for distance in range(WIDTH)]
+    for names, ids, parts in (("KV", x, (dk, dv)), ("QR", x[:, WIDTH - step :], (dq, do))):
+        ids = ids.ravel().astype(np.int16)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        for name, part in zip(names, parts, strict=True):
+            d[name][:] = 0
+            d[name][ids[starts]] = np.add.reduceat(part.reshape(-1, DIM).take(order, axis=0), starts, axis=0)
+    return float(loss)
 
 
 class Adam:
-    def __init__(self, params: dict[str, np.ndarray], rate: float):
-        self.params, self.rate, self.n = params, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in params.items()}
-        self.v = {k: np.zeros_like(v) for k, v in params.items()}
+    def __init__(self, flat: np.ndarray, rate: float):
+        self.flat, self.rate, self.n = flat, rate, 0
+        self.m, self.v, self.spare = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
 
-    def step(self, grads: dict[str, np.ndarray], scale: float = 1.0) -> None:
+    def step(self, grads: np.ndarray, scale: float = 1.0) -> None:
         self.n += 1
-        for k, g in grads.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            up = self.m[k] / (1 - 0.9**self.n) / (np.sqrt(self.v[k] / (1 - 0.99**self.n)) + 1e-8)
-            self.params[k] -= (scale * self.rate * up).astype(np.float32)
-
-
-def train(params: dict[str, np.ndarray], texts: list[np.ndarray], start: int, pad: int, steps: int | None, batch: int = 128, rate: float = 0.01, seed: int = 2) -> float:
-    """Adam over windows of the texts' class ids, randomly drawn, or without steps each window once in random order; params
-    change in place. Returns the last mean loss."""
-    texts = [t for t in texts if len(t)]
-    if not texts or (steps is not None and steps <= 0):
-        return 0.0
-    sizes = np.array([len(t) for t in texts])
-    ids, begins = np.concatenate(texts), np.cumsum(sizes) - sizes
-    text, first = windows(sizes)
-    draw, adam, recent = np.random.default_rng(seed), Adam(params, rate), 0.0
-    order = draw.permutation(len(text)) if steps is None else None
-    steps = -(-len(text) // batch) if steps is None else steps
-    for n in range(steps):
-        pick = draw.integers(0, len(text), batch) if order is None else order[n * batch : (n + 1) * batch]
-        loss, grads = gradients(params, *gather(ids, begins, sizes, text[pick], first[pick], start, pad))
-        adam.step(grads, 1 - n / steps)
-        recent += 0.05 * (loss - recent)
-    return recent
+        t = self.spare
+        self.m += np.multiply(np.subtract(grads, self.m, out=t), 0.1, out=t)
+        np.multiply(grads, grads, out=t)
+        t -= self.v
+        t *= 0.01
+        self.v += t
+        np.sqrt(self.v, out=t)
+        t *= (1 - 0.99**self.n) ** -0.5
+        t += 1e-8
+        np.divide(self.m, t, out=t)
+        t *= scale * self.rate / (1 - 0.9**self.n)
+        self.flat -= t
+
+
+class Trainer:
+    """Trains parameters, in place, on texts' ids as they come: every window once, in random order within a block of texts."""
+
+    def __init__(self, flat: np.ndarray, rate: float, seed: int = 2, batch: int = 256, slow: int = 100):
+        keep_memory()
+        self.adam, self.p, self.grads = Adam(flat, rate), views(flat), np.zeros_like(flat)
+        self.draw, self.batch, self.slow, self.ids, self.recent = np.random.default_rng(seed), batch, slow, 0, 0.0
+
+    def see(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """One block; the rate falls with the root of the number of steps."""
+        windows = Windows(ids, sizes, WIDTH)
+        order = self.draw.permutation(len(windows))
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            for at in range(0, len(order), self.batch):
+                loss = gradients(self.p, *windows.take(order[at : at + self.batch]), self.grads)
+                self.adam.step(self.grads, (1 + self.adam.n / self.slow) ** -0.5)
+                self.recent += 0.02 * (loss - self.recent) if self.recent else loss
+        self.ids += len(ids)
 
 
 class Scorer:
-    """Scores texts with fixed parameters. Keys, values and queries depend on an id and its place only, so they are
-    looked up; biases and the sums of the softmaxes ride along in the matrix products."""
-
-    def __init__(self, p: dict[str, np.ndarray], start: int, pad: int):
-        self.start, self.pad = start, pad
-        early, scale = p["P"], np.float32(DIM**-0.5)
-        late = early[WIDTH - STEP :]
-        side = lambda *parts: np.ascontiguousarray(np.concatenate(parts, axis=1), np.float32)
-        # keys | values | one; queries | the ids' own embeddings
-        self.seen_by = side(p["E"] @ p["Wk"], p["E"] @ p["Wv"] @ p["Wo"], np.ones((len(p["E"]), 1)))
-        self.seen_at = side(early @ p["Wk"], early @ p["Wv"] @ p["Wo"], np.zeros((WIDTH, 1)))
-        self.asking, self.asking_at = side(p["E"] @ p["Wq"] * scale, p["E"]), side(late @ p["Wq"] * scale, late)
-        self.W1, self.b1, self.W2 = p["W1"], p["b1"], p["W2"]
-        self.U = np.ascontiguousarray(np.concatenate([p["U"], p["c"][None, :]]), np.float32)
-        self.seen, self.ones = np.ascontiguousarray(MASK == 0).astype(np.float32), np.ones(self.U.shape[1], np.float32)
+    """Scores texts with fixed parameters."""
+
+    def __init__(self, flat: np.ndarray):
+        keep_memory()
+        self.p = views(flat)
+        self.known = tables(self.p, STEP)
 
     def block(self, x: np.ndarray, y: np.ndarray, safe: bool = False) -> np.ndarray:
-        """Natural log probabilities of the targets y (windows, STEP) after the inputs x (windows, WIDTH).
-
-        Exponentials are taken as they are; should one overflow, the block is done again with maxima subtracted.
-        """
-        n = len(x)
-        kv = self.seen_by.take(x, axis=0, mode="clip")
-        kv += self.seen_at
-        qe = self.asking.take(x[:, WIDTH - STEP :], axis=0, mode="clip")
-        qe += self.asking_at
-        s = qe[:, :, :DIM] @ kv[:, :, :DIM].transpose(0, 2, 1)
-        if safe:
-            s += MASK
-            s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s *= self.seen
-        o = s @ kv[:, :, DIM:]
-        h = o[:, :, :DIM] / o[:, :, DIM:]
-        h += qe[:, :, DIM:]
-        h = h.reshape(n * STEP, DIM)
-        m = h @ self.W1
-        m += self.b1
-        np.maximum(m, 0, out=m)
-        g = np.ones((n * STEP, DIM + 1), np.float32)
-        np.matmul(m, self.W2, out=g[:, :DIM])
-        g[:, :DIM] += h
-        z = g @ self.U
-        picked = z.take(np.arange(0, z.size, z.shape[1]) + y.ravel())
-        if safe:
-            top = z.max(axis=1)
-            z -= top[:, None]
-            picked -= top
-        np.exp(z, out=z)
-        out = picked - np.log(z @ self.ones)
+        """Natural log probabilities of the targets y (windows, STEP) after the inputs x (windows, WIDTH)."""
+        h = attend(self.p, x, STEP, safe, self.known)[-1]
+        flat = y.ravel()
+        out = -level(h @ self.p["U1"], np.arange(flat.size) * GROUPS + flat // MEMBERS, safe)[0]
+        order, _, _, z, at = within(self.p, h, flat)
+        out[order] -= level(z, at, safe)[0]
         if not safe and not np.isfinite(out).all():
             return self.block(x, y, True)
         return out.reshape(y.shape)
 
-    def score(self, texts: list[np.ndarray], block: int = 128) -> np.ndarray:
-        """Natural log probability of each text's ids."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        lanes = -(-sizes // STEP)
-        # of each text: pads, the start, its ids, and zeros up to whole steps
-        room = lanes * STEP + WIDTH - STEP + 1
-        begins = np.cumsum(room) - room
-        flat_ids = np.full(int(room.sum()), self.pad, np.intp)
-        ids = np.concatenate(texts) if texts else np.zeros(0, np.int32)
-        inside = np.arange(len(ids)) + np.repeat(begins + WIDTH - STEP + 1 - (np.cumsum(sizes) - sizes), sizes)
-        flat_ids[inside] = ids
-        flat_ids[begins[sizes > 0] + WIDTH - STEP] = self.start
-        text, first = windows(sizes)
-        at = (begins[text] + first).astype(np.int64)
-        out = np.zeros(len(text))
-        steps = np.arange(WIDTH)
+    def score(self, ids: np.ndarray, sizes: np.ndarray, batch: int = 512) -> np.ndarray:
+        """Natural log probability of each text, whose ids lie one behind the other."""
+        windows = Windows(ids, sizes, STEP)
+        out = np.zeros(len(windows))
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-            self._fill(out, flat_ids, at, sizes[text] - first, steps, block)
-        return np.bincount(text, weights=out, minlength=len(texts))
-
-    def _fill(self, out: np.ndarray, flat_ids: np.ndarray, at: np.ndarray, left: np.ndarray, steps: np.ndarray, block: int) -> None:
-        for k in range(0, len(at), block):
-            base = at[k : k + block, None]
-            x = flat_ids[base + steps]
-            y = flat_ids[base + steps[WIDTH - STEP :] + 1]
-            got = self.block(x, np.minimum(y, self.U.shape[1] - 1))
-            got[np.arange(STEP)[None, :] >= left[k : k + block, None]] = 0
-            out[k : k + block] = got.sum(axis=1, dtype=np.float64)
+            for at in range(0, len(windows), batch):
+                x, y, exists = windows.take(slice(at, at + batch))
+                got = self.block(x, y)
+                got[~exists] = 0
+                out[at : at + batch] = got.sum(axis=1, dtype=np.float64)
+        return np.bincount(windows.text, weights=out, minlength=len(sizes))

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_on
+from ..session import checkpoint
+from .common import join_on
 
 #: tool → parameter → (JSON type, required). A table of tools is a parameter of its operators and lives in the plan.
 Schemas = dict[str, dict[str, tuple[str, bool]]]

@@ -1,9 +1,7 @@
-"""What the training-data operators share: tables, checkpoints, Arrow batches, connected components."""
+"""What the training-data operators share: tables, Arrow batches, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 #: White space that separates words where a contract says `[^\x20\x09-\x0D]+`.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -19,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read again, with its lineage cut.
-
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests), a temporary one is.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="clausemill-"))
-    return df.checkpoint()
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -82,16 +71,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where none is set."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="clausemill-")
-    return f"{top.rstrip('/')}/clausemill-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in a shared folder: a checkpoint in columns, for larger intermediate results."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lower_ascii
+from ..session import checkpoint
+from .common import lower_ascii
 
 #: Separators of the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, in lower-cased text.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

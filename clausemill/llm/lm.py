@@ -1,18 +1,16 @@
 """Language-model scoring: a causal self-attention model over subword ids, beside a smoothed unigram base.
 
-Words are counted over all training documents. Each distinct word is cut into subwords once wherever it is met; the
-counts of subwords follow from those of words. The most frequent subwords are classes of their own, the others share
-one class in which they are told apart by their corpus counts, so that class and member probabilities multiply to a
-proper distribution over all ids and the end.
+Texts are read once, where they lie. A task gathers them in chunks of bounded size; a chunk numbers its distinct words and
+keeps its texts as numbers. The words, one row a chunk with their training counts, meet in one shuffle by word, which gives
+each its count in the corpus, and go back to their chunk. There they are cut into subwords, each word once, and the texts
+become arrays of subword ids with their unigram sums: a table that the model learns from and scores without any shuffle.
 
-The attention model starts on the driver from a bounded sample (`START_DOCS` training documents with the smallest
-hashes), and is then refined where the data lie: buckets of all training documents are each trained on, every window
-once, and the parameters are averaged by their numbers of ids. Counts and refinement grow with the corpus;
-only the averages and the counts of at most one row per vocabulary entry come to the driver.
+The most frequent subwords are classes of their own, the others share one class in which they are told apart by their corpus
+counts, so that class and member probabilities multiply to a proper distribution over all ids and the end.
 
-Documents are dealt into chunks of bounded size by a hash. A chunk's distinct words meet their corpus counts in one
-join of pre-aggregated rows, and come back sorted in front of the chunk's documents, which stream past them: no
-vocabulary is broadcast, and a chunk in which one document repeats has no more words for it.
+The attention model starts on the driver from START_DOCS training documents, those with the smallest hashes, and then learns
+where the data lie: every task trains on every window of all the training documents it holds, and the parameters are
+averaged by their numbers of ids. Of these, at most SLOTS sums come to the driver, and one count per vocabulary entry.
 
 Defined cases: a null text is empty, which is the end alone; repeated rows count and are scored each; a null id is
 neither held out nor learned from; an empty table gives no rows. Columns other than id and text aren't read.
@@ -21,22 +19,24 @@ neither held out nor learned from; an empty table gives no rows. Columns other t
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import discard, shared_folder, written
 from . import attention
-from .common import small, utf8, written
+from .common import small, utf8
 
-CLASSES, CHUNK_BYTES, START_DOCS, START_STEPS, BUCKET_DOCS, PIECE = 256, 16 << 20, 400, 500, 1000, 200
+CHUNK_BYTES, START_DOCS, START_ROUNDS, BLOCK, SLOTS = 32 << 20, 400, 4, 1 << 20, 64
 END = b""  # as a word
+ID = np.dtype("<u4")  # of subword ids in tables
 
 
 class Subwords:
@@ -51,14 +51,32 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
+        self.opens = np.zeros(self.end + 1, bool)  # tokens that begin with a space
+        self.opens[[n for token, n in ranks.items() if token[:1] == b" "]] = True
 
     def encode(self, word: bytes) -> list[int]:
-        if not word:
-            return [self.end]
-        text = " " + word.decode("utf-8", "replace")
-        if len(text) <= PIECE:
-            return self.encoding.encode_ordinary(text)
-        return [i for at in range(0, len(text), PIECE) for i in self.encoding.encode_ordinary(text[at : at + PIECE])]
+        return self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace")) if word else [self.end]
+
+    def encode_all(self, words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words one behind the other, and how many each has.
+
+        Words hold no space, so a run of them is encoded as one text, whose tokens with a space in front open the words.
+        """
+        ids, sizes = [], []
+        for at in range(0, len(words), at_once):
+            some = words[at : at + at_once]
+            here = np.flatnonzero([not w for w in some])  # the end
+            got = self.encoding.encode_to_numpy(" " + b" ".join(filter(None, some)).decode("utf-8", "replace")) if len(here) < len(some) else np.zeros(0, np.uint32)
+            begins = np.flatnonzero(self.opens[got])
+            if len(begins) + len(here) == len(some):
+                size = np.insert(np.diff(np.r_[begins, len(got)]), here - np.arange(len(here)), 1)
+                got = np.insert(got, (np.cumsum(size) - size)[here] - np.arange(len(here)), self.end)
+            else:  # no token of the vocabulary is the space itself
+                each = [self.encode(w) for w in some]
+                size, got = np.array([len(x) for x in each]), np.array([i for x in each for i in x], np.uint32)
+            ids.append(got.astype(ID))
+            sizes.append(size)
+        return np.concatenate(ids or [np.zeros(0, ID)]), np.concatenate(sizes or [np.zeros(0, np.int64)]).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -71,192 +89,267 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]  # bytes: lower() and split() know ASCII only
 
 
-class Vocabulary:
-    """What scoring needs of the corpus: classes, members' probabilities, the model, and the unigram totals."""
+class Numbers(dict):
+    """Words by number, in order of first sight."""
 
-    def __init__(self, counts: dict[int, int], size: int, total: int, distinct: int, path: str, pattern: str):
-        self.path, self.pattern, self.total, self.distinct = path, pattern, total, distinct
-        top = sorted(counts, key=lambda i: (-counts[i], i))[: CLASSES - 1]
-        self.class_of = np.full(size, CLASSES - 1, np.int16)
-        self.class_of[top] = np.arange(len(top))
-        own = np.zeros(size)
-        own[list(counts)] = list(counts.values())
-        rest = self.class_of == CLASSES - 1
-        self.member = np.zeros(size, np.float64)  # log probability within the class
-        self.member[rest] = np.log((own[rest] + 1) / (own[rest].sum() + rest.sum()))
-        mass = np.bincount(self.class_of, weights=own, minlength=CLASSES) + 1
-        self.params = attention.initial(CLASSES, CLASSES + 2, np.log(mass / mass.sum()))
-
-    def classes(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        coder, known = subwords(self.path, self.pattern), {}
-        out = []
-        for text in texts:
-            ids: list[int] = []
-            for word in words_of(text):
-                if (got := known.get(word)) is None:
-                    got = known[word] = coder.encode(word)
-                ids += got
-            out.append(self.class_of[ids])
-        return out
-
-    def train(self, texts: list[bytes | None], steps: int | None, rate: float) -> int:
-        """Trains self.params, without steps on every window once; the number of ids in the texts."""
-        coded = self.classes(texts)
-        attention.train(self.params, coded, CLASSES, CLASSES + 1, steps, rate=rate)
-        return sum(map(len, coded))
-
-
-def _chunk_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, train, text) in order of chunk → (chunk, word, c): a chunk's distinct words, with training counts."""
-    now, counts, held = None, Counter(), set()
-
-    def out() -> Iterator[pa.RecordBatch]:
-        counts.update(dict.fromkeys(held.difference(counts), 0))
-        for at in range(0, len(words := list(counts)), 100_000):
-            some = words[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([now] * len(some), pa.int32()), pa.array([w.decode() for w in some], pa.string()), pa.array([counts[w] for w in some], pa.int64())], names=["chunk", "word", "c"])
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+# ---- texts as numbers of words -----------------------------------------------------------------------------------
+
+CHUNKED = "chunk long, n int, word binary, c long, id {id}, held_out boolean, words binary"
+
+
+def _number(chunk_bytes: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, held_out, train, text) → a row for each text, with its words' numbers, and one for each word of its chunk."""
+    chunk, size, numbers, counts = TaskContext.get().partitionId() << 24, 0, Numbers(), np.zeros(0, np.int64)
+    names = ["chunk", "n", "word", "c", "id", "held_out", "words"]
+    kind, rows, train = None, [], []
+
+    def texts() -> pa.RecordBatch:
+        nonlocal counts
+        seen = np.bincount(np.concatenate([r[2] for r, t in zip(rows, train, strict=True) if t] or [np.zeros(0, np.int32)]), minlength=len(numbers))
+        seen[: len(counts)] += counts
+        counts = seen
+        n = len(rows)
+        out = [pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2].tobytes() for r in rows], pa.binary())]
+        rows.clear()
+        train.clear()
+        return pa.RecordBatch.from_arrays(out, names=names)
+
+    def words() -> Iterator[pa.RecordBatch]:
+        every = list(numbers)
+        for at in range(0, len(every), 100_000):
+            some = every[at : at + 100_000]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(some, pa.binary()), pa.array(counts[at : at + n]), pa.nulls(n, kind), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())], names=names)
 
     for part in small(parts):
-        for chunk, train, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2)), strict=True):
-            if chunk != now:
-                if now is not None:
-                    yield from out()
-                now, counts, held = chunk, Counter(), set()
-            if train:
-                counts.update(words_of(text))
-            else:
-                held.update(words_of(text))
-    if now is not None:
-        yield from out()
-
-
-def _subword_counts(path: str, pattern: str):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, sums = subwords(path, pattern), Counter()
-        for part in parts:
-            for word, c in zip(utf8(part.column(0)), part.column(1).to_pylist(), strict=True):
-                for i in coder.encode(word):
-                    sums[i] += c
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["id", "n"])
-
-    return run
-
-
-def _refine(vocabulary: Vocabulary):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model = vocabulary
-        start = {k: v.copy() for k, v in model.params.items()}
-        try:
-            texts = [t.encode("utf-8", "replace") for t in rows.sort_values("h")["text"]]
-            n = model.train(texts, None, 0.002)
-            values = attention.flat(model.params).astype(np.float64)
-        finally:
-            model.params = start
-        return pd.DataFrame({"at": np.arange(len(values), dtype=np.int32), "weighted": values * n, "weight": float(n)})
-
-    return run
-
-
-def _score(vocabulary: Vocabulary):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(chunk, word, c, id, held_out, text) in order of chunk, words first."""
-        now, words, counts, lexicon = None, [], [], None
-        for part in parts:
-            chunks = part.column(0).to_numpy()
-            edges = np.flatnonzero(np.diff(chunks)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), part.num_rows], strict=True):
-                if a == b:
-                    continue
-                own = part.slice(a, b - a)
-                if now != chunks[a]:
-                    now, words, counts, lexicon = chunks[a], [], [], None
-                is_word = own.column(1).is_valid()
-                lexical, docs = own.filter(is_word), own.filter(pc.invert(is_word))
-                words += utf8(lexical.column(1))
-                counts += lexical.column(2).to_pylist()
-                if docs.num_rows:
-                    lexicon = lexicon or Lexicon(vocabulary, words, counts)
-                    yield lexicon.score(docs)
-
-    return run
+        kind = part.column(0).type
+        for one, held, learned, text in zip(*(part.column(k).to_pylist() for k in range(3)), utf8(part.column(3)), strict=True):
+            found = words_of(text)
+            rows.append((one, held, np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))))
+            train.append(learned)
+            size += len(text or b"")
+            if size >= chunk_bytes:
+                yield texts()
+                yield from words()
+                chunk, size, numbers, counts = chunk + 1, 0, Numbers(), np.zeros(0, np.int64)
+        if rows:
+            yield texts()
+    if numbers:
+        yield from words()
+
+
+# ---- texts as subword ids ----------------------------------------------------------------------------------------
+
+CODED = "id {id}, held_out boolean, n_tokens long, n_known long, logs double, ids binary, fresh long"
 
 
 class Lexicon:
-    """A chunk's words, their corpus counts and their subwords' classes."""
-
-    def __init__(self, vocabulary: Vocabulary, words: list[bytes], counts: list[int]):
-        self.v, coder = vocabulary, subwords(vocabulary.path, vocabulary.pattern)
-        self.scorer = attention.Scorer(vocabulary.params, CLASSES, CLASSES + 1)
-        self.number = {w: n for n, w in enumerate(words)}
-        ids = [coder.encode(w) for w in words]
-        self.sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    """A chunk's words: their corpus counts and subword ids, by number."""
+
+    def __init__(self, coder: Subwords, parts: list[pa.RecordBatch]):
+        n = np.concatenate([np.asarray(p.column("n")) for p in parts])
+        order = np.argsort(n)
+        words = [w for p in parts for w in p.column("word").to_pylist()]
+        self.ids, self.sizes = coder.encode_all([words[k] for k in order.tolist()])
         self.begins = np.cumsum(self.sizes) - self.sizes
-        every = np.fromiter((i for x in ids for i in x), np.int64, int(self.sizes.sum()))
-        self.classes = vocabulary.class_of[every]
-        self.member = np.add.reduceat(vocabulary.member[every], self.begins) if len(ids) else np.zeros(0)
-        c = np.array(counts, np.float64)
-        self.known = c > 0
-        self.base = np.log10((c + 1) / (vocabulary.total + vocabulary.distinct + 1))
-
-    def score(self, docs: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        texts = utf8(docs.column(5))
+        c = np.concatenate([np.asarray(p.column("c")) for p in parts])[order]
+        self.logs, self.known = np.log10(c + 1.0), (c > 0).astype(np.int64)
+
+    def code(self, docs: pa.RecordBatch) -> pa.RecordBatch:
+        raw = docs.column("words").to_pylist()
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        words, begins = np.frombuffer(b"".join(raw), "<i4"), np.cumsum(sizes) - sizes
+        each = self.sizes[words]
+        ids = self.ids[np.arange(int(each.sum())) + np.repeat(self.begins[words] - (np.cumsum(each) - each), each)]
+        ends = np.r_[0, np.cumsum(np.add.reduceat(each, begins))] * ID.itemsize
+        coded = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+        columns = [docs.column("id"), docs.column("held_out"), pa.array(sizes), pa.array(np.add.reduceat(self.known[words], begins)), pa.array(np.add.reduceat(self.logs[words], begins)), coded, pa.nulls(len(raw), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "logs", "ids", "fresh"])
+
+
+def _code(path: str, pattern: str, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks, words before texts → a row for each text, and one a chunk (ids null) with the words that are counted there."""
+    now, held, lexicon = None, [], None
+    for part in parts:
+        chunks = part.column("chunk").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), part.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            own = part.slice(a, b - a)
+            if now != chunks[a]:
+                now, held, lexicon = chunks[a], [], None
+            is_word = own.column("words").is_null()
+            if (words := own.filter(is_word)).num_rows:
+                held.append(words)
+            docs = own.filter(pc.invert(is_word))
+            if docs.num_rows and lexicon is None:
+                lexicon = Lexicon(subwords(path, pattern), held)
+                fresh = sum(pc.sum(pc.cast(w.column("first"), pa.int64())).as_py() or 0 for w in held)
+                one = [pa.nulls(1, docs.column("id").type), *[pa.nulls(1, k) for k in (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary())], pa.array([fresh], pa.int64())]
+                held = []
+                yield pa.RecordBatch.from_arrays(one, names=["id", "held_out", "n_tokens", "n_known", "logs", "ids", "fresh"])
+            at = 0
+            while at < docs.num_rows:  # of about BLOCK words at once
+                size, end = 0, at
+                while end < docs.num_rows and (end == at or size < 4 * BLOCK):
+                    size += len(docs.column("words")[end].as_buffer())
+                    end += 1
+                yield lexicon.code(docs.slice(at, end - at))
+                at = end
+
+
+# ---- the model ---------------------------------------------------------------------------------------------------
+
+
+class Vocabulary:
+    """Classes of ids, members' probabilities within them, and the model's parameters."""
+
+    def __init__(self, counts: np.ndarray):
+        top = np.lexsort((np.arange(len(counts)), -counts))[: attention.CLASSES - 1]
+        top = top[counts[top] > 0]
+        self.class_of = np.full(len(counts), attention.CLASSES - 1, np.int16)
+        self.class_of[top] = np.arange(len(top))
+        rest = self.class_of == attention.CLASSES - 1
+        self.member = np.zeros(len(counts))  # log probability within the class
+        self.member[rest] = np.log((counts[rest] + 1) / (counts[rest].sum() + rest.sum()))
+        self.mass = np.bincount(self.class_of, weights=counts, minlength=attention.CLASSES) + 1
+        self.params = attention.initial(self.mass)
+
+
+def blocks(parts: Iterator[pa.RecordBatch], column: str = "ids", most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their ids one behind the other, how many each has), of about `most` ids at once."""
+    for part in parts:
+        raw = part.column(column).to_pylist()
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // ID.itemsize
         at = 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end] or b"") < 2_000_000):
-                size += len(texts[end] or b"")
-                end += 1
-            coded, some = [], []
-            for text in texts[at:end]:
-                words = words_of(text)
-                n = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-                sizes = self.sizes[n]
-                where = np.arange(int(sizes.sum())) + np.repeat(self.begins[n] - (np.cumsum(sizes) - sizes), sizes)
-                coded.append(self.classes[where])
-                some.append((len(words), int(self.known[n].sum()), float(self.base[n].sum()), float(self.member[n].sum())))
-            logs = self.scorer.score(coded)
-            rows += [(*x[:3], (x[3] + y) / math.log(10)) for x, y in zip(some, logs.tolist(), strict=True)]
+        while at < len(raw):
+            end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), most)) + at)
+            yield part.slice(at, end - at), np.frombuffer(b"".join(raw[at:end]), ID), sizes[at:end]
             at = end
-        columns = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([docs.column(3), docs.column(4), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
 
-def score(docs: DataFrame, path: str, pattern: str, modulus: int = 7, held: int = 2, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
-    Documents whose crc32 of the id as text leaves the remainder `held` by `modulus` are held out. path, pattern: a
-    tokenizer's ranks and its pattern, at the same place on all executors.
+def _id_counts(size: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(size, np.int64)
+    for _, ids, _ in blocks(parts):
+        counts += np.bincount(ids, minlength=size)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["id", "n"])
+
+
+LEARNED = "slot int, params binary, weight double"
+
+
+def _refine(vocabulary: Vocabulary, rate: float, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parameters after every window of a task's texts."""
+    trainer = attention.Trainer(vocabulary.params.copy(), rate)
+    waiting: list[np.ndarray] = []
+    lengths: list[np.ndarray] = []
+    for _, ids, sizes in blocks(parts):
+        waiting.append(vocabulary.class_of[ids])
+        lengths.append(sizes)
+        if sum(map(len, waiting)) >= BLOCK:
+            trainer.see(np.concatenate(waiting), np.concatenate(lengths))
+            waiting, lengths = [], []
+    if waiting:
+        trainer.see(np.concatenate(waiting), np.concatenate(lengths))
+    if trainer.ids:
+        yield _model(TaskContext.get().partitionId() % SLOTS, trainer.adam.flat, trainer.ids)
+
+
+def _model(slot: int, flat: np.ndarray, weight: float) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([flat.astype("<f4").tobytes()], pa.binary()), pa.array([float(weight)])], names=["slot", "params", "weight"])
+
+
+def average(models: Iterator[tuple[bytes, float]]) -> tuple[np.ndarray, float]:
+    """The weighted mean of parameters, and the weight."""
+    total, weight = np.zeros(attention.SIZE), 0.0
+    for params, w in models:
+        total += np.frombuffer(params, "<f4") * w
+        weight += w
+    return (total / weight if weight else total), weight
+
+
+def _average(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mean, weight = average((p, w) for part in parts for p, w in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
+    if weight:
+        yield _model(0, mean, weight)
+
+
+def _score(vocabulary: Vocabulary, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    scorer = attention.Scorer(vocabulary.params)
+    for rows, ids, sizes in blocks(parts):
+        begins = np.cumsum(sizes) - sizes
+        logs = scorer.score(vocabulary.class_of[ids], sizes) + np.add.reduceat(vocabulary.member[ids], begins)
+        yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(5)), pa.array(logs / math.log(10))], names=["id", "held_out", "n_tokens", "n_known", "logs", "score"])
+
+
+def learn(coded: DataFrame, size: int, rate: float = 0.01, refining: float = 0.003) -> Vocabulary:
+    """Classes and a model from the rows (id, ids); every window of all of them is learned from."""
+    sums = coded.select("ids").mapInArrow(partial(_id_counts, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(size, np.int64)
+    for r in sums:
+        counts[r["id"]] = r["n"]
+    vocabulary = Vocabulary(counts)
+    hashed = coded.select("ids", F.xxhash64("id", "ids").alias("h"))
+    n = coded.count()
+    share = min(1.0, 4 * START_DOCS / max(1, n))
+    few = hashed.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("h").limit(START_DOCS).collect()
+    start = [np.frombuffer(r["ids"], ID) for r in few]
+    if start:
+        trainer = attention.Trainer(vocabulary.params, rate)
+        for _ in range(START_ROUNDS):
+            trainer.see(vocabulary.class_of[np.concatenate(start)], np.array([len(x) for x in start]))
+        each = coded.select("ids").mapInArrow(partial(_refine, vocabulary, refining), LEARNED)
+        sums = each.repartition(SLOTS, "slot").mapInArrow(_average, LEARNED).collect()  # at most SLOTS rows
+        vocabulary.params = average((r["params"], r["weight"]) for r in sums)[0].astype(np.float32)
+    return vocabulary
+
+
+def code(docs: DataFrame, path: str, pattern: str, modulus: int = 7, held: int = 2, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
+    """The table (id, held_out, n_tokens, n_known, logs, ids) of all rows, and the numbers of training tokens and of distinct ones.
+
+    logs sums log10(c + 1) over the tokens; ids are subword ids, little-endian.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = plain.schema["id"].dataType.simpleString()
     remainder = F.crc32(F.col("id").cast("string").cast("binary")) % modulus
-    plain = plain.withColumns({"held_out": F.coalesce(remainder == held, F.lit(False)), "train": F.coalesce(remainder != held, F.lit(False)), "h": F.xxhash64("id", "text")})
-    size, trained = plain.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.count_if("train")).first()
-    chunks = max(1, -(-(size or 0) // chunk_bytes))
-    plain = plain.withColumn("chunk", F.pmod("h", F.lit(chunks)).cast("int"))
-    words = written(plain.select("chunk", "train", "text").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_chunk_words, "chunk int, word string, c long"))
-    counts = written(words.groupBy("word").agg(F.sum("c").alias("c")))
-    total, distinct = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    subs = counts.where("c > 0").mapInArrow(_subword_counts(path, pattern), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    vocabulary = Vocabulary({r["id"]: r["n"] for r in subs.collect()}, subwords(path, pattern).end + 1, total or 0, distinct or 0, path, pattern)
-
-    train = plain.where("train")
-    share = min(1.0, 4 * START_DOCS / max(1, trained))
-    few = train.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("h", "id").limit(START_DOCS)
-    vocabulary.train([(r["text"] or "").encode() for r in few.select("text").collect()], START_STEPS, 0.01)
-    buckets = max(1, -(-trained // BUCKET_DOCS))
-    dealt = train.select(F.pmod(F.shiftright("h", 8), F.lit(buckets)).alias("bucket"), "h", F.coalesce("text", F.lit("")).alias("text"))
-    tuned = dealt.groupBy("bucket").applyInPandas(_refine(vocabulary), "at int, weighted double, weight double")
-    means = tuned.groupBy("at").agg((F.sum("weighted") / F.sum("weight")).alias("value")).orderBy("at").collect()
-    if means:
-        vocabulary.params = attention.shaped(np.array([r["value"] for r in means]), vocabulary.params)
-
+    plain = plain.select("id", F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.coalesce(remainder != held, F.lit(False)).alias("train"), "text")
+    chunked = written(plain.mapInArrow(partial(_number, chunk_bytes), CHUNKED.format(id=kind)), folder := shared_folder(docs.sparkSession), compression="zstd")
+    words = chunked.where("word is not null")
+    total = words.agg(F.sum("c")).first()[0] or 0
+    # a chunk has a word once, so a word has no more rows than there are chunks
+    alike = W.partitionBy("word")
+    counted = words.select("chunk", "n", "word", F.sum("c").over(alike).alias("c"), (F.min("chunk").over(alike) == F.col("chunk")).alias("first"))
     none = lambda kind: F.lit(None).cast(kind)
-    id_type = plain.schema["id"].dataType.simpleString()
-    lexical = words.select("chunk", "word").join(counts, "word").select("chunk", "word", "c", none(id_type).alias("id"), none("boolean").alias("held_out"), none("string").alias("text"))
-    texts = plain.select("chunk", none("string").alias("word"), none("long").alias("c"), "id", "held_out", "text")
-    dealt = lexical.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("word").isNull())
-    found = dealt.mapInArrow(_score(vocabulary), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return found.select("id", "held_out", "n_tokens", "n_known", F.lit(total or 0).cast("long").alias("train_tokens"), "base_score", "score")
+    counted = counted.select("chunk", "n", "word", "c", (F.col("first") & (F.col("c") > 0)).alias("first"), none(kind).alias("id"), none("boolean").alias("held_out"), none("binary").alias("words"))
+    texts = chunked.where("words is not null").select("chunk", "n", "word", "c", none("boolean").alias("first"), "id", "held_out", "words")
+    met = counted.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("words").isNotNull())
+    coded = written(met.mapInArrow(partial(_code, path, pattern), CODED.format(id=kind)), compression="zstd")
+    discard(docs.sparkSession, folder)
+    distinct = coded.where("fresh is not null").agg(F.sum("fresh")).first()[0] or 0
+    return coded.where("ids is not null").drop("fresh"), total, distinct
+
+
+def apply(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The coded rows with their scores for their ids."""
+    kind = coded.schema["id"].dataType.simpleString()
+    return coded.mapInArrow(partial(_score, vocabulary), f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
+
+
+def score(docs: DataFrame, path: str, pattern: str, **options) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
+
+    Documents whose crc32 of the id as text leaves the remainder `held` by `modulus` are held out. path, pattern: a
+    tokenizer's ranks and its pattern, at the same place on all executors. The coded texts stay in a folder of the shared
+    store for as long as the result is read.
+    """
+    coded, total, distinct = code(docs, path, pattern, **options)
+    found = apply(coded, learn(coded.where("not held_out and id is not null"), subwords(path, pattern).end + 1))
+    base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))
+    return found.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, small, utf8
+from ..session import checkpoint
+from .common import components, small, utf8
 
 SEED = 42
 BITS = 64

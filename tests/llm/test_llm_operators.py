@@ -565,6 +565,9 @@ def test_language_edges(spark, edges, nothing):
 # ---- 10 language model
 
 
+BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def test_lm_query(spark, small, texts):
     rows = {r["doc_id"]: r for r in queries.op10_lm_scoring(spark, small).collect()}
     words = {i: [*WORDS.findall(lower(t)), ""] for i, t in texts.items()}
@@ -577,83 +580,127 @@ def test_lm_query(spark, small, texts):
 
 
 def test_lm_edges(spark, edges, nothing):
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = lm.score(edges, path, public_tokenizers.PATTERN, chunk_bytes=5000).collect()
+    rows = lm.score(edges, BPE, public_tokenizers.PATTERN, chunk_bytes=5000).collect()
     assert Counter(r["id"] for r in rows) == Counter(i for i, _ in EDGES)
-    assert all(r["n_tokens"] == len(WORDS.findall(t or "")) + 1 for r in rows for i, t in EDGES if i == r["id"])
-    assert lm.score(nothing, path, public_tokenizers.PATTERN).count() == 0
-
-
-def test_lm_refines_on_all_training_documents(spark, edges, tmp_path, monkeypatch):
-    import uuid
-
-    import pandas as pd
-
-    folder, size = str(tmp_path), len(attention.flat(attention.initial(lm.CLASSES, lm.CLASSES + 2, np.zeros(lm.CLASSES))))
-
-    def refine(vocabulary):
-        def run(rows):
-            with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
-                file.write(str(len(rows)))
-            return pd.DataFrame({"at": np.arange(size, dtype=np.int32), "weighted": np.zeros(size), "weight": 1.0})
-
-        return run
-
-    monkeypatch.setattr(lm, "_refine", refine)
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    lm.score(edges, path, public_tokenizers.PATTERN)
-    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == sum(i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in EDGES)
-
-
-def test_lm_refines_on_every_window(monkeypatch):
-    import pandas as pd
-
-    vocabulary = lm.Vocabulary({1: 5, 2: 3}, 60_000, 8, 2, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    seen, gather = Counter(), attention.gather
-
-    def spy(ids, begins, sizes, text, first, *rest):
-        seen.update(zip(text.tolist(), first.tolist()))
-        return gather(ids, begins, sizes, text, first, *rest)
-
-    monkeypatch.setattr(attention, "gather", spy)
-    texts = ["a short text", "one two three four " * 3000, "another one"]
-    lm._refine(vocabulary)(pd.DataFrame({"h": [1, 2, 3], "text": texts}))
-    assert seen == Counter(zip(*(x.tolist() for x in attention.windows(np.array([len(c) for c in vocabulary.classes([t.encode() for t in texts])])))))
-
-
-def test_attention_gradients_and_scorer():
+    words = {i: [*WORDS.findall(lower(t)), ""] for i, t in EDGES}
+    counts = Counter(w for i, t in EDGES if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in [*WORDS.findall(lower(t)), ""])
+    n, v = sum(counts.values()), len(counts)
+    for r in rows:
+        own = words[r["id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(counts[w] > 0 for w in own), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
+    assert lm.score(nothing, BPE, public_tokenizers.PATTERN).count() == 0
+
+
+def slow_score(vocabulary, ids):
+    """Natural log probability of the ids, place by place, in plain float64 arithmetic."""
+    p = {k: v.astype(np.float64) for k, v in attention.views(vocabulary.params).items()}
+    c = [int(vocabulary.class_of[i]) for i in ids]
+    before = lambda j: attention.PAD if j < 0 else attention.START if j == 0 else c[j - 1]
+    total = 0.0
+    for t, (i, own) in enumerate(zip(ids, c, strict=True)):
+        seen = range(t - t % attention.STEP - (attention.WIDTH - attention.STEP), t + 1)
+        weights = np.exp([p["Q"][before(t)] @ p["K"][before(j)] * attention.DIM**-0.5 + p["B"][t - j] for j in seen])
+        h = np.r_[sum(w * p["V"][before(j)] for w, j in zip(weights, seen)) / weights.sum() + p["R"][before(t)], 1.0]
+        for z, at in ((h @ p["U1"], own // attention.MEMBERS), (h @ p["U2"][own // attention.MEMBERS], own % attention.MEMBERS)):
+            total += z[at] - np.log(np.exp(z).sum())
+        total += vocabulary.member[i]
+    return total
+
+
+def test_lm_scores_whole_texts(spark, small, texts):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    coded, _, _ = lm.code(docs, BPE, public_tokenizers.PATTERN, chunk_bytes=100_000)
+    vocabulary = lm.learn(coded.where("not held_out"), lm.subwords(BPE, public_tokenizers.PATTERN).end + 1)
+    coder = lm.subwords(BPE, public_tokenizers.PATTERN)
+    got = {r["id"]: r["score"] for r in lm.apply(coded, vocabulary).collect()}
+    ids = {r["id"]: np.frombuffer(r["ids"], lm.ID) for r in coded.collect()}
+    for i, t in texts.items():
+        assert ids[i].tolist() == [x for w in lm.words_of(t.encode()) for x in coder.encode(w)]
+    for i in sorted(texts, key=lambda i: len(ids[i]))[::9]:
+        assert got[i] == pytest.approx(slow_score(vocabulary, ids[i].tolist()) / math.log(10), rel=1e-4)
+    # held-out texts are likelier than by the classes' masses alone
+    held = [i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2]
+    mass = np.log10(vocabulary.mass / vocabulary.mass.sum())
+    alone = sum(mass[vocabulary.class_of[ids[i]]].sum() + vocabulary.member[ids[i]].sum() / math.log(10) for i in held)
+    assert sum(got[i] for i in held) > alone + 0.1 * sum(len(ids[i]) for i in held)
+
+
+def test_lm_learns_from_every_window_of_all_training_documents(monkeypatch):
+    import pyarrow as pa
+
+    draw, seen = np.random.default_rng(2), Counter()
+    texts = [draw.integers(0, 50, n).astype(lm.ID) for n in (1, 31, 32, 33, 5000, 7, 64)]
+    vocabulary = lm.Vocabulary(np.arange(50, 0, -1))
+
+    def spy(p, x, y, exists, grads):
+        seen.update(tuple(r[e].tolist()) for r, e in zip(y, exists, strict=True))
+        grads[:] = 0
+        return 1.0
+
+    monkeypatch.setattr(attention, "gradients", spy)
+    monkeypatch.setattr(lm, "BLOCK", 3000)
+    monkeypatch.setattr(lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], names=["ids"])
+    (model,) = list(lm._refine(vocabulary, 0.01, iter([batch.slice(0, 3), batch.slice(3)])))
+    assert seen == Counter(tuple(vocabulary.class_of[t[a : a + attention.WIDTH]].tolist()) for t in texts for a in range(0, len(t), attention.WIDTH))
+    assert model.column(2).to_pylist() == [sum(map(len, texts))] and np.allclose(np.frombuffer(model.column(1)[0].as_py(), "<f4"), vocabulary.params)
+
+
+def test_lm_models_are_averaged_by_their_ids():
+    models = [(np.full(attention.SIZE, v, "<f4").tobytes(), w) for v, w in ((1.0, 1.0), (4.0, 2.0))]
+    mean, weight = lm.average(iter(models))
+    assert weight == 3 and np.allclose(mean, 3)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab é\u00a0\u3000'-1.\U0001F600"), max_size=8), max_size=12))
+def test_words_encoded_together(words):
+    coder = lm.subwords(BPE, public_tokenizers.PATTERN)
+    words = [b"".join(w.encode().split(b" ")) for w in words]
+    ids, sizes = coder.encode_all(words, 5)
+    each = [coder.encode(w) for w in words]
+    assert ids.tolist() == [i for x in each for i in x] and sizes.tolist() == [len(x) for x in each]
+
+
+def test_attention_gradients():
     draw = np.random.default_rng(7)
-    p = attention.initial(6, 8, np.zeros(6))
-    texts = [draw.integers(0, 6, n) for n in (1, 15, 16, 17, 50, 100)]
-    sizes = np.array([len(t) for t in texts])
-    ids, begins = np.concatenate(texts), np.cumsum(sizes) - sizes
-    text, first = attention.windows(sizes)
-    x, y, exists = attention.gather(ids, begins, sizes, text, first, 6, 7)
-    assert exists.sum() == sizes.sum()  # every id is scored once
-    slow = np.zeros(len(texts))
-    z = attention.forward(p, x)[0]
-    assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-5)
-    np.add.at(slow, text, np.where(exists, z[np.arange(y.size), y.ravel()].reshape(y.shape), 0).sum(axis=1))
-    assert np.allclose(attention.Scorer(p, 6, 7).score(texts, 3), slow, rtol=1e-4)
-    _, grads = attention.gradients(p, x, y, exists)
-    p64 = {k: v.astype(np.float64) for k, v in p.items()}
-    for k in p:
-        at = tuple(int(draw.integers(0, n)) for n in p[k].shape)
-        d = 1e-4
-        up, down = {**p64, k: p64[k].copy()}, {**p64, k: p64[k].copy()}
-        up[k][at] += d
-        down[k][at] -= d
-        slope = (attention.gradients(up, x, y, exists)[0] - attention.gradients(down, x, y, exists)[0]) / (2 * d)
-        assert grads[k][at] == pytest.approx(slope, rel=0.05, abs=2e-4)
+    mass = draw.integers(1, 50, attention.CLASSES).astype(float)
+    flat = attention.initial(mass)
+    sizes = np.array([1, 15, 16, 17, 50, 100])
+    ids = draw.integers(0, attention.CLASSES, sizes.sum())
+    for step in (attention.STEP, attention.WIDTH):
+        windows = attention.Windows(ids, sizes, step)
+        x, y, exists = windows.take(slice(None))
+        assert sorted(y[exists].tolist()) == sorted(ids.tolist())  # every id is predicted once
+        grads, double = np.zeros_like(flat), flat.astype(np.float64)
+        loss = attention.gradients(attention.views(flat), x, y, exists, grads)
+        assert loss == pytest.approx(attention.gradients(attention.views(double), x, y, exists, np.zeros_like(double), True), rel=1e-4)
+        for at in [*draw.integers(0, attention.SIZE, 10).tolist(), *np.argsort(-np.abs(grads))[:20].tolist(), *range(attention.SIZE - 3, attention.SIZE)]:
+            ends = []
+            for d in (1e-3, -1e-3):
+                moved = double.copy()
+                moved[at] += d
+                ends.append(attention.gradients(attention.views(moved), x, y, exists, np.zeros_like(moved)))
+            assert grads[at] == pytest.approx((ends[0] - ends[1]) / 2e-3, rel=0.02, abs=1e-5)
+
+
+def test_attention_survives_large_parameters():
+    flat = attention.initial(np.ones(attention.CLASSES)) * np.float32(60)
+    ids = np.random.default_rng(1).integers(0, attention.CLASSES, 200)
+    assert np.isfinite(attention.Scorer(flat).score(ids, np.array([200]))).all()
+    trainer = attention.Trainer(flat, 0.01)
+    trainer.see(ids, np.array([200]))
+    assert np.isfinite(trainer.adam.flat).all()
 
 
 def test_causality():
-    p = attention.initial(6, 8, np.zeros(6))
-    a = np.random.default_rng(8).integers(0, 6, 40)
+    scorer = attention.Scorer(attention.initial(np.ones(attention.CLASSES)))
+    a = np.random.default_rng(8).integers(0, attention.CLASSES, 40)
     b = a.copy()
-    b[25] = (b[25] + 1) % 6
-    z = [attention.forward(p, attention.gather(t, np.array([0]), np.array([40]), *attention.windows(np.array([40])), 6, 7)[0])[0] for t in (a, b)]
-    assert np.allclose(z[0][:26], z[1][:26]) and not np.allclose(z[0][26:40], z[1][26:40])
+    b[25] = (b[25] + 1) % attention.CLASSES
+    z = [scorer.block(*attention.Windows(t, np.array([40]), attention.STEP).take(slice(None))[:2]).ravel() for t in (a, b)]
+    assert np.allclose(z[0][:25], z[1][:25]) and not np.allclose(z[0][26:40], z[1][26:40])
 
 
 # ---- the pipeline
