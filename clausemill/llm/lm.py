@@ -289,7 +289,7 @@ def _score(vocabulary: Vocabulary, parts: Iterator[pa.RecordBatch]) -> Iterator[
         yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(5)), pa.array(logs / math.log(10))], names=["id", "held_out", "n_tokens", "n_known", "logs", "score"])
 
 
-def learn(coded: DataFrame, size: int, rate: float = 0.01, refining: float = 0.003) -> Vocabulary:
+def learn(coded: DataFrame, size: int, rate: float = 0.01, refining: float = 0.01) -> Vocabulary:
     """Classes and a model from the rows (id, ids); every window of all of them is learned from."""
     sums = coded.select("ids").mapInArrow(partial(_id_counts, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(size, np.int64)
