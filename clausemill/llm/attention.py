@@ -52,7 +52,7 @@ def keep_memory() -> None:
     """Has the C library keep what numpy frees, up to a limit: given back and taken anew, it costs as much as the arithmetic."""
     if tune := getattr(ctypes.CDLL(None), "mallopt", None):
         for option in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
-            tune(option, 64 << 20)
+            tune(option, 16 << 20)
 
 
 class Windows:
@@ -143,7 +143,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, exists: np
     z *= (weight / total)[:, None]
     z.ravel()[at] -= weight
     np.matmul(h.T, z, out=d["U1"])
-    dh = z @ p["U1"].T
+    do = z @ p["U1"][:DIM].T
     order, groups, hs, z, at = within(p, h, flat)
     ws = weight[order]
     own, total = level(z, at, safe)
@@ -153,12 +153,14 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, exists: np
     z *= (ws / total)[:, None]
     z.ravel()[at] -= ws
     d["U2"][:] = 0
-    dhs = np.empty_like(h)
+    sorted_do = np.empty_like(do)
     for g, a, b in groups:
         np.matmul(hs[a:b].T, z[a:b], out=d["U2"][g])
-        np.matmul(z[a:b], p["U2"][g].T, out=dhs[a:b])
-    dh[order] += dhs
-    do = np.ascontiguousarray(dh[:, :DIM]).reshape(n, step, DIM)
+        np.matmul(z[a:b], p["U2"][g, :DIM].T, out=sorted_do[a:b])
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    do += sorted_do.take(back, axis=0)
+    do = do.reshape(n, step, DIM)
     da = do * inverse
     dv = s.transpose(0, 2, 1) @ da
     ds = da @ v[:, :, :DIM].transpose(0, 2, 1)
@@ -167,19 +169,24 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, exists: np
     dq = ds @ k
     dq *= SCALE
     dk = ds.transpose(0, 2, 1) @ q
-    along = ds.sum(axis=0)
-    d["B"][:] = [np.trace(along, WIDTH - step - distance) for distance in range(WIDTH)]
-    for names, ids, parts in (("KV", x, (dk, dv)), ("QR", x[:, WIDTH - step :], (dq, do))):
-        ids = ids.ravel().astype(np.int16)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        for name, part in zip(names, parts, strict=True):
-            d[name][:] = 0
-            d[name][ids[starts]] = np.add.reduceat(part.reshape(-1, DIM).take(order, axis=0), starts, axis=0)
+    distance = np.arange(WIDTH - step, WIDTH)[:, None] - np.arange(WIDTH)[None, :]
+    d["B"][:] = np.bincount(distance.clip(-1).ravel() + 1, weights=ds.sum(axis=0).ravel(), minlength=WIDTH + 1)[1:]
+    scatter(x, K=dk, V=dv, into=d)
+    scatter(x[:, WIDTH - step :], Q=dq, R=do, into=d)
     return float(loss)
 
 
+def scatter(ids: np.ndarray, into: dict[str, np.ndarray], **parts: np.ndarray) -> None:
+    """Sums the vectors of equal ids."""
+    ids = ids.ravel().astype(np.int16)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    for name, part in parts.items():
+        into[name][:] = 0
+        into[name][ids[starts]] = np.add.reduceat(part.reshape(-1, DIM).take(order, axis=0), starts, axis=0)
+
+
 class Adam:
     def __init__(self, flat: np.ndarray, rate: float):
         self.flat, self.rate, self.n = flat, rate, 0

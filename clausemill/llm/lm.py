@@ -32,11 +32,15 @@ from pyspark.sql import functions as F
 
 from ..session import discard, shared_folder, written
 from . import attention
-from .common import small, utf8
+from .common import small
 
 CHUNK_BYTES, START_DOCS, START_ROUNDS, BLOCK, SLOTS = 32 << 20, 400, 4, 1 << 20, 64
 END = b""  # as a word
-ID = np.dtype("<u4")  # of subword ids in tables
+
+
+def id_kind(size: int) -> np.dtype:
+    """What tables keep subword ids in."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
 class Subwords:
@@ -51,32 +55,32 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
+        self.kind = id_kind(self.end + 1)
         self.opens = np.zeros(self.end + 1, bool)  # tokens that begin with a space
         self.opens[[n for token, n in ranks.items() if token[:1] == b" "]] = True
 
     def encode(self, word: bytes) -> list[int]:
         return self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace")) if word else [self.end]
 
-    def encode_all(self, words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of many words one behind the other, and how many each has.
+    def encode_all(self, words: pa.Array, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, none of them the end, one behind the other, and how many each has.
 
         Words hold no space, so a run of them is encoded as one text, whose tokens with a space in front open the words.
         """
-        ids, sizes = [], []
+        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), at_once):
-            some = words[at : at + at_once]
-            here = np.flatnonzero([not w for w in some])  # the end
-            got = self.encoding.encode_to_numpy(" " + b" ".join(filter(None, some)).decode("utf-8", "replace")) if len(here) < len(some) else np.zeros(0, np.uint32)
+            some = words.slice(at, at_once)
+            text = pc.binary_join_element_wise(b"", some, b" ").buffers()[2].to_pybytes()
+            got = self.encoding.encode_to_numpy(text.decode("utf-8", "replace"))
             begins = np.flatnonzero(self.opens[got])
-            if len(begins) + len(here) == len(some):
-                size = np.insert(np.diff(np.r_[begins, len(got)]), here - np.arange(len(here)), 1)
-                got = np.insert(got, (np.cumsum(size) - size)[here] - np.arange(len(here)), self.end)
+            if len(begins) == len(some):
+                size = np.diff(np.r_[begins, len(got)])
             else:  # no token of the vocabulary is the space itself
-                each = [self.encode(w) for w in some]
-                size, got = np.array([len(x) for x in each]), np.array([i for x in each for i in x], np.uint32)
-            ids.append(got.astype(ID))
+                each = [self.encode(w) for w in some.to_pylist()]
+                size, got = np.array([len(x) for x in each]), np.array([i for x in each for i in x])
+            ids.append(got.astype(self.kind))
             sizes.append(size)
-        return np.concatenate(ids or [np.zeros(0, ID)]), np.concatenate(sizes or [np.zeros(0, np.int64)]).astype(np.int64)
+        return np.concatenate(ids), np.concatenate(sizes)
 
 
 @lru_cache(maxsize=2)
@@ -89,58 +93,65 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]  # bytes: lower() and split() know ASCII only
 
 
-class Numbers(dict):
-    """Words by number, in order of first sight."""
+# ---- texts as numbers of words -----------------------------------------------------------------------------------
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+CHUNKED = "chunk long, n int, word binary, c long, id {id}, held_out boolean, words binary"
 
 
-# ---- texts as numbers of words -----------------------------------------------------------------------------------
+def numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the numbers of the texts' words, and how many each text has.
 
-CHUNKED = "chunk long, n int, word binary, c long, id {id}, held_out boolean, words binary"
+    Every text ends with the number after the last word's, which is the end's.
+    """
+    kind = pa.large_string() if pa.types.is_large_string(texts.type) else pa.string()
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(kind)))
+    flat, bounds = found.flatten(), np.asarray(found.offsets).astype(np.int64)
+    bounds -= bounds[0]
+    coded = flat.dictionary_encode()
+    numbers, words = np.asarray(coded.indices).astype(np.int32), coded.dictionary
+    hollow = pc.index(words, pa.scalar("", words.type)).as_py()  # before the first and after the last word of a text
+    end = len(words)
+    if hollow >= 0:
+        real = numbers != hollow
+        bounds = np.r_[0, np.cumsum(real)][bounds]
+        numbers = numbers[real]
+        numbers -= numbers > hollow
+        words, end = pa.concat_arrays([words.slice(0, hollow), words.slice(hollow + 1)]), end - 1
+    sizes = np.diff(bounds)
+    return words.cast(pa.large_binary() if kind == pa.large_string() else pa.binary()), np.insert(numbers, bounds[1:], np.int32(end)), sizes + 1
 
 
 def _number(chunk_bytes: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, held_out, train, text) → a row for each text, with its words' numbers, and one for each word of its chunk."""
-    chunk, size, numbers, counts = TaskContext.get().partitionId() << 24, 0, Numbers(), np.zeros(0, np.int64)
+    chunk, size, held = TaskContext.get().partitionId() << 24, 0, []
     names = ["chunk", "n", "word", "c", "id", "held_out", "words"]
-    kind, rows, train = None, [], []
-
-    def texts() -> pa.RecordBatch:
-        nonlocal counts
-        seen = np.bincount(np.concatenate([r[2] for r, t in zip(rows, train, strict=True) if t] or [np.zeros(0, np.int32)]), minlength=len(numbers))
-        seen[: len(counts)] += counts
-        counts = seen
-        n = len(rows)
-        out = [pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2].tobytes() for r in rows], pa.binary())]
-        rows.clear()
-        train.clear()
-        return pa.RecordBatch.from_arrays(out, names=names)
-
-    def words() -> Iterator[pa.RecordBatch]:
-        every = list(numbers)
-        for at in range(0, len(every), 100_000):
-            some = every[at : at + 100_000]
-            n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(some, pa.binary()), pa.array(counts[at : at + n]), pa.nulls(n, kind), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())], names=names)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        ids, out_, train, texts = (rows.column(k).chunk(0) for k in range(4))
+        words, numbers, sizes = numbered(texts)
+        n = len(words) + 1
+        counts = np.bincount(numbers[np.repeat(np.asarray(train), sizes)], minlength=n)
+        ends = np.r_[0, np.cumsum(sizes)] * 4
+        for at in range(0, rows.num_rows, 1000):
+            k = min(1000, rows.num_rows - at)
+            own = numbers[ends[at] // 4 : ends[at + k] // 4]
+            raw = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((ends[at : at + k + 1] - ends[at]).astype(np.int32)), pa.py_buffer(own)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), ids.slice(at, k), out_.slice(at, k), raw], names=names)
+        for at in range(0, n, 100_000):
+            k = min(100_000, n - at)
+            some = words.slice(at, k).cast(pa.binary())
+            some = pa.concat_arrays([some, pa.array([END], pa.binary())]) if at + k == n else some
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), pa.array(np.arange(at, at + k, dtype=np.int32)), some, pa.array(counts[at : at + k]), pa.nulls(k, ids.type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary())], names=names)
 
     for part in small(parts):
-        kind = part.column(0).type
-        for one, held, learned, text in zip(*(part.column(k).to_pylist() for k in range(3)), utf8(part.column(3)), strict=True):
-            found = words_of(text)
-            rows.append((one, held, np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))))
-            train.append(learned)
-            size += len(text or b"")
-            if size >= chunk_bytes:
-                yield texts()
-                yield from words()
-                chunk, size, numbers, counts = chunk + 1, 0, Numbers(), np.zeros(0, np.int64)
-        if rows:
-            yield texts()
-    if numbers:
-        yield from words()
+        held.append(part)
+        size += part.column(3).nbytes
+        if size >= chunk_bytes:
+            yield from out()
+            chunk, size, held = chunk + 1, 0, []
+    if size:
+        yield from out()
 
 
 # ---- texts as subword ids ----------------------------------------------------------------------------------------
@@ -152,12 +163,12 @@ class Lexicon:
     """A chunk's words: their corpus counts and subword ids, by number."""
 
     def __init__(self, coder: Subwords, parts: list[pa.RecordBatch]):
-        n = np.concatenate([np.asarray(p.column("n")) for p in parts])
-        order = np.argsort(n)
-        words = [w for p in parts for w in p.column("word").to_pylist()]
-        self.ids, self.sizes = coder.encode_all([words[k] for k in order.tolist()])
+        rows = pa.Table.from_batches(parts).combine_chunks().sort_by("n")
+        words = rows.column("word").combine_chunks()
+        ids, sizes = coder.encode_all(words.slice(0, len(words) - 1))
+        self.ids, self.sizes = np.r_[ids, ids.dtype.type(coder.end)], np.r_[sizes, 1]  # the last is the end
         self.begins = np.cumsum(self.sizes) - self.sizes
-        c = np.concatenate([np.asarray(p.column("c")) for p in parts])[order]
+        c = np.asarray(rows.column("c"))
         self.logs, self.known = np.log10(c + 1.0), (c > 0).astype(np.int64)
 
     def code(self, docs: pa.RecordBatch) -> pa.RecordBatch:
@@ -166,7 +177,7 @@ class Lexicon:
         words, begins = np.frombuffer(b"".join(raw), "<i4"), np.cumsum(sizes) - sizes
         each = self.sizes[words]
         ids = self.ids[np.arange(int(each.sum())) + np.repeat(self.begins[words] - (np.cumsum(each) - each), each)]
-        ends = np.r_[0, np.cumsum(np.add.reduceat(each, begins))] * ID.itemsize
+        ends = np.r_[0, np.cumsum(np.add.reduceat(each, begins))] * self.ids.itemsize
         coded = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
         columns = [docs.column("id"), docs.column("held_out"), pa.array(sizes), pa.array(np.add.reduceat(self.known[words], begins)), pa.array(np.add.reduceat(self.logs[words], begins)), coded, pa.nulls(len(raw), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "logs", "ids", "fresh"])
@@ -211,6 +222,7 @@ class Vocabulary:
     """Classes of ids, members' probabilities within them, and the model's parameters."""
 
     def __init__(self, counts: np.ndarray):
+        self.kind = id_kind(len(counts))
         top = np.lexsort((np.arange(len(counts)), -counts))[: attention.CLASSES - 1]
         top = top[counts[top] > 0]
         self.class_of = np.full(len(counts), attention.CLASSES - 1, np.int16)
@@ -222,21 +234,21 @@ class Vocabulary:
         self.params = attention.initial(self.mass)
 
 
-def blocks(parts: Iterator[pa.RecordBatch], column: str = "ids", most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(kind: np.dtype, parts: Iterator[pa.RecordBatch], column: str = "ids", most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their ids one behind the other, how many each has), of about `most` ids at once."""
     for part in parts:
         raw = part.column(column).to_pylist()
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // ID.itemsize
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // kind.itemsize
         at = 0
         while at < len(raw):
             end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), most)) + at)
-            yield part.slice(at, end - at), np.frombuffer(b"".join(raw[at:end]), ID), sizes[at:end]
+            yield part.slice(at, end - at), np.frombuffer(b"".join(raw[at:end]), kind), sizes[at:end]
             at = end
 
 
 def _id_counts(size: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(size, np.int64)
-    for _, ids, _ in blocks(parts):
+    for _, ids, _ in blocks(id_kind(size), parts):
         counts += np.bincount(ids, minlength=size)
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["id", "n"])
@@ -250,7 +262,7 @@ def _refine(vocabulary: Vocabulary, rate: float, parts: Iterator[pa.RecordBatch]
     trainer = attention.Trainer(vocabulary.params.copy(), rate)
     waiting: list[np.ndarray] = []
     lengths: list[np.ndarray] = []
-    for _, ids, sizes in blocks(parts):
+    for _, ids, sizes in blocks(vocabulary.kind, parts):
         waiting.append(vocabulary.class_of[ids])
         lengths.append(sizes)
         if sum(map(len, waiting)) >= BLOCK:
@@ -283,7 +295,7 @@ def _average(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(vocabulary: Vocabulary, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scorer = attention.Scorer(vocabulary.params)
-    for rows, ids, sizes in blocks(parts):
+    for rows, ids, sizes in blocks(vocabulary.kind, parts):
         begins = np.cumsum(sizes) - sizes
         logs = scorer.score(vocabulary.class_of[ids], sizes) + np.add.reduceat(vocabulary.member[ids], begins)
         yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(5)), pa.array(logs / math.log(10))], names=["id", "held_out", "n_tokens", "n_known", "logs", "score"])
@@ -300,7 +312,7 @@ def learn(coded: DataFrame, size: int, rate: float = 0.01, refining: float = 0.0
     n = coded.count()
     share = min(1.0, 4 * START_DOCS / max(1, n))
     few = hashed.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("h").limit(START_DOCS).collect()
-    start = [np.frombuffer(r["ids"], ID) for r in few]
+    start = [np.frombuffer(r["ids"], vocabulary.kind) for r in few]
     if start:
         trainer = attention.Trainer(vocabulary.params, rate)
         for _ in range(START_ROUNDS):
@@ -330,10 +342,10 @@ def code(docs: DataFrame, path: str, pattern: str, modulus: int = 7, held: int =
     counted = counted.select("chunk", "n", "word", "c", (F.col("first") & (F.col("c") > 0)).alias("first"), none(kind).alias("id"), none("boolean").alias("held_out"), none("binary").alias("words"))
     texts = chunked.where("words is not null").select("chunk", "n", "word", "c", none("boolean").alias("first"), "id", "held_out", "words")
     met = counted.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("words").isNotNull())
-    coded = written(met.mapInArrow(partial(_code, path, pattern), CODED.format(id=kind)), compression="zstd")
+    coded = written(met.mapInArrow(partial(_code, path, pattern), CODED.format(id=kind)), **{"compression": "zstd", "parquet.block.size": str(16 << 20)})
     discard(docs.sparkSession, folder)
     distinct = coded.where("fresh is not null").agg(F.sum("fresh")).first()[0] or 0
-    return coded.where("ids is not null").drop("fresh"), total, distinct
+    return coded.where("fresh is null").drop("fresh"), total, distinct
 
 
 def apply(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -614,7 +614,7 @@ def test_lm_scores_whole_texts(spark, small, texts):
     vocabulary = lm.learn(coded.where("not held_out"), lm.subwords(BPE, public_tokenizers.PATTERN).end + 1)
     coder = lm.subwords(BPE, public_tokenizers.PATTERN)
     got = {r["id"]: r["score"] for r in lm.apply(coded, vocabulary).collect()}
-    ids = {r["id"]: np.frombuffer(r["ids"], lm.ID) for r in coded.collect()}
+    ids = {r["id"]: np.frombuffer(r["ids"], coder.kind) for r in coded.collect()}
     for i, t in texts.items():
         assert ids[i].tolist() == [x for w in lm.words_of(t.encode()) for x in coder.encode(w)]
     for i in sorted(texts, key=lambda i: len(ids[i]))[::9]:
@@ -630,7 +630,7 @@ def test_lm_learns_from_every_window_of_all_training_documents(monkeypatch):
     import pyarrow as pa
 
     draw, seen = np.random.default_rng(2), Counter()
-    texts = [draw.integers(0, 50, n).astype(lm.ID) for n in (1, 31, 32, 33, 5000, 7, 64)]
+    texts = [draw.integers(0, 50, n).astype("<u2") for n in (1, 31, 32, 33, 5000, 7, 64)]
     vocabulary = lm.Vocabulary(np.arange(50, 0, -1))
 
     def spy(p, x, y, exists, grads):
@@ -656,13 +656,29 @@ def test_lm_models_are_averaged_by_their_ids():
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab é\u00a0\u3000'-1.\U0001F600"), max_size=8), max_size=12))
 def test_words_encoded_together(words):
+    import pyarrow as pa
+
     coder = lm.subwords(BPE, public_tokenizers.PATTERN)
-    words = [b"".join(w.encode().split(b" ")) for w in words]
-    ids, sizes = coder.encode_all(words, 5)
+    words = [w.replace(" ", "").encode() for w in words]
+    words = [w for w in words if w]
+    ids, sizes = coder.encode_all(pa.array(words, pa.binary()), 5)
     each = [coder.encode(w) for w in words]
     assert ids.tolist() == [i for x in each for i in x] and sizes.tolist() == [len(x) for x in each]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet=st.sampled_from("aAbÉé \n\x0b\x1c\u00a0"), max_size=12), min_size=1, max_size=6))
+def test_texts_as_numbers_of_words(texts):
+    import pyarrow as pa
+
+    for kind in (pa.string(), pa.large_string()):
+        words, numbers, sizes = lm.numbered(pa.array(["cut away", *texts], kind).slice(1))
+        known = [*words.to_pylist(), lm.END]
+        assert len(set(known)) == len(known)
+        ends = np.cumsum(sizes)
+        assert [[known[n] for n in numbers[b - k : b]] for b, k in zip(ends, sizes)] == [lm.words_of(None if t is None else t.encode()) for t in texts]
+
+
 def test_attention_gradients():
     draw = np.random.default_rng(7)
     mass = draw.integers(1, 50, attention.CLASSES).astype(float)
