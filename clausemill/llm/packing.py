@@ -5,13 +5,15 @@ open windows filled to level h; a piece of size s goes to the level h, an empty
 minimises the sum of N(h)^2 after the placement (Csirik et al., 2006). The level array holds, per level, the open
 windows themselves. Every task packs the documents of its own partition, so nothing is shuffled and a level
 array never has more than `length` - 1 levels; open windows stay few because the rule evens their levels out.
-At the end of a task the pieces of its open windows are cut anew into full windows, and the last tokens into
-windows whose lengths are powers of two, which need no padding.
+At the end of a task the fullest open windows keep what the rule put there, and the emptiest are cut up to fill them; the
+last tokens go into windows whose lengths are powers of two, so nothing is padded. `placement` says of each piece whether
+it is a full window of its document (`full`), lies where the rule put it (`rule`) or was moved at the end (`moved`).
 
 A partition's packing depends only on its rows and their order, so a lost task is simply run again.
 
 Defined cases: a null text is an empty one, which is the end id alone; repeated rows are packed each; a text of
-any length is cut; an empty table gives no rows. Other columns aren't read.
+any length is cut; the string of an added token is that token, as in the tokenizers library; an empty table gives no
+rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ LENGTH = 1024
 REMEMBERED = 150_000
 SPACE_SPACE = re.compile(r"\s ")
 
-SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, placement string"
 
 
 def _bytes() -> dict[str, int]:
@@ -45,7 +47,6 @@ def _bytes() -> dict[str, int]:
 
 
 BYTE_OF = _bytes()
-SPECIAL = {"<|endoftext|>"}
 #: How a byte-level BPE tokenizer cuts texts before merging (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -54,7 +55,7 @@ class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, each distinct piece of text encoded once.
 
     path is a byte-level BPE file of the tokenizers library; its vocabulary and ranks are run by tiktoken, which gives
-    the same ids in a fifth of the time (tests compare them). Strings of special tokens are ordinary text.
+    the same ids in a fifth of the time (tests compare them). Added tokens are cut out of a text first, as that library does.
     The tokenizer never joins a non-space and a space after it, so a text may be cut before such a space, and the
     pieces repeat. Texts in which white space precedes a space are cut only where it doesn't.
     """
@@ -63,10 +64,14 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            model = json.load(file)
+        self.added = {t["content"]: t["id"] for t in model["added_tokens"]}
+        if any(t[flag] for t in model["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on what is beside them aren't supported")
+        self.split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
         ranks = {}
-        for token, n in vocabulary.items():
-            if all(c in BYTE_OF for c in token) and token not in SPECIAL:
+        for token, n in model["model"]["vocab"].items():
+            if all(c in BYTE_OF for c in token) and token not in self.added:
                 ranks[bytes(BYTE_OF[c] for c in token)] = n
         self.encoding = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
@@ -85,13 +90,25 @@ class Encoder:
                 pieces[-1] += " " + x
         return pieces
 
+    def pieces(self, text: str) -> list[str]:
+        if not self.split.search(text):
+            return self.cut(text) if text else []
+        out, at = [], 0
+        for m in self.split.finditer(text):
+            out += [*(self.cut(text[at : m.start()]) if at < m.start() else []), m[0]]
+            at = m.end()
+        return out + (self.cut(text[at:]) if at < len(text) else [])
+
+    def ids(self, piece: str) -> bytes:
+        return array("I", [self.added[piece]] if piece in self.added else self.encoding.encode_ordinary(piece)).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) if t else [] for t in texts]
+        cut = [self.pieces(t or "") for t in texts]
         if len(self.known) > REMEMBERED:  # pieces that go on being met come back from the older half
             self.older, self.known = self.known, {}
         for piece in set().union(*cut).difference(self.known):
-            ids = self.older.get(piece)
-            self.known[piece] = array("I", self.encoding.encode_ordinary(piece)).tobytes() if ids is None else ids
+            found = self.older.get(piece)
+            self.known[piece] = self.ids(piece) if found is None else found
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) for pieces in cut]
 
@@ -101,7 +118,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-Piece = tuple[object, int, bytes, int]  # id, start, ids, tokens of the document
+Piece = tuple[object, int, bytes, int, str]  # id, start, ids, tokens of the document, placement
 
 
 class Packer:
@@ -132,22 +149,39 @@ class Packer:
         return None
 
     def rest(self) -> Iterator[list[Piece]]:
-        """The pieces of all open windows, cut into full windows and then into powers of two."""
-        left = [p for level in self.open for window in level for p in window]
-        total = sum(len(p[2]) // 4 for p in left)
-        sizes = [self.length] * (total // self.length) + [1 << b for b in reversed(range(self.length.bit_length())) if total % self.length >> b & 1]
-        left.reverse()
-        for size in sizes:
+        """All open windows, filled: the fullest with the pieces of the emptiest. The last tokens lie in powers of two."""
+        windows = [window for level in reversed(self.open) for window in level]
+        first, last, donor = 0, len(windows), []
+        while first < last:
+            window = windows[first]
+            first += 1
+            room = self.length - sum(len(p[2]) // 4 for p in window)
+            while room and (donor or first < last):
+                if not donor:
+                    last -= 1
+                    donor = windows[last][::-1]
+                room -= self._move(donor, window, room)
+            if room:
+                donor = window[::-1]
+            else:
+                yield window
+        left = sum(len(p[2]) // 4 for p in donor)
+        for size in [1 << b for b in reversed(range(self.length.bit_length())) if left >> b & 1]:
             window, room = [], size
             while room:
-                who, start, ids, tokens = left.pop()
-                if len(ids) > 4 * room:
-                    left.append((who, start + room, ids[4 * room :], tokens))
-                    ids = ids[: 4 * room]
-                window.append((who, start, ids, tokens))
-                room -= len(ids) // 4
+                room -= self._move(donor, window, room)
             yield window
 
+    @staticmethod
+    def _move(donor: list[Piece], window: list[Piece], room: int) -> int:
+        """Moves the donor's last piece, or as much of its front as there is room for; how much that is."""
+        who, start, ids, tokens, _ = donor.pop()
+        if len(ids) > 4 * room:
+            donor.append((who, start + room, ids[4 * room :], tokens, "moved"))
+            ids = ids[: 4 * room]
+        window.append((who, start, ids, tokens, "moved"))
+        return len(ids) // 4
+
 
 def _pack(length: int, path: str, end: bytes, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer, number = Packer(length), TaskContext.get().partitionId() << 40
@@ -156,16 +190,16 @@ def _pack(length: int, path: str, end: bytes, parts: Iterator[pa.RecordBatch]) -
     def finish(window: list[Piece]) -> None:
         nonlocal number
         offset = 0
-        for who, start, ids, tokens in window:
-            done.append((who, start, len(ids) // 4, ids, tokens, number, offset))
+        for who, start, ids, tokens, how in window:
+            done.append((who, start, len(ids) // 4, ids, tokens, number, offset, how))
             offset += len(ids) // 4
         number += 1
 
     def out() -> pa.RecordBatch:
         columns = [list(x) for x in zip(*done, strict=True)]
         done.clear()
-        kinds = [kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        kinds = [kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "placement"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     kind = None
@@ -178,8 +212,8 @@ def _pack(length: int, path: str, end: bytes, parts: Iterator[pa.RecordBatch]) -
                 tokens = len(ids) // 4
                 full = tokens - tokens % length
                 for start in range(0, full, length):
-                    finish([(one, start, ids[4 * start : 4 * (start + length)], tokens)])
-                if full < tokens and (window := packer.place((one, full, ids[4 * full :], tokens))):
+                    finish([(one, start, ids[4 * start : 4 * (start + length)], tokens, "full")])
+                if full < tokens and (window := packer.place((one, full, ids[4 * full :], tokens, "rule"))):
                     finish(window)
             if len(done) > 2000:
                 yield out()
@@ -192,7 +226,7 @@ def _pack(length: int, path: str, end: bytes, parts: Iterator[pa.RecordBatch]) -
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, placement.
 
     The ids of a document with end_id behind it lie in its pieces, each exactly once; sequence_id is unique, and
     the pieces of a sequence fill it from offset 0 without gaps. tokenizer_path: the file of a tokenizer, at the

@@ -322,8 +322,7 @@ def test_removal(spark, edges):
 def test_encoder_equals_tokenizers(texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    odd = ["  two  spaces \n x", " lead", "trail ", "a  b  c", "\x1c \x85 x", "it's we'll 'S", "<|endoftext|>", "ﬁ \U0001F600\U0001F600 é́", "\n\n\n \n a", "12ab_34", "　 x"]
+    odd = ["a<|endoftext|>b", " <|endoftext|> <|endoftext|>  x", "<|endoftext|><|endoftext|>\n<|endoftext", "  two  words <|endoftext|>  y ", "  two  spaces \n x", " lead", "trail ", "a  b  c", "\x1c \x85 x", "it's we'll 'S", "<|endoftext|>", "ﬁ \U0001F600\U0001F600 é́", "\n\n\n \n a", "12ab_34", "　 x"]
     every = [t or "" for _, t in EDGES] + list(texts.values()) + odd
     got = packing.Encoder(path).encode(every)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [x.ids for x in plain.encode_batch(every, add_special_tokens=False)]
@@ -387,10 +386,30 @@ def test_sum_of_squares_rule():
             return int((after[1:length] ** 2).sum())
 
         best = min(total(h) for h in range(length - size + 1) if h == 0 or before[h])
-        packer.place((0, 0, b"\0" * 4 * size, size))
+        packer.place((0, 0, b"\0" * 4 * size, size, "rule"))
         assert int((packer.counts[1:length] ** 2).sum()) == best
 
 
+def test_most_is_where_the_rule_put_it():
+    draw, packer = np.random.default_rng(4), packing.Packer(1024)
+    sizes = draw.integers(1, 1024, 20_000).tolist()
+    done = [w for k, n in enumerate(sizes) if (w := packer.place((k, 0, b"\0" * 4 * n, n, "rule")))]
+    done += packer.rest()
+    fills = [sum(len(p[2]) // 4 for p in w) for w in done]
+    assert sum(fills) == sum(sizes) and all(n == 1024 or n & (n - 1) == 0 for n in fills) and sum(n < 1024 for n in fills) <= 10
+    parts = defaultdict(list)
+    for w in done:
+        for who, start, ids, _, _ in w:
+            parts[who].append((start, len(ids) // 4))
+    for k, n in enumerate(sizes):
+        assert [a for a, _ in sorted(parts[k])] == np.cumsum([0, *(b for _, b in sorted(parts[k]))])[:-1].tolist() and sum(b for _, b in parts[k]) == n
+    by = Counter()
+    for w in done:
+        for p in w:
+            by[p[4]] += len(p[2])
+    assert by["rule"] > 0.9 * sum(by.values())
+
+
 # ---- 6 quality
 
 
