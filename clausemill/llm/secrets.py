@@ -2,12 +2,14 @@
 
 Strong candidates (assignments to secret names, AKIA access identifiers, long hex runs) are always reported.
 Weak ones (other identifiers, weaker secret names, endpoints) are reported only where complementary parts meet:
-the parts of a text are intervals, joined where the gap between them is at most `scope` code points. A weak
+the parts of a text are intervals, joined where the gap between them is below `scope` code points. A weak
 secret needs an identifier, an identifier needs a secret, an endpoint needs both.
 
+The interval join is a sweep over the parts in order of their starts, once from the left with the furthest end of each
+role so far, once from the right with the nearest start: that decides whether any complement is near, without pairs.
+
 All of it happens within the row: nothing is shuffled, so a hot source or copied text costs no more than
-others. Positions come from the lengths of matches and of the gaps between them, summed in two levels, so
-that a text with very many matches stays near linear.
+others. Positions and sweeps run in two levels of blocks, so that a text with very many matches stays near linear.
 
 Defined cases: a null text is empty and has no spans; repeated rows are repeated; other columns stay as they
 are in `redact` and aren't read by `scan`.
@@ -71,9 +73,29 @@ def spans_sql(kind: Kind, text: str) -> str:
     return f"if({here}, transform(array({parts}), z -> transform(array({blocks}), bs -> {summed})[0])[0], {EMPTY})"
 
 
+IDS, SECRETS = "(1, 3)", "(0, 2, 4)"  # kinds that identify, kinds that are secret
+
+
+def _swept(spans: str, best: str, edge: str) -> str:
+    """SQL: for each of the spans, in their order, (i, s): the best edge of the identifiers and of the secrets before it."""
+    one = "array<struct<i:int,s:int>>"
+    blocks = f"transform(sequence(0, (size({spans}) - 1) div {BLOCK}), k -> slice({spans}, cast(k * {BLOCK} + 1 as int), {BLOCK}))"
+    pick = {"greatest": "array_max", "least": "array_min"}[best]
+    sums = f"transform(bs, b -> struct({pick}(transform(filter(b, x -> x.kind in {IDS}), x -> x.{edge})) as i, {pick}(transform(filter(b, x -> x.kind in {SECRETS}), x -> x.{edge})) as s))"
+    before = f"aggregate({sums}, struct(cast(null as int) as i, cast(null as int) as s, cast(array() as {one}) as out), (acc, v) -> struct({best}(acc.i, v.i) as i, {best}(acc.s, v.s) as s, concat(acc.out, array(struct(acc.i as i, acc.s as s))) as out), acc -> acc.out)"
+    inner = f"aggregate(b, struct(p.i as i, p.s as s, cast(array() as {one}) as out), (acc, v) -> struct(if(v.kind in {IDS}, {best}(acc.i, v.{edge}), acc.i) as i, if(v.kind in {SECRETS}, {best}(acc.s, v.{edge}), acc.s) as s, concat(acc.out, array(struct(acc.i as i, acc.s as s))) as out), acc -> acc.out)"
+    return f"transform(array({blocks}), bs -> flatten(zip_with(bs, {before}, (b, p) -> {inner})))[0]"
+
+
+def linked_sql(parts: str, scope: int) -> str:
+    """SQL: of the parts, sorted, the weak ones whose complements are near."""
+    near = lambda role: f"coalesce(x.l.{role} > x.p.start - {scope}, false) or coalesce(x.r.{role} < x.p.end + {scope}, false)"
+    rows = f"zip_with(zip_with({parts}, {_swept(parts, 'greatest', 'end')}, (p, l) -> struct(p, l)), reverse({_swept(f'reverse({parts})', 'least', 'start')}), (a, r) -> struct(a.p as p, a.l as l, r as r))"
+    return f"transform(filter({rows}, x -> (x.p.kind in (3, 5) and ({near('s')}) or x.p.kind = 4) and (x.p.kind in (4, 5) and ({near('i')}) or x.p.kind = 3)), x -> x.p)"
+
+
 def findings(text: Column, docs: DataFrame, scope: int = 200) -> DataFrame:
     """docs plus the column _spans: all reported spans of the text, by start, then kind."""
-    near = f"(a.start < b.end + {scope} and b.start < a.end + {scope})"
     found = docs.withColumn("_t", F.coalesce(text.cast("string"), F.lit("")))
     found = found.withColumns({f"_{k.name}": F.expr(spans_sql(k, "_t")) for k in (ASSIGN, ACCESS, HEX, IDENT)})
     found = found.withColumn("_ids", F.concat("_access", "_ident"))
@@ -81,11 +103,8 @@ def findings(text: Column, docs: DataFrame, scope: int = 200) -> DataFrame:
     found = found.withColumn("_weak", F.expr(f"if(size(_ids) = 0, {EMPTY}, {spans_sql(WEAK, '_t')})"))
     found = found.withColumn("_secrets", F.concat("_assign", "_hex", "_weak"))
     found = found.withColumn("_endpoint", F.expr(f"if(size(_ids) = 0 or size(_secrets) = 0, {EMPTY}, {spans_sql(ENDPOINT, '_t')})"))
-    linked = f"""concat(
-        filter(_ident, a -> exists(_secrets, b -> {near})),
-        filter(_weak, a -> exists(_ids, b -> {near})),
-        filter(_endpoint, a -> exists(_ids, b -> {near}) and exists(_secrets, b -> {near})))"""
-    linked = F.expr(f"if(size(_ids) = 0 or size(_secrets) = 0, {EMPTY}, {linked})")
+    parts = "array_sort(concat(_ids, _secrets, _endpoint))"
+    linked = F.expr(f"if(size(_ids) = 0 or size(_secrets) = 0, {EMPTY}, transform(array({parts}), ps -> {linked_sql('ps', scope)})[0])")
     found = found.withColumns({"_base": F.expr("array_sort(concat(_assign, _access, _hex))"), "_linked": linked})
     return found.withColumn("_spans", F.expr("array_sort(concat(_base, _linked))"))
 
