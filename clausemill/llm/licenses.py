@@ -64,9 +64,11 @@ class Scanner:
         starts: list[int] = []
         base: set[str] = set()
         for phrase, _, label in self.phrases:
-            at = padded.find(phrase)
+            at, counted, word = padded.find(phrase), 0, 0
             while at >= 0:
-                starts.append(padded.count(b" ", 0, at))
+                word += padded.count(b" ", counted, at)
+                counted = at
+                starts.append(word)
                 base.add(label)
                 at = padded.find(phrase, at + 1)
         kept = self.detections(joined.decode("utf-8", "replace"))
