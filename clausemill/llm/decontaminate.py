@@ -3,8 +3,9 @@
 Benchmark texts become windows of words; their hashes form a set that travels inside the plan to every task,
 like a broadcast, and is probed by every window of every document (`IN` over literals is a hash set). Windows
 that hit are cut out, verified word by word against the benchmark's windows, and reduced to hit words and items
-per document. Beyond `set_limit` windows the set isn't shipped: document windows are then exploded and
-shuffle-joined on the hash, which gives the same rows.
+per document. A set of more than `set_limit` hashes would make too long a plan: it is a broadcast relation then, which the
+exploded windows are joined with where they are, and only those that hit are shuffled. Only a set of more than
+`broadcast_limit` hashes, of 16 bytes each, is joined by a shuffle of the windows. All three give the same rows.
 
 Defined cases: a null text has no words; an item without words has no window; an item shorter than a window is
 one window of its own length; repeated benchmark rows and repeated documents change nothing and are each
@@ -43,7 +44,7 @@ def _spots(size: int, probe: str) -> str:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, set_limit: int = 50_000,
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, set_limit: int = 50_000, broadcast_limit: int = 4_000_000,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """(id, key, n_words, spans, items) per row: spans are (at, size) in words, distinct; items distinct and sorted.
@@ -66,8 +67,10 @@ def contamination(
     else:
         rows = kept.select("id", "key", F.size("w").alias("n_words"))
         sizes = [r["size"] for r in hashes.select("size").distinct().collect()]  # at most `window` numbers
-        spots = [_spots(size, "{} is not null") for size in sorted(sizes)]
-        spot = kept.select("id", "key", F.explode(F.expr(f"concat({', '.join(spots)})")).alias("s")).select("id", "key", "s.at", "s.gram", F.xxhash64("s.gram").alias("hash"))
+        every = F.expr(f"concat({', '.join(_spots(size, '{} is not null') for size in sorted(sizes))})")
+        spot = kept.select("id", "key", F.explode(every).alias("s")).select("id", "key", "s.at", "s.gram", F.xxhash64("s.gram").alias("hash"))
+        known = hashes.select("hash").distinct()
+        spot = spot.join(F.broadcast(known) if known.count() <= broadcast_limit else known, "hash", "left_semi")
     sure = spot.join(grams, ["hash", "gram"]).groupBy("id", "key").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     sure = sure.select(F.col("id").alias("hit_id"), F.col("key").alias("hit_key"), "spans", "items")
     both = rows.join(sure, rows["id"].eqNullSafe(sure["hit_id"]) & (rows["key"] == sure["hit_key"]), "left")
