@@ -2,7 +2,7 @@
 
 Base rules fail texts that are short or repeat their own five-word windows. The method compares two histograms of a
 text, character classes and common words, with those of each language by Jensen-Shannon distance; a text is kept if
-some language's distances are both small. The references are the summed histograms of all labelled documents, added
+some language's two distances are both within their limits. The references are the summed histograms of all labelled documents, added
 up on the map side; what reaches the driver is one row for each language, however rare it is. Texts
 shorter than the minimum lengths have no reliable histogram and are left to the base rules.
 
@@ -162,9 +162,12 @@ def _judge(refs: list[tuple[str, list[int]]], parts: Iterator[pa.RecordBatch]) -
             n = len(words)
             failed = n < 10 or 100 * repeated > 20 * n
             by_char = by_word = None
-            if known and n >= LEAST_WORDS and len(text) >= LEAST_CHARS:
-                own_c, own_w = char_histogram(text), word_histogram(words)
-                by_char, by_word = min(((distance(own_c, c), distance(own_w, w)) for c, w in known), key=sum)
+            own_c = char_histogram(text or b"")
+            if known and n >= LEAST_WORDS and own_c.sum() >= LEAST_CHARS:
+                own_w = word_histogram(words)
+                # the language that the text exceeds least, of equals the nearest
+                each = [(distance(own_c, c), distance(own_w, w)) for c, w in known]
+                by_char, by_word = min(each, key=lambda d: (max(0.0, d[0] / CHAR_LIMIT - 1, d[1] / WORD_LIMIT - 1), sum(d)))
             near = by_char is None or (by_char <= CHAR_LIMIT and by_word <= WORD_LIMIT)
             out.append((n, chars, symbols, dup, repeated, failed, by_char, by_word, not failed and near))
         columns = list(zip(*out, strict=True)) if out else [[]] * 9
