@@ -5,15 +5,19 @@ every automaton into longest matches (Ziv and Merhav, 1993); the language whose
 phrases per character wins. Automata are stored as complete transition tables: a step that leaves the automaton
 starts a new phrase, and its table entry says so in the lowest bit, so that many texts advance together in numpy.
 
-The sample is bounded by `rows` labelled rows per language and `chars` characters of each, chosen by a hash; it is
-the only thing that isn't taken from all rows. Every language that has a labelled row is learned; beyond FULL languages
-each has fewer rows, then fewer characters, so that the automata keep to the memory of FULL. Prediction reads whole texts, cut into lanes of
-LANE characters that are parsed on their own (each cut adds at most one phrase).
+The sample is bounded by `chars` characters per language, whole labelled texts in order of a hash, those of up to LONGEST
+characters first; it is the only thing that isn't taken from all rows. Every language that has a labelled row is learned;
+beyond FULL languages each has fewer characters, so that the automata keep to the memory of FULL. Prediction parses whole
+texts. They are cut into lanes of LANE characters that advance together; a lane that continues a text is then parsed again
+from the state at the end of the lane before, until both parses begin a phrase at the same place and so agree from there on.
 
 Letters are compared in lower case; runs of anything else count as one separator. Each language has symbols for the
 letters of its own sample; of more than 62, the less frequent share HASHED classes. Letters that a language's sample
 doesn't have begin a new phrase in it.
 
+Whether a text is in a learned language at all is told by its phrases per character: `limits` holds for each language what
+texts of its sample need that its automaton hasn't seen, and `accept` rejects texts that need far more.
+
 Defined cases: `und` with score 0 for a null text, a text without a letter, or if nothing could be learned; ties go
 to the first language in order; repeated rows are each predicted; rows with a null label are not learned from.
 Columns other than id, text and label aren't read.
@@ -33,8 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import small
 
-ROWS, CHARS, FULL, SYMBOLS, HASHED, LANE, BLOCK = 128, 512, 8, 64, 16, 2048, 2_000_000
+CHARS, LONGEST, FULL, SYMBOLS, HASHED, LANE, BLOCK = 65_536, 4096, 8, 64, 16, 2048, 2_000_000
 UNKNOWN = "und"
+#: Characters from which phrases per character tell whether a text is in a language.
+LEAST = 200
 
 
 def automaton(codes: list[int], symbols: int = SYMBOLS) -> np.ndarray:
@@ -75,6 +81,55 @@ def automaton(codes: list[int], symbols: int = SYMBOLS) -> np.ndarray:
     return table.reshape(-1)
 
 
+class Lanes:
+    """Parses of lanes, in order of falling length, by one automaton: code at[j] .. at[j] + left[j] is lane j."""
+
+    def __init__(self, table: np.ndarray, codes: np.ndarray, at: np.ndarray, left: np.ndarray):
+        self.table, self.codes, self.at, self.left = table, codes, at, left
+        self.state, self.count, self.broke = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32), []
+        for t in range(int(left[0]) if len(left) else 0):
+            m = int(np.searchsorted(-left, -t, side="left"))  # lanes longer than t
+            got = table[self.state[:m] + codes[at[:m] + t]]
+            broke = (got & 1).astype(np.uint8)
+            self.count[:m] += broke
+            self.state[:m] = got >> 1
+            self.broke.append(broke)
+
+    def breaks(self, before: np.ndarray) -> np.ndarray:
+        """Phrases begun within each lane, apart from a text's first; before: the lane that a lane continues, or -1."""
+        count, state = self.count.copy(), self.state.copy()
+        lane = np.flatnonzero(before >= 0)
+        while len(lane):
+            came = state[before[lane]]
+            count[lane], ended = self._again(lane, came)
+            changed = np.flatnonzero(state[lane] != ended)
+            state[lane] = ended
+            changed = np.zeros(len(state), bool) if not len(changed) else np.isin(np.arange(len(state)), lane[changed])
+            lane = np.flatnonzero((before >= 0) & changed[before])
+        return count
+
+    def _again(self, lane: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases begun, last state) of lanes parsed from the states, until they agree with the parse from the root."""
+        count, ended = np.zeros(len(lane), np.int32), self.state[lane].copy()
+        open_, passed = np.arange(len(lane)), np.zeros(len(lane), np.int32)
+        for t in range(int(self.left[lane].max())):
+            done = self.left[lane[open_]] <= t
+            ended[open_[done]] = state[done]
+            open_, state = open_[~done], state[~done]
+            if not len(open_):
+                break
+            own = lane[open_]
+            got = self.table[state + self.codes[self.at[own] + t]]
+            broke, state = got & 1, got >> 1
+            count[open_] += broke
+            passed[open_] += self.broke[t][own]
+            agree = (broke == 1) & ((self.broke[t][own] == 1) | (t == 0))
+            count[open_[agree]] += self.count[own[agree]] - passed[open_[agree]]
+            open_, state = open_[~agree], state[~agree]
+        ended[open_] = state
+        return count, ended
+
+
 class Model:
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.languages = [name for name, _ in samples]
@@ -105,7 +160,6 @@ class Model:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) by each language."""
         flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
-        flats = [own[flat] for own in self.own]
         sizes = np.array([len(t) for t in texts], np.int64)
         begins = np.cumsum(sizes) - sizes
         lanes = np.maximum(1, -(-sizes // LANE))
@@ -113,28 +167,22 @@ class Model:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         at, left = begins[owner] + nth * LANE, np.minimum(LANE, sizes[owner] - nth * LANE)
         order = np.argsort(-left, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        before = np.where(nth > 0, place[np.arange(len(order)) - 1], -1)[order]  # the lane that a lane continues
         at, left, owner = at[order], left[order], owner[order]
-        out = np.zeros((len(texts), len(self.tables)))
-        state = [np.zeros(len(at), np.int32) for _ in self.tables]
-        count = [np.ones(len(at), np.int32) for _ in self.tables]
-        steps = int(left[0]) if len(left) else 0
-        for t in range(steps):
-            m = int(np.searchsorted(-left, -t, side="left"))  # lanes longer than t
-            here = at[:m] + t
-            for table, codes, s, n in zip(self.tables, flats, state, count, strict=True):
-                got = table[s[:m] + codes[here]]
-                n[:m] += got & 1
-                s[:m] = got >> 1
-        for k, n in enumerate(count):
-            np.add.at(out[:, k], owner, n)
+        out = np.ones((len(texts), len(self.tables)))
+        for k, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
+            np.add.at(out[:, k], owner, Lanes(table, own[flat], at, left).breaks(before))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score, and phrases per character (0 for texts of fewer than LEAST)."""
         coded = [self.codes(t) if t else np.zeros(0, np.int32) for t in texts]
         lettered = np.array([bool((c > 0).any()) for c in coded], bool)
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        names, scores, dear = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.tables or not lettered.any():
-            return names, scores
+            return names, scores, dear
         where = np.flatnonzero(lettered)
         counts = self.phrases([coded[i] for i in where])
         rates = counts / np.array([len(coded[i]) for i in where])[:, None]
@@ -143,7 +191,9 @@ class Model:
         sure = 1 - ranked[:, 0] / ranked[:, 1] if rates.shape[1] > 1 else np.ones(len(where))
         for i, b, s in zip(where.tolist(), best.tolist(), sure.tolist(), strict=True):
             names[i], scores[i] = self.languages[b], s
-        return names, scores
+        for i, r in zip(where.tolist(), ranked[:, 0].tolist(), strict=True):
+            dear[i] = r if len(coded[i]) >= LEAST else 0.0
+        return names, scores, dear
 
 
 @lru_cache(maxsize=1)
@@ -151,50 +201,65 @@ def model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(samples)
 
 
-def learn(labelled: DataFrame, rows: int = ROWS, chars: int = CHARS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[tuple[str, str], ...]:
-    """(language, sample text) in order of language, from rows with a label and a text.
+def learn(labelled: DataFrame, chars: int = CHARS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[tuple[str, str], ...]:
+    """(language, sample text) in order of language, from rows with a label and a text that isn't empty.
 
-    At most `rows` rows per language, those with the smallest hashes, and from each at most `chars` characters,
-    from a place that the hash decides; the rows are picked out where they are. More than FULL languages share the rows
-    and characters of FULL.
+    Whole texts, one per line, as long as a language's stay within `chars` characters (of more than FULL languages, within
+    their share of FULL times as many); only a first text that is longer than that by itself is cut.
     """
-    plain = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = plain.groupBy("lang").count().collect()
+    plain = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text <> '' and lang is not null")
+    size = F.length("text")
+    counts = plain.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.least(size, F.lit(LONGEST))).alias("mean")).collect()
     if not counts:
         return ()
-    each = rows * chars * FULL // max(FULL, len(counts))  # characters of a language
-    rows, chars = max(1, min(rows, each // chars)), max(1, min(chars, each))
+    each = max(1, chars * FULL // max(FULL, len(counts)))
     h = F.xxhash64("id", "text")
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * rows / r["count"]))])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (8 * each / r["mean"] + 32) / r["n"]))])
     some = plain.withColumn("h", h).where(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    first = W.partitionBy("lang").orderBy("h", "id")
-    place = F.lit(1) + F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - chars + 1, F.lit(1)))
-    some = some.withColumn("part", F.substring("text", place.cast("int"), F.lit(chars))).select("lang", "h", "id", "part")
-    got = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).collect()
+    first = W.partitionBy("lang").orderBy(size > LONGEST, "h", "id")
+    some = some.select("lang", F.sum(size).over(first.rowsBetween(W.unboundedPreceding, 0)).alias("end"), F.row_number().over(first).alias("n"), F.substring("text", 1, each).alias("part"))
     texts: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["n"])):
+    for r in sorted(some.where((F.col("end") <= each) | (F.col("n") == 1)).collect(), key=lambda r: (r["lang"], r["n"])):
         texts.setdefault(r["lang"], []).append(r["part"])
     return tuple((lang, "\n".join(parts)) for lang, parts in sorted(texts.items()))
 
 
-def blockwise(samples: tuple[tuple[str, str], ...], texts: list[str | None]) -> tuple[list[str], list[float]]:
+def limits(samples: tuple[tuple[str, str], ...], slack: float = 1.75, parts: int = 4) -> dict[str, float]:
+    """For each language the phrases per character beyond which a text isn't in it.
+
+    A quarter of the sample is parsed by the automaton of the rest, piece by piece; the limit is the highest rate of a piece,
+    times the slack. A sample of fewer pieces than parts sets no limit.
+    """
+    out = {}
+    for lang, text in samples:
+        lines = [x for x in text.split("\n") if any(c.isalpha() for c in x)]
+        if len(lines) < 2 * parts:
+            out[lang] = 1.0
+            continue
+        known = Model(((lang, "\n".join(x for n, x in enumerate(lines) if n % parts)),))
+        held = [known.codes("\n".join(lines[k : k + 4 * parts : parts])) for k in range(0, len(lines), 4 * parts)]
+        rates = [known.phrases([h])[0, 0] / len(h) for h in held if len(h) >= LEAST]
+        out[lang] = min(1.0, slack * max(rates)) if rates else 1.0
+    return out
+
+
+def blockwise(samples: tuple[tuple[str, str], ...], texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
     """Predictions in blocks of about BLOCK characters, which bounds memory."""
-    names, scores, at = [], [], 0
+    out, at = ([], [], []), 0
     while at < len(texts):
         size, end = 0, at
         while end < len(texts) and (end == at or size + len(texts[end] or "") <= BLOCK):
             size += len(texts[end] or "")
             end += 1
-        got = model(samples).predict(texts[at:end])
-        names += got[0]
-        scores += got[1]
+        for every, got in zip(out, model(samples).predict(texts[at:end]), strict=True):
+            every += got
         at = end
-    return names, scores
+    return out
 
 
 def _predict(samples: tuple[tuple[str, str], ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in small(parts, 1024):
-        names, scores = blockwise(samples, part.column(1).to_pylist())
+        names, scores, _ = blockwise(samples, part.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
 
@@ -209,13 +274,13 @@ def remainder(id_column: Column, modulus: int) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % modulus
 
 
-def _accept(samples: tuple[tuple[str, str], ...], text_at: int, least_score: float, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _accept(samples: tuple[tuple[str, str], ...], most: dict[str, float], text_at: int, least_score: float, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in small(parts, 1024):
-        names, scores = blockwise(samples, part.column(text_at).to_pylist())
-        kept = [n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)]
+        kept = [n != UNKNOWN and n in most and s >= least_score and r <= most[n] for n, s, r in zip(*blockwise(samples, part.column(text_at).to_pylist()), strict=True)]
         yield part.filter(pa.array(kept, pa.bool_()))
 
 
-def accept(docs: DataFrame, samples: tuple[tuple[str, str], ...], least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of docs, columns as they are, whose text has a language with at least the score."""
-    return docs.mapInArrow(partial(_accept, samples, docs.columns.index(text_col), least_score), docs.schema)
+def accept(docs: DataFrame, samples: tuple[tuple[str, str], ...], most: dict[str, float], least_score: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of docs, columns as they are, whose text is in a language of `most`, with at least the score and at most as
+    many phrases per character as `most` says. Texts of fewer than LEAST characters need a letter only."""
+    return docs.mapInArrow(partial(_accept, samples, most, docs.columns.index(text_col), least_score), docs.schema)
