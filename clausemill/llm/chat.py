@@ -3,10 +3,11 @@
 An assistant turn whose text is a JSON object with `tool_calls` (objects with id, name, arguments) makes calls; a tool
 turn whose text is a JSON object with `tool_call_id` is a result; anything else is a plain message. Calls and
 results are hash-joined by conversation and identifier. A call depends on the results whose identifiers its arguments
-name as `$id`, a result on its call; dependencies are peeled off level by level. A node's place is the latest turn
-among itself and all it depends on, then its level, so ordering by (place, level, turn, part) is topological and
-otherwise keeps the turns' order. Arguments are checked against the tool's schema. Each row carries one message, so a
-conversation of any length is never gathered in one place.
+name as `$id`, a result on its call; dependencies are peeled off level by level, and a round reads only what the round
+before settled and what is still open. A node's place is the latest turn among itself and all it depends on, then its
+level, so ordering by (place, level, turn, part) is topological and otherwise keeps the turns' order. Arguments are checked
+against the tool's JSON schema. Each row carries one message, so a conversation of any length is never gathered in one
+place; calls and results without an identifier meet nothing and are in no join.
 
 JSON is canonical: keys sorted, no spaces; it is parsed and written by Spark's variant type, whose objects are sorted.
 
@@ -18,21 +19,34 @@ Repeated rows are repeated messages. Columns beyond the four aren't read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, written
 from .common import join_on
 
-#: tool → parameter → (JSON type, required). A table of tools is a parameter of its operators and lives in the plan.
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: tool → JSON schema of its arguments. Understood are type (one, or several), properties, required, additionalProperties,
+#: items, enum, minimum, maximum, minLength, maxLength, minItems, maxItems and pattern. It lives in the plan.
+Schemas = dict[str, dict]
 
 TOOLS: Schemas = {
-    "search": {"query": ("string", True), "limit": ("integer", False)},
-    "calculator": {"expression": ("string", True)},
-    "weather": {"city": ("string", True), "days": ("integer", False), "metric": ("boolean", False)},
-}
-
+    "search": {
+        "type": "object", "required": ["query"], "additionalProperties": False,
+        "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}, "fields": {"type": "array", "items": {"type": "string"}, "maxItems": 10}},
+    },
+    "calculator": {"type": "object", "required": ["expression"], "additionalProperties": False, "properties": {"expression": {"type": "string"}}},
+    "weather": {
+        "type": "object", "required": ["city"], "additionalProperties": False,
+        "properties": {
+            "city": {"type": "string"}, "days": {"type": "integer", "minimum": 1}, "metric": {"type": "boolean"}, "unit": {"enum": ["celsius", "kelvin"]},
+            "at": {"type": "object", "required": ["lat", "lon"], "additionalProperties": False, "properties": {"lat": {"type": "number", "minimum": -90, "maximum": 90}, "lon": {"type": "number", "minimum": -180, "maximum": 180}}},
+        },
+    },
+}
+
+NOTHING = "array<string>"
 
 
 def canonical(variant: Column) -> Column:
@@ -44,26 +58,59 @@ def _quoted(text: Column) -> Column:
     return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
 
 
-def _kind_of(kind: str) -> str:
-    return {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN"}.get(kind, kind.upper())
+#: What Spark calls the types of a variant.
+TYPES = {"string": "STRING", "integer": "(BIGINT|DECIMAL\\(\\d+,0\\))", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+
+
+def schema_problems(value: Column, schema: dict, path: str = "") -> Column:
+    """What is wrong with a JSON value, as `kind:path` strings (null: nothing): type, missing, unknown, enum, range, length, pattern."""
+    import json
+
+    kind = F.schema_of_variant(value)
+    plain: list[Column] = []
+    nested: list[Column] = []
+    wanted = schema.get("type", [])
+    wanted = [wanted] if isinstance(wanted, str) else wanted
+    right = kind.rlike("^(" + "|".join(TYPES[t] for t in wanted) + ")$") if wanted else F.lit(True)
+    plain.append(F.when(~right, F.lit(f"type:{path}")))
+    if "enum" in schema:
+        allowed = [json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in schema["enum"]]
+        plain.append(F.when(~F.to_json(value).isin(allowed), F.lit(f"enum:{path}")))
+    number, text, items = (F.try_variant_get(value, "$", t) for t in ("double", "string", "array<variant>"))
+    is_number, is_text, is_array, is_object = (kind.rlike(f"^{TYPES[t]}$") for t in ("number", "string", "array", "object"))
+    for name, bad in (("minimum", lambda x: number < x), ("maximum", lambda x: number > x)):
+        if name in schema:
+            plain.append(F.when(is_number & bad(schema[name]), F.lit(f"range:{path}")))
+    for name, held, of, bad in (("minLength", is_text, F.length(text), False), ("maxLength", is_text, F.length(text), True), ("minItems", is_array, F.size(items), False), ("maxItems", is_array, F.size(items), True)):
+        if name in schema:
+            plain.append(F.when(held & (of > schema[name] if bad else of < schema[name]), F.lit(f"length:{path}")))
+    if "pattern" in schema:
+        plain.append(F.when(is_text & ~text.rlike(schema["pattern"]), F.lit(f"pattern:{path}")))
+    if "items" in schema:
+        nested.append(F.when(is_array, F.flatten(F.transform(items, lambda x: schema_problems(x, schema["items"], f"{path}[]")))))
+    below = lambda p: f"{path}.{p}" if path else p
+    known = schema.get("properties", {})
+    for p, inner in sorted(known.items()):
+        own = F.try_variant_get(value, "$['" + p.replace("'", "\\'") + "']", "variant")
+        there = own.isNotNull()
+        if "null" not in inner.get("type", ["null"]):
+            there = there & (F.schema_of_variant(own) != "VOID")
+        if p in schema.get("required", ()):
+            plain.append(F.when(is_object & ~there, F.lit(f"missing:{below(p)}")))
+        nested.append(F.when(is_object & there, schema_problems(own, inner, below(p))))
+    if schema.get("additionalProperties") is False:
+        keys = F.map_keys(F.from_json(F.to_json(value), "map<string,string>"))
+        unknown = F.array_except(keys, F.array(*[F.lit(p) for p in sorted(known)]) if known else F.array().cast(NOTHING))
+        nested.append(F.when(is_object, F.transform(unknown, lambda k: F.concat(F.lit("unknown:" + (f"{path}." if path else "")), k))))
+    none = F.array().cast(NOTHING)
+    return F.array_distinct(F.concat(F.array_compact(F.array(*plain)), *[F.coalesce(x, none) for x in nested]))
 
 
 def argument_problems(name: Column, arguments: Column, tools: Schemas) -> Column:
-    """Array of what is wrong with a call's arguments; a sorted list of `missing:p`, `type:p`, `unknown:p`."""
-    kinds = F.from_json(F.to_json(arguments), "map<string,string>")
-    checks = F.lit(None).cast("array<string>")
-    for tool, parameters in sorted(tools.items()):
-        found = []
-        for p, (kind, required) in sorted(parameters.items()):
-            value = F.try_variant_get(arguments, f"$.{p}", "variant")
-            is_kind = F.schema_of_variant(value)
-            right = is_kind.rlike("^(BIGINT|DECIMAL.*,0.)$") if kind == "integer" else is_kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$") if kind == "number" else is_kind.rlike("^(OBJECT|ARRAY|VOID)" if kind not in ("string", "boolean") else f"^{_kind_of(kind)}$")
-            missing = F.lit(f"missing:{p}") if required else F.lit(None).cast("string")
-            found.append(F.when(value.isNull() | (is_kind == "VOID"), missing).when(~right, F.lit(f"type:{p}")))
-        known = F.array(*[F.lit(p) for p in sorted(parameters)]) if parameters else F.array().cast("array<string>")
-        unknown = F.transform(F.array_except(F.map_keys(kinds), known), lambda k: F.concat(F.lit("unknown:"), k))
-        own = F.array_sort(F.concat(F.array_compact(F.array(*found)) if found else F.array().cast("array<string>"), F.coalesce(unknown, F.array().cast("array<string>"))))
-        checks = F.when(name == tool, own).otherwise(checks)
+    """Sorted array of what is wrong with a call's arguments, by the schema of its tool."""
+    checks = F.lit(None).cast(NOTHING)
+    for tool, schema in sorted(tools.items()):
+        checks = F.when(name == tool, F.array_sort(schema_problems(arguments, schema))).otherwise(checks)
     no_object = F.coalesce(~F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(True))
     return F.when(~F.coalesce(name.isin(sorted(tools)), F.lit(False)), F.array(F.lit("unknown_tool"))).when(no_object, F.array(F.lit("arguments_not_object"))).otherwise(checks)
 
@@ -79,7 +126,7 @@ def messages(turns: DataFrame, tools: Schemas | None = None, conv_col: str = "co
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    object_ = F.when(F.ltrim("text").startswith("{"), F.try_parse_json("text"))
+    object_ = F.when(F.col("text").rlike(r"^[ \t\n\r]*\{"), F.try_parse_json("text"))
     parsed = plain.withColumn("v", object_)
     calls = F.when((F.col("role") == "assistant") & F.schema_of_variant(F.try_variant_get("v", "$.tool_calls", "variant")).startswith("ARRAY"), F.try_variant_get("v", "$.tool_calls", "array<struct<id:string,name:string,arguments:variant>>"))
     answers = F.when((F.col("role") == "tool"), F.try_variant_get("v", "$.tool_call_id", "string"))
@@ -109,10 +156,12 @@ def messages(turns: DataFrame, tools: Schemas | None = None, conv_col: str = "co
 def _linked(nodes: DataFrame) -> DataFrame:
     """Calls and results with their links, levels and places."""
     here = F.struct("turn", "part")
-    first = nodes.where("kind = 'call' and call_id is not null").groupBy("conv", "call_id").agg(F.min(here).alias("call_at"))
-    answered = nodes.where("kind = 'result'").groupBy("conv", "call_id").agg(F.min("turn").alias("result_turn"))
+    named = nodes.where("call_id is not null")
+    first = named.where("kind = 'call'").groupBy("conv", "call_id").agg(F.min(here).alias("call_at"))
+    answered = named.where("kind = 'result'").groupBy("conv", "call_id").agg(F.min("turn").alias("result_turn"))
     pairs = checkpoint(join_on(first, answered, ["conv", "call_id"], "full"))
-    both = join_on(nodes, pairs.where("call_id is not null"), ["conv", "call_id"], "left")
+    alone = nodes.where("call_id is null").withColumns({"call_at": F.lit(None).cast(pairs.schema["call_at"].dataType), "result_turn": F.lit(None).cast("long")})
+    both = join_on(named, pairs, ["conv", "call_id"], "left").unionByName(alone)
     repeated = (F.col("kind") == "call") & F.col("call_at").isNotNull() & (here != F.col("call_at"))
     more = F.array_compact(F.array(
         F.when(F.col("call_id").isNull(), "no_id"), F.when(repeated, "repeated_id"),
@@ -130,30 +179,40 @@ def _linked(nodes: DataFrame) -> DataFrame:
     settled = join_on(turns, needs.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti")
     settled = settled.select("conv", "call_id", F.lit(0).alias("s_level"), F.col("call_turn").alias("call_place"), F.greatest("call_turn", "result_turn").alias("result_place"))
     if not needs.isEmpty():
-        settled = _peel(checkpoint(settled), needs, turns)
-    placed = join_on(rows, settled.withColumn("linked", F.lit(True)), ["conv", "call_id", "linked"], "left")
+        settled = _peel(written(settled), written(needs), turns)
+    placed = join_on(rows.where("linked"), settled, ["conv", "call_id"], "left")
     is_call = F.col("kind") == "call"
-    circular = F.col("linked") & F.col("s_level").isNull()
-    level = F.when(~F.col("linked"), 0).when(is_call, F.col("s_level")).otherwise(F.col("s_level") + 1)
+    level = F.when(is_call, F.col("s_level")).otherwise(F.col("s_level") + 1)
     place = F.coalesce(F.when(is_call, F.col("call_place")).otherwise(F.greatest("turn", "result_place")), F.col("turn"))
-    problems = F.when(circular, F.array_sort(F.array_append("problems", F.lit("circular")))).otherwise(F.col("problems"))
-    return placed.select("conv", "turn", "part", "kind", "call_id", "linked", level.alias("level"), place.alias("place"), problems.alias("problems"), "json")
+    problems = F.when(F.col("s_level").isNull(), F.array_sort(F.array_append("problems", F.lit("circular")))).otherwise(F.col("problems"))
+    linked = placed.select("conv", "turn", "part", "kind", "call_id", "linked", level.alias("level"), place.alias("place"), problems.alias("problems"), "json")
+    return linked.unionByName(rows.where("not linked").select("conv", "turn", "part", "kind", "call_id", "linked", F.lit(0).alias("level"), F.col("turn").alias("place"), "problems", "json"))
+
 
+def _peel(settled: DataFrame, needs: DataFrame, turns: DataFrame, gather: int = 16) -> DataFrame:
+    """Settles, round by round, the identifiers whose needs are all settled; what stays is circular.
 
-def _peel(settled: DataFrame, needs: DataFrame, turns: DataFrame) -> DataFrame:
-    """Settles, round by round, the identifiers whose needs are all settled; what stays is circular."""
+    A round joins what the last one settled with the needs that are open, so each need is met once. Rounds are tables, so that
+    Spark knows their sizes.
+    """
+    found, now, last = [settled], [], settled
+    open_ = needs.groupBy("conv", "call_id").agg(F.count("*").alias("left"), F.lit(0).alias("deep"), F.lit(None).cast("long").alias("late"))
     while True:
-        have = settled.select("conv", F.col("call_id").alias("need"), "s_level", "result_place")
-        joined = join_on(needs, have, ["conv", "need"], "left")
-        ready = joined.groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.count("s_level").alias("m"), F.max("s_level").alias("deep"), F.max("result_place").alias("late")).where("n = m")
-        ready = join_on(join_on(ready, settled, ["conv", "call_id"], "left_anti"), turns, ["conv", "call_id"])
-        new = ready.select(
+        have = last.select("conv", F.col("call_id").alias("need"), "s_level", "result_place")
+        met = join_on(needs, have, ["conv", "need"]).groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.max("s_level").alias("m_level"), F.max("result_place").alias("m_place"))
+        open_ = written(join_on(open_, met, ["conv", "call_id"], "left").select(
+            "conv", "call_id", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.greatest("deep", "m_level").alias("deep"), F.greatest("late", "m_place").alias("late"),
+        ))
+        ready = join_on(open_.where("left = 0"), turns, ["conv", "call_id"])
+        last = written(ready.select(
             "conv", "call_id", (F.col("deep") + 2).alias("s_level"), F.greatest("call_turn", "late").alias("call_place"),
             F.greatest("call_turn", "late", "result_turn").alias("result_place"),
-        )
-        new = checkpoint(new)
-        if new.isEmpty():
-            return settled
-        settled = checkpoint(settled.unionByName(new))
-
-
+        ))
+        if last.isEmpty():
+            break
+        open_ = open_.where("left > 0")
+        needs = written(join_on(needs, have.select("conv", "need"), ["conv", "need"], "left_anti"))
+        now.append(last)
+        if len(now) >= gather:  # keeps the plan of the result short
+            found, now = [*found, written(reduce(DataFrame.unionByName, now))], []
+    return reduce(DataFrame.unionByName, [*found, *now])

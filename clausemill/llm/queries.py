@@ -129,6 +129,48 @@ FROM conversations
 """
 
 
+#: Conversations with tool calls, which the tables lack: (conv_id, turn, role, text).
+TOOL_TURNS = [
+    (1, 0, "user", "What is 2 + the limit?"),
+    (1, 1, "assistant", '{"tool_calls": [{"id": "b", "name": "calculator", "arguments": {"expression": "$a + 2"}}, {"id": "a", "name": "search", "arguments": {"query": "limit", "limit": 3}}]}'),
+    (1, 2, "tool", '{"tool_call_id": "b", "content": {"z": 1, "a": [1.5, null]}}'),
+    (1, 3, "tool", '\n {"tool_call_id": "a", "content": "three"}'),
+    (2, 0, "assistant", '{"tool_calls": [{"id": "x", "name": "weather", "arguments": {"city": "P", "unit": "rankine", "at": {"lat": 91, "lon": 0}}}, {"id": "y", "name": "nope", "arguments": {}}]}'),
+    (2, 1, "tool", '{"tool_call_id": "q", "content": true}'),
+    (2, 2, "assistant", '{"tool_calls": "none"}'),
+    (3, 0, "assistant", '{"tool_calls": [{"id": "p", "name": "search", "arguments": {"query": "$r"}}, {"id": "r", "name": "search", "arguments": {"query": "$p"}}]}'),
+    (3, 1, "tool", '{"tool_call_id": "p", "content": 1}'),
+    (3, 2, "tool", '{"tool_call_id": "r", "content": 2}'),
+]
+
+
+@query
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the conversations of TOOL_TURNS."""
+    found = chat.messages(spark.createDataFrame(TOOL_TURNS, "conv_id long, turn long, role string, text string"))
+    return found.select(F.col("conv").alias("conv_id"), "turn", "part", "kind", "call_id", "linked", "level", "place", F.array_join("problems", ",").alias("problems"), "json")
+
+
+#: Worked out by hand from the rules in chat.py.
+ORACLES["chat_tool_calls"] = r"""
+SELECT * FROM (VALUES
+    (1::BIGINT, 0::BIGINT, 0::INTEGER, 'message', NULL, FALSE, 0::INTEGER, 0::BIGINT, '', '{"content":"What is 2 + the limit?","role":"user"}'),
+    (1, 1, 0, 'call', 'b', TRUE, 2, 3, '', '{"arguments":{"expression":"$a + 2"},"id":"b","name":"calculator","role":"assistant"}'),
+    (1, 1, 1, 'call', 'a', TRUE, 0, 1, '', '{"arguments":{"limit":3,"query":"limit"},"id":"a","name":"search","role":"assistant"}'),
+    (1, 2, 0, 'result', 'b', TRUE, 3, 3, '', '{"content":{"a":[1.5,null],"z":1},"role":"tool","tool_call_id":"b"}'),
+    (1, 3, 0, 'result', 'a', TRUE, 1, 3, '', '{"content":"three","role":"tool","tool_call_id":"a"}'),
+    (2, 0, 0, 'call', 'x', FALSE, 0, 0, 'enum:unit,no_result,range:at.lat', '{"arguments":{"at":{"lat":91,"lon":0},"city":"P","unit":"rankine"},"id":"x","name":"weather","role":"assistant"}'),
+    (2, 0, 1, 'call', 'y', FALSE, 0, 0, 'no_result,unknown_tool', '{"arguments":{},"id":"y","name":"nope","role":"assistant"}'),
+    (2, 1, 0, 'result', 'q', FALSE, 0, 1, 'no_call', '{"content":true,"role":"tool","tool_call_id":"q"}'),
+    (2, 2, 0, 'message', NULL, FALSE, 0, 2, '', '{"content":"{\"tool_calls\": \"none\"}","role":"assistant"}'),
+    (3, 0, 0, 'call', 'p', TRUE, NULL, 0, 'circular', '{"arguments":{"query":"$r"},"id":"p","name":"search","role":"assistant"}'),
+    (3, 0, 1, 'call', 'r', TRUE, NULL, 0, 'circular', '{"arguments":{"query":"$p"},"id":"r","name":"search","role":"assistant"}'),
+    (3, 1, 0, 'result', 'p', TRUE, NULL, 1, 'circular', '{"content":1,"role":"tool","tool_call_id":"p"}'),
+    (3, 2, 0, 'result', 'r', TRUE, NULL, 2, 'circular', '{"content":2,"role":"tool","tool_call_id":"r"}')
+) AS t(conv_id, turn, part, kind, call_id, linked, level, place, problems, json)
+"""
+
+
 @query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and attention-model scores of all documents, learned from six sevenths of them."""
