@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, discard, shared_folder, written  # noqa: F401
 
 #: White space that separates words where a contract says `[^\x20\x09-\x0D]+`.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -51,10 +51,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014). Minima are aggregated on the map
     side and joined back, so a node with very many neighbours is no single task's group. Each round is a
-    checkpoint; only two numbers a round come to the driver.
+    table in the shared folder (whose sizes Spark then knows: estimates carried through rounds of joins would grow
+    without bound); only two numbers a round come to the driver.
     """
+    spark = edges.sparkSession
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    pairs = checkpoint(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder := shared_folder(spark))
     before = None
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -62,7 +64,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        pairs = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), new := shared_folder(spark))
+        discard(spark, folder)
+        folder = new
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break

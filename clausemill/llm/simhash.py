@@ -40,6 +40,8 @@ BITS = 64
 DIRECT = 2048
 #: Queries compared with a bucket at once.
 TILE = 256
+#: 64-bit words of a parity sketch (wide radii).
+PARITY = 16
 
 
 # ---- fingerprints ----------------------------------------------------------------------------------------------
@@ -236,25 +238,32 @@ def block_keys(fp: Column, radius: int) -> Column:
     return F.array(*keys)
 
 
-def runs(parts: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Whole key runs of a sorted stream of long columns: the last run of a batch waits for the next."""
-    held: list[np.ndarray] | None = None
+def _column(column: pa.Array) -> np.ndarray:
+    """Numbers as they are, sketches as rows of words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITY) if pa.types.is_binary(column.type) else np.asarray(column)
+
+
+def runs(parts: Iterator[pa.RecordBatch], keys: int = 2) -> Iterator[list[np.ndarray]]:
+    """Whole key runs of a stream that is sorted by its first columns: the last run of a batch waits for the next."""
+    held: list[list[np.ndarray]] = []
+    together = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
     for part in parts:
-        now = [np.asarray(part.column(k)) for k in range(part.num_columns)]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        if not len(now[0]):
+        if not part.num_rows:
             continue
-        first = now[:-1]  # all but the payload make the key
-        differs = np.zeros(len(now[0]) - 1, bool)
-        for column in first:
-            differs |= column[1:] != column[:-1]
-        cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-        if cut:
-            yield [x[:cut] for x in now]
-        held = [x[cut:] for x in now]
-    if held is not None and len(held[0]):
-        yield held
+        now = [_column(c) for c in part.columns]
+        if held and any(held[-1][k][-1] != now[k][0] for k in range(keys)):
+            yield together()
+            held.clear()
+        differs = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:keys]]))
+        if len(differs):
+            cut = int(differs[-1]) + 1
+            held.append([c[:cut] for c in now])
+            yield together()
+            held.clear()
+            now = [c[cut:] for c in now]
+        held.append(now)
+    if held:
+        yield together()
 
 
 def _link_buckets(radius: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,8 +302,8 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle_words: int = 3, id_col
 
 # ---- wide radii ------------------------------------------------------------------------------------------------
 
-#: Bands, minima in a band, 64-bit words of a parity sketch, members that one task compares at once.
-BANDS, DEPTH, PARITY, MEMBERS = 20, 3, 16, 4096
+#: Bands, minima in a band, members that one task compares at once.
+BANDS, DEPTH, MEMBERS = 20, 3, 4096
 
 
 def band_minima(hashes: np.ndarray) -> np.ndarray:
@@ -351,7 +360,7 @@ def _blocks(similarity: float, members: int, parts: Iterator[pa.RecordBatch]) ->
     A bucket of more than `members` is cut into blocks in order of n; each pair of blocks is a part of its own, left out
     only if the sizes alone rule out all its pairs.
     """
-    for band, key, n, ids in _member_runs(parts):
+    for band, key, n, ids in runs(parts):
         new = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])])
         sizes = np.diff(np.r_[new, len(ids)])
         few = np.repeat((sizes > 1) & (sizes <= members), sizes)
@@ -371,7 +380,7 @@ def _rows(band: np.ndarray, key: np.ndarray, part: int, ids: np.ndarray) -> pa.R
 
 def _screen(similarity: float, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band, key, part, id, n, sketch) sorted → (a, b) that span the pairs which n and sketch don't rule out."""
-    for band, key, part, ids, n, sketch in _member_runs(parts, 3):
+    for band, key, part, ids, n, sketch in runs(parts, 3):
         new = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
         sizes = np.diff(np.r_[new, len(ids)])
         a, b = [], []
@@ -391,29 +400,6 @@ def _screen(similarity: float, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def _column(column: pa.Array) -> np.ndarray:
-    """Numbers as they are, sketches as rows of words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITY) if pa.types.is_binary(column.type) else np.asarray(column)
-
-
-def _member_runs(parts: Iterator[pa.RecordBatch], keys: int = 2) -> Iterator[list[np.ndarray]]:
-    """Like runs(), for so many key columns in front and any number of payload columns."""
-    held: list[np.ndarray] | None = None
-    for part in parts:
-        if not part.num_rows:
-            continue
-        now = [_column(c) for c in part.columns]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        differs = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:keys]]))
-        cut = int(differs[-1]) + 1 if len(differs) else 0
-        if cut:
-            yield [x[:cut] for x in now]
-        held = [x[cut:] for x in now]
-    if held is not None and len(held[0]):
-        yield held
-
-
 def link_sets(sets: list[np.ndarray], similarity: float, sides: np.ndarray) -> np.ndarray:
     """Roots (positions) of sets of sorted hashes after linking all pairs with the similarity.
 
@@ -463,9 +449,11 @@ def _agree(words: int, similarity: float, parts: Iterator[pa.RecordBatch]) -> It
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text", members: int = MEMBERS) -> DataFrame:
     """(id, component_id) for every row with an id: groups linked by equal words or by similar shingle sets.
 
-    Texts without words aren't linked. Ids are long; rows that repeat an id count as one document with all
-    its texts. One task compares at most about 2 * members documents at once.
+    Texts without words aren't linked. Rows that repeat an id count as one document with all its texts. One task compares at
+    most about 2 * members documents at once. Ids that aren't integers are numbered by a hash, which has to tell them apart.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return _named_groups(docs, id_col, text_col, similarity=similarity, shingle_words=shingle_words, members=members)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     rows = checkpoint(plain.mapInArrow(partial(_sketch, shingle_words), "id long, whole binary, n long, sketch binary, bands array<long>").where("size(bands) > 0"))
     least = rows.groupBy("whole").agg(F.min("id").alias("least"), F.min(F.struct("n", "sketch", "bands")).alias("s"))
@@ -489,6 +477,18 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     return ids.join(roots, ids["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("component_id"))
 
 
+def _named_groups(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """similar_groups for ids of other types."""
+    named = docs.select(F.col(id_col).alias("name"), F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
+    names = checkpoint(named.where("name is not null").select("name", "doc_id").distinct())
+    if names.count() != names.select("doc_id").distinct().count():
+        raise ValueError("two ids have the same hash; number them first")
+    groups = similar_groups(named, **options).distinct().join(names, F.col("id") == F.col("doc_id")).select("name", "component_id")
+    least = groups.groupBy("component_id").agg(F.min("name").alias("least"))
+    each = named.where("name is not null").select("name")
+    return each.join(groups.join(least, "component_id").select("name", "least"), "name").select(F.col("name").alias("id"), F.col("least").alias("component_id"))
+
+
 def once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, those with the same id and text reduced to the one whose other columns come first.
 
