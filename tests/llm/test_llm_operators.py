@@ -237,6 +237,14 @@ def test_similar_groups(spark, small, texts, edges):
     assert kept.columns == edges.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 6, None, 9, 10, 11, 12, 13, 14]))
 
 
+def test_similar_groups_of_named_documents(spark):
+    rows = [("b", "one two three four five six seven"), ("a", "one two three four five six seven"), ("c", "other"), (None, "other"), ("d", None), ("b", "one two three four five six seven")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    groups = simhash.similar_groups(df)
+    assert sorted(map(tuple, groups.collect())) == [("a", "a"), ("b", "a"), ("b", "a"), ("c", "c"), ("d", "d")]
+    assert sorted(str(r["doc_id"]) for r in simhash.keep_first(df, groups).collect()) == ["None", "a", "c", "d"]
+
+
 def test_similar_pairs_in_a_large_bucket(spark):
     draw = np.random.default_rng(3)
     word = lambda n: [f"w{k}" for k in draw.integers(0, 1 << 40, n)]
@@ -566,6 +574,72 @@ def test_chat(spark):
     assert chat.messages(df.limit(0)).count() == 0
 
 
+def test_chat_json_white_space(spark):
+    rows = [(1, 0, "assistant", "\n\t " + calls(("a", "search", {"query": "x"}))), (1, 1, "tool", "\r\n" + result("a", 1)), (1, 2, "assistant", "\u00a0" + calls(("b", "search", {"query": "x"})))]
+    got = chat.messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["turn"], r["kind"], r["linked"]) for r in got) == [(0, "call", True), (1, "result", True), (2, "message", False)]
+
+
+def test_chat_schemas(spark):
+    given = {
+        "a": ("search", {"query": "", "limit": 0, "fields": ["x", 1]}), "b": ("search", {"query": "x", "limit": 1.5}), "c": ("search", {"query": "x", "limit": 100, "fields": []}),
+        "d": ("weather", {"city": "P", "unit": "rankine", "at": {"lat": 91, "lon": "x", "alt": 1}}), "e": ("weather", {"city": "P", "unit": "kelvin", "at": {"lat": 1.5, "lon": -180}}),
+        "f": ("weather", {"city": None, "metric": "no", "at": {"lat": 0}}), "g": ("search", {"query": "x", "fields": ["x"] * 11}), "h": ("search", {"query": ["x"], "limit": 1e3}),
+    }
+    want = {
+        "a": ["length:query", "range:limit", "type:fields[]"], "b": ["type:limit"], "c": [], "d": ["enum:unit", "range:at.lat", "type:at.lon", "unknown:at.alt"], "e": [],
+        "f": ["missing:at.lon", "missing:city", "type:metric"], "g": ["length:fields"], "h": ["range:limit", "type:query"],
+    }
+    rows = [(1, 0, "assistant", calls(*((i, n, a) for i, (n, a) in given.items())))] + [(1, k + 1, "tool", result(i, 1)) for k, i in enumerate(given)]
+    got = {r["call_id"]: r["problems"] for r in chat.messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()}
+    assert got == want
+    deep = {"type": ["array", "null"], "minItems": 1, "items": {"type": "array", "items": {"type": "string", "pattern": "^[a-z]+$", "maxLength": 3}}}
+    cases = [("[]", ["length:"]), ("null", []), ('[["ab"],["abcd","A"]]', ["length:[][]", "pattern:[][]"]), ("[1]", ["type:[]"]), ("{}", ["type:"])]
+    df = spark.createDataFrame(cases, "j string, want array<string>").select("want", F.array_sort(chat.schema_problems(F.parse_json("j"), deep)).alias("got"))
+    assert all(r["want"] == r["got"] for r in df.collect())
+
+
+def brute_levels(calls_, results):
+    """{id: (level, place of the call, place of the result)} by recursion; circular ones have none."""
+
+    def settle(i, above=()):
+        if i in above:
+            return None
+        needs = [settle(n, (*above, i)) for n in calls_[i][1]]
+        if None in needs:
+            return None
+        level = max([x[0] + 2 for x in needs], default=0)
+        place = max([calls_[i][0], *(x[2] for x in needs)])
+        return level, place, max(place, results[i])
+
+    return {i: settle(i) for i in calls_}
+
+
+def test_chat_chains_by_brute_force(spark):
+    draw, rows, want = np.random.default_rng(3), [], {}
+    for conv in range(6):
+        n = 7
+        made = {f"c{k}": (int(draw.integers(0, 10)), sorted({f"c{j}" for j in draw.integers(0, n if conv == 5 else max(k, 1), int(draw.integers(0, 3))) if j != k and (j < k or conv == 5)})) for k in range(n)}
+        if conv == 0:
+            made = {f"c{k}": (0, [f"c{k - 1}"] if k else []) for k in range(n)}  # one long chain
+        if conv == 5:
+            made |= {"c0": (0, ["c1"]), "c1": (1, ["c0"])}
+        answers = {i: 10 + k for k, i in enumerate(made)}
+        for turn in range(10):
+            own = [(i, "calculator", {"expression": " ".join(f"${x}" for x in needs)}) for i, (t, needs) in made.items() if t == turn]
+            if own:
+                rows.append((conv, turn, "assistant", calls(*own)))
+        rows += [(conv, t, "tool", result(i, 1)) for i, t in answers.items()]
+        want |= {(conv, i): v for i, v in brute_levels(made, answers).items()}
+    got = chat.messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 2 * len(want) and any(v is None for v in want.values())
+    for r in got:
+        w = want[r["conv"], r["call_id"]]
+        assert ("circular" in r["problems"]) == (w is None)
+        if w:
+            assert (r["level"], r["place"]) == ((w[0], w[1]) if r["kind"] == "call" else (w[0] + 1, w[2]))
+
+
 # ---- 8 sharding
 
 
@@ -653,12 +727,70 @@ def test_rare_languages_and_scripts(spark):
     assert [lang for lang, _ in samples] == sorted(letters)
     held = [lang for lang in letters for _ in range(5)]
     assert langid.Model(samples).predict([text(lang) for lang in held])[0] == held
+    # what is no learned language goes, what is stays
+    most = langid.limits(samples)
+    noise = " ".join(chr(0x0900 + k) * 3 for k in draw.integers(4, 58, 100))
+    rows = [(k, t) for k, t in enumerate([*(text(lang) for lang in ("la", "lb") for _ in range(5)), noise, "ab", "..."])]
+    kept = langid.accept(spark.createDataFrame(rows, "doc_id long, text string"), samples, most | {"ru": 0.5, "ka": 0.5, "zh": 0.5, "ko": 0.5})
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(10), 11]
 
 
 def test_many_languages_share_the_sample(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "repeat('abc ', 500) as text", "concat('l', id % 40) as lang")
     samples = langid.learn(df)
-    assert len(samples) == 40 and langid.ROWS * langid.CHARS * langid.FULL * 0.9 < sum(len(t) for _, t in samples) < langid.ROWS * langid.CHARS * langid.FULL * 1.1
+    assert len(samples) == 40 and langid.CHARS * langid.FULL * 0.9 < sum(len(t) for _, t in samples) < langid.CHARS * langid.FULL * 1.1
+
+
+def slow_phrases(sample, text):
+    """Greedy longest matches by looking substrings up; a letter that the sample doesn't have is a phrase of its own."""
+    count, now = 1, ()
+    joined = ",".join(map(str, sample))
+    inside = lambda x: f",{','.join(map(str, x))}," in f",{joined},"
+    for c in text:
+        if inside((*now, c)):
+            now = (*now, c)
+        else:
+            count, now = count + 1, (c,) if inside((c,)) else ()
+    return count
+
+
+@pytest.mark.parametrize("lane", [1, 3, 16, 2048])
+def test_lanes_parse_whole_texts(monkeypatch, lane):
+    draw = np.random.default_rng(8)
+    monkeypatch.setattr(langid, "LANE", lane)
+    samples = (("xa", "".join(draw.choice(list("aab c"), 150))), ("xb", "".join(draw.choice(list("abcd "), 150))))
+    model = langid.Model(samples)
+    texts = ["".join(draw.choice(list("aabcde "), n)) for n in (1, 2, 15, 16, 17, 33, 120, 400)] + ["a" * 300]
+    coded = [model.codes(t) for t in texts]
+    got = model.phrases(coded)
+    for k, (own, (_, sample)) in enumerate(zip(model.own, samples)):
+        known = own[model.codes(sample)].tolist()
+        assert got[:, k].tolist() == [slow_phrases(known, own[c].tolist()) for c in coded]
+
+
+def test_language_query_by_brute_force(spark, small, texts):
+    rows = {r["doc_id"]: r for r in queries.op9_language_id(spark, small).collect()}
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    samples = langid.learn(docs.where(langid.remainder(F.col("doc_id"), 4) != 2))
+    labelled = {r["doc_id"]: r for r in docs.collect()}
+    for lang, sample in samples:  # whole texts of documents that may be learned from
+        assert len(sample) <= langid.CHARS + 1000
+        own = {r["text"] for i, r in labelled.items() if r["lang"] == lang and zlib.crc32(str(i).encode()) % 4 != 2}
+        assert "\n".join(t for t in sorted(own, key=sample.find) if t in sample).replace("\n", "").startswith(sample.replace("\n", "")[:50])
+    model = langid.Model(samples)
+    for i in [i for i in sorted(texts) if 0 < len(texts[i]) < 500][::7]:
+        c = model.codes(texts[i])
+        if not (c > 0).any():
+            assert rows[i]["lang_pred"] == "und"
+            continue
+        n = [slow_phrases(own[model.codes(sample)].tolist(), own[c].tolist()) for own, (_, sample) in zip(model.own, samples)]
+        best = min(range(len(n)), key=lambda k: n[k])
+        assert rows[i]["lang_pred"] == samples[best][0] and rows[i]["score"] == pytest.approx(1 - sorted(n)[0] / sorted(n)[1])
+
+
+def test_language_ties():
+    samples = (("xa", "abab"), ("xb", "abab"))
+    assert langid.Model(samples).predict(["abab", "..", None])[0] == ["xa", "und", "und"]
 
 
 def test_language_edges(spark, edges, nothing):
@@ -668,7 +800,7 @@ def test_language_edges(spark, edges, nothing):
     for r, t in [(r, t) for r in rows for i, t in EDGES if i == r["id"] and i not in (6, None)]:
         assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in t or ""))
     assert langid.learn(nothing) == () and {r["lang_pred"] for r in langid.identify(edges, ()).collect()} == {"und"}
-    assert {r["doc_id"] for r in langid.accept(edges, samples).collect()} == {i for i, t in EDGES if any(c.isalpha() for c in t or "")}
+    assert {r["doc_id"] for r in langid.accept(edges, samples, {lang: 1.0 for lang, _ in samples}).collect()} == {i for i, t in EDGES if any(c.isalpha() for c in t or "")}
 
 
 # ---- 10 language model
@@ -849,6 +981,58 @@ def test_pipeline(spark, small, texts):
     assert {r["doc_id"] for r in rows} == set(after)
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    prose = "the quick brown fox jumps over the lazy dog and runs away from it all day long with "
+    texts_ = [None, "", "...", prose + "token = abcdefgh1234", prose + "token = abcdefgh1234", "one two three four five six seven eight nine ten eleven twelve", "x" * 30_000, prose * 400]
+    rows = [(k if k != 2 else None, t, "en" if k % 2 else None, None, None, "clash") for k, t in enumerate(texts_)] + [(5, texts_[5], None, None, 7, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string").withColumn("_gone_id", F.lit(1))
+    for table in (df, df.drop("n_chars"), df.limit(0)):
+        docs, empty = table, table.count() == 0
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs
+            docs = common.checkpoint(stage(spark, docs, str(tmp_path)))
+            ids = sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect())
+            if empty:
+                assert ids == [], name
+            elif name == "language_id":
+                assert "3" in ids and "4" in ids and not {"0", "1", "None"} & set(ids)
+            elif name == "near_dedup":
+                assert ids.count("3") == 1 and "4" not in ids
+            elif name == "decontamination":
+                assert "5" not in ids and "3" in ids
+            elif name == "secret_scan":
+                text = {r["doc_id"]: r["text"] for r in docs.collect()}
+                assert text[3] == prose + "[SECRET]"
+            if name != "packing":
+                assert docs.columns == before.columns, name
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.decontamination, corpus_pipeline.secret_scan):  # null and empty texts stay
+        assert {0, 1, None} <= {r["doc_id"] for r in stage(spark, df, str(tmp_path)).collect()}
+
+
+def test_runs_of_keys():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(6)
+    keys = np.sort(draw.integers(0, 9, 200))
+    rows = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 7]), pa.array(np.zeros(len(keys[a : a + 7]), np.int64)), pa.array(np.arange(a, min(200, a + 7)))], names=["a", "b", "v"]) for a in range(0, 200, 7)]
+    got = list(simhash.runs(iter([rows[0].slice(0, 0), *rows])))
+    assert np.concatenate([g[2] for g in got]).tolist() == list(range(200))
+    assert all(x[0][-1] != y[0][0] for x, y in zip(got, got[1:]))
+
+
+def test_tool_call_fixture(spark):
+    import duckdb
+
+    got = queries.chat_tool_calls(spark, "").toPandas()
+    want = duckdb.sql(queries.ORACLES["chat_tool_calls"]).df()
+    key = ["conv_id", "turn", "part"]
+    assert sorted(got.columns) == sorted(want.columns)
+    for column in got.columns:
+        a, b = (df.sort_values(key)[column].astype(object).where(lambda x: x.notna(), None).tolist() for df in (got, want))
+        assert a == b, column
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
