@@ -46,6 +46,15 @@ def join_on(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{c}" for c in on])
 
 
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """`df`, a table of few narrow columns, written, and marked for broadcast if it has at most so many rows.
+
+    With more, Spark joins it by a shuffle, which gives the same rows.
+    """
+    df = written(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge list; root is the smallest node that can be reached.
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import lower_ascii
+from .common import bounded, lower_ascii
 
 #: Separators of the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, in lower-cased text.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,6 +88,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, max_share: float = 0
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     found = contamination(docs, benchmark, **options).where(hit_words(F.col("spans")) > max_share * F.col("n_words"))
     found = found.select(F.col("id").alias("_hit_id"), F.col("key").alias("_hit_key")).distinct()
+    found = bounded(found)
     hit = docs[id_col].eqNullSafe(found["_hit_id"]) & (F.xxhash64(docs[text_col]) == found["_hit_key"])
     return docs.join(found, hit, "left_anti")
 

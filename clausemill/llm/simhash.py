@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import components, small, utf8
+from .common import bounded, components, small, utf8
 
 SEED = 42
 BITS = 64
@@ -469,7 +469,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     blocked = blocked.select("root", F.col("node").alias("id"), "blocks", "block", other.alias("other"))
     blocked = blocked.select("root", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("part"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id")
-    texts = blocked.join(plain, "id").select("root", "part", "side", "id", "text").repartition("root", "part").sortWithinPartitions("root", "part")
+    texts = bounded(blocked).join(plain, "id").select("root", "part", "side", "id", "text").repartition("root", "part").sortWithinPartitions("root", "part")
     similar = texts.mapInArrow(partial(_agree, shingle_words, similarity), "a long, b long").where("a <> b")
     equal = rows.join(least.select("whole", "least"), "whole").select(F.col("id").alias("a"), F.col("least").alias("b")).where("a <> b")
     roots = components(similar.unionByName(equal))
@@ -495,6 +495,7 @@ def once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Rows with a null id stay. Only ids that are repeated bring their texts to a shuffle.
     """
     again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again_id"))
+    again = bounded(again)
     on = docs[id_col] == again["_again_id"]
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     first = docs.join(again, on, "left_semi").groupBy(id_col, text_col).agg(F.min(F.struct(F.lit(0).alias("_none"), *others)).alias("_first"))
@@ -508,5 +509,5 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Da
     Rows that groups doesn't know, such as those with a null id, stay. So do all rows of an id that is kept: once() reduces
     those with the same text.
     """
-    gone = groups.where("id <> component_id").select(F.col("id").alias("_gone_id")).distinct()
+    gone = bounded(groups.where("id <> component_id").select(F.col("id").alias("_gone_id")).distinct())
     return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")

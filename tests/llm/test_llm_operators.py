@@ -376,7 +376,7 @@ def test_encoder_equals_tokenizers(texts):
     plain = Tokenizer.from_file(path)
     odd = ["a<|endoftext|>b", " <|endoftext|> <|endoftext|>  x", "<|endoftext|><|endoftext|>\n<|endoftext", "  two  words <|endoftext|>  y ", "  two  spaces \n x", " lead", "trail ", "a  b  c", "\x1c \x85 x", "it's we'll 'S", "<|endoftext|>", "ﬁ \U0001F600\U0001F600 é́", "\n\n\n \n a", "12ab_34", "　 x"]
     every = [t or "" for _, t in EDGES] + list(texts.values()) + odd
-    got = packing.Encoder(path).encode(every)
+    got = list(map(packing.Encoder(path).encode, every))
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [x.ids for x in plain.encode_batch(every, add_special_tokens=False)]
 
 
@@ -385,7 +385,7 @@ def test_encoder_equals_tokenizers(texts):
 def test_encoder_cuts(text):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = test_encoder_cuts.__dict__.setdefault("t", Tokenizer.from_file(path))
-    assert np.frombuffer(packing.encoder(path).encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder(path).encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def check_packing(rows, docs, length):
