@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import clean as _clean
 from ..kernels import ocr, stem, tokens
-from ..plans.pipelines import PIPELINES
+from ..plans.pipelines import sentences_by_pipeline
 
 
 def each(f: Callable, schema: str) -> Callable[[Column], Column]:
@@ -47,16 +47,6 @@ def repair(mode: str) -> Callable[[Column], Column]:
     return each(run, "struct<text:string,fixed:int,unresolved:int>")
 
 
-def pipeline_sentences(name: str) -> Callable[[Column], Column]:
-    """A preprocessing pipeline's sentences of tokens."""
-    return each(PIPELINES[name], "array<array<string>>")
-
-
-def reading_order(boxes: Column) -> Column:
-    """Lines and mean score of a page's boxes: array of (y, x, height, text, score)."""
-
-    def run(pages: pd.Series) -> pd.DataFrame:
-        rows = [ocr.reading_order([(b["y"], b["x"], b["height"], b["text"], b["score"]) for b in page] if page is not None else []) for page in pages]
-        return pd.DataFrame(rows, columns=["text", "confidence"])
-
-    return F.pandas_udf(run, "struct<text:string,confidence:double>")(boxes)
+def pipeline_sentences(names: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Preprocessing pipelines' sentences of tokens, in the order of the names; the text is cleaned once."""
+    return each(lambda t: sentences_by_pipeline(names, t), "array<array<array<string>>>")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PAGE_LINE = r"(?im)^[ \t]*page[ \t]+[0-9]+([ \t]+of[ \t]+[0-9]+)?[ \t]*$"
-NUMBER_LINE = r"(?m)^[ \t]*[0-9]+[ \t]*$"
-LABEL = r"(?m)^[ \t]*(?:[0-9]+(?:\.[0-9]+)*|[a-z]|[ivx]+)[.)][ \t]+"
+# As in kernels/clean.py; white space and digits of Unicode, line ends only where \n stands.
+PAGE_LINE = r"(?imdU)^\s*page\s+\d+(\s+of\s+\d+)?\s*$"
+NUMBER_LINE = r"(?mdU)^\s*\d+\s*$"
+LABEL = r"(?mdU)^\s*(?:\d+(?:\.\d+)*|[a-z]|[ivx]+)[.)]\s+"
 DURATION_TWICE = r"(?i)\b([0-9]+)\s*\(\s*[a-z\- ]+\s*\)\s*(days?|weeks?|months?|years?)"
 DURATION = r"(?i)\b[0-9]+\s+(?:days?|weeks?|months?|years?)\b"
 
@@ -80,3 +81,28 @@ def query_type(q: Column) -> Column:
 def is_meaningful(gram: Column, function_words: list[str]) -> Column:
     """First and last word are no function words."""
     return ~F.element_at(gram, 1).isin(function_words) & ~F.element_at(gram, -1).isin(function_words)
+
+
+def reading_order(boxes: Column) -> Column:
+    """(text, confidence) of a page's boxes, an array of (y, x, height, text, score).
+
+    Folds the boxes from top to bottom: one whose middle is within 0.6 of the taller height of the line's drifting middle
+    joins that line. Lines read from left to right; the confidence is the mean score in percent.
+    """
+    part = "struct<x:double,text:string>"
+    start = F.struct(F.lit(0.0).alias("level"), F.lit(0.0).alias("tallest"), F.array().cast(f"array<array<{part}>>").alias("lines"))
+
+    def add(done: Column, box: Column) -> Column:
+        y, height, lines = box["b"]["y"], box["b"]["height"], done["lines"]
+        joins = (F.size(lines) > 0) & (F.abs(y - done["level"]) <= 0.6 * F.greatest(done["tallest"], height))
+        own = F.array(F.struct(box["b"]["x"].alias("x"), box["b"]["text"].alias("text")))
+        longer = F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(F.concat(F.element_at(lines, -1), own)))
+        return F.struct(
+            F.when(joins, (done["level"] + y) / 2).otherwise(y).alias("level"), F.when(joins, F.greatest(done["tallest"], height)).otherwise(height).alias("tallest"),
+            F.when(joins, longer).otherwise(F.concat(lines, F.array(own))).alias("lines"),
+        )
+
+    ordered = F.array_sort(F.transform(boxes, lambda b, n: F.struct(b["y"].alias("y"), n.alias("n"), b.alias("b"))))
+    text = F.aggregate(ordered, start, add, lambda done: F.array_join(F.transform(done["lines"], lambda line: F.array_join(F.transform(F.array_sort(line), lambda x: x["text"]), " ")), "\n"))
+    score = F.aggregate(boxes, F.lit(0.0), lambda a, b: a + b["score"]) * 100 / F.size(boxes)
+    return F.struct(F.coalesce(text, F.lit("")).alias("text"), F.when(F.size(boxes) > 0, score).otherwise(0.0).alias("confidence"))

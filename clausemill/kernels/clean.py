@@ -8,13 +8,14 @@ from collections import Counter
 
 from .words import KEPT_PREFIXES, LINE_ABBREVIATIONS
 
+# A word broken at a line's end; page lines, bare numbers, enumeration labels; quotes.
 _BROKEN = re.compile(r"(\w+)-\n(\w)")
 _PAGE = re.compile(r"(?im)^\s*page\s+\d+(\s+of\s+\d+)?\s*$")
 _NUMBER = re.compile(r"(?m)^\s*\d+\s*$")
 _LABEL = re.compile(r"(?m)^\s*(?:\d+(?:\.\d+)*|[a-z]|[ivx]+)[.)]\s+")
 _GOES_ON = re.compile(r"\b(?:" + "|".join(LINE_ABBREVIATIONS) + r")\.$")
 _QUOTES = str.maketrans({" ": " ", "‘": "'", "’": "'", "“": '"', "”": '"'})
-#: A line is a running header if it is shorter than this and occurs this often.
+# A line is a running header if it is shorter than this and occurs this often.
 HEADER_CHARS, HEADER_TIMES = 60, 3
 
 
@@ -69,6 +70,7 @@ def clean(text: str | None) -> str:
     return re.sub(r"\n{2,}", "\n", re.sub(r"[ \t]+", " ", joined)).strip()
 
 
+# A duration said twice.
 _DURATION_TWICE = re.compile(r"(?i)\b(\d+)\s*\(\s*[a-z\- ]+\s*\)\s*(days?|weeks?|months?|years?)")
 
 

@@ -29,6 +29,7 @@ KEPT_PREFIXES = frozenset("non self co ex anti work part full year long short th
 # Abbreviations after which a line or sentence goes on.
 LINE_ABBREVIATIONS = ("Pvt", "Ltd", "Co", "Inc", "No", "Rs", "Sr", "Jr", "Dr", "Mr", "Mrs", "Ms", "viz", "Govt", "Dept")
 
+# Modal verbs, and the words that show that a negation was kept.
 MODALS = frozenset("shall may must will should can".split())
 NEGATIONS = ("not", "without", "never")
 

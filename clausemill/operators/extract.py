@@ -14,6 +14,7 @@ from ..kernels.clean import clean, normalise_numbers
 from ..kernels.ocr import AMOUNT_LINE
 from ..kernels.words import APART, CUSTOM_STOP_WORDS, DOMAIN_PROBES, MODALS, NEGATION_PROBES, NEGATIONS, STOP_WORDS, TOGETHER
 from ..plans.pipelines import PIPELINES, flat, surfaces
+from ..session import checkpoint
 
 _CLASS = dict(tokens.CLASSES)
 # Entity labels found by rule; amounts as in the tokenizer.
@@ -86,7 +87,7 @@ def annotations(docs: DataFrame) -> DataFrame:
 def obligations(annotated: DataFrame) -> DataFrame:
     """(doc_id, sent_id, subject, modal, negated, verb, object, type): self-joins on the head of modal verbs."""
     key = ["doc_id", "sent_id"]
-    annotated = annotated.persist()  # read by each side of the joins; annotation is the dear part
+    annotated = checkpoint(annotated)  # read by each side of the joins; annotation is the dear part
     modal = annotated.where(F.lower("text").isin(sorted(MODALS)) & (F.col("head") >= 0)).select(*key, F.col("pos").alias("modal_pos"), F.col("text").alias("modal"), F.col("head").alias("v"))
     verb = annotated.where(F.col("tag").rlike("^(VB|MD)")).select(*key, F.col("pos").alias("v"), F.col("lemma").alias("verb"))
     child = annotated.where("dep in ('nsubj', 'nsubjpass', 'neg', 'dobj', 'attr', 'oprd')").select(*key, F.col("head").alias("v"), "pos", "dep")
@@ -140,18 +141,26 @@ def stop_word_order(words: DataFrame, stemmer: str = "porter") -> DataFrame:
     return row("stop words, then stems", first, F.lit(False)).unionByName(row("stems, then stop words", after, ~first & after))
 
 
+def second_list() -> frozenset[str]:
+    """Another general stop list: the English one of Spark ML."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return frozenset(StopWordsRemover.loadDefaultStopWords("english"))
+
+
 def stop_word_meaning(spark, sentences: list[str], lists: dict[str, frozenset[str]] | None = None) -> DataFrame:
     """Each sentence as each stop list leaves it."""
-    lists = lists or {"general": STOP_WORDS, "custom": CUSTOM_STOP_WORDS}
+    lists = lists or {"general": STOP_WORDS, "second": second_list(), "custom": CUSTOM_STOP_WORDS}
     own = spark.createDataFrame([(s,) for s in sentences], "sentence string").withColumn("w", F.filter(K.tokenize("treebank")(F.lower("sentence")), lambda x: x.rlike(r"^\p{L}+$")))
     left = lambda words: F.filter("w", lambda x: ~x.isin(sorted(words)))
     return own.select("sentence", *[F.array_join(left(words), " ").alias(name) for name, words in lists.items()])
 
 
 def pipeline_tokens(docs: DataFrame, names: tuple[str, ...] = tuple(PIPELINES)) -> DataFrame:
-    """(pipeline, doc_id, sent_id, words): every pipeline's sentences, texts read once."""
-    each = F.array(*[F.struct(F.lit(n).alias("pipeline"), K.pipeline_sentences(n)(F.col("text")).alias("s")) for n in names])
-    return docs.select("doc_id", F.explode(each).alias("p")).select("p.pipeline", "doc_id", F.posexplode("p.s").alias("sent_id", "words"))
+    """(pipeline, doc_id, sent_id, words): every pipeline's sentences, texts read, cleaned and sent to Python once."""
+    found = docs.select("doc_id", F.posexplode(K.pipeline_sentences(names)(F.col("text"))).alias("p", "s"))
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("p") + 1)
+    return found.select(name.alias("pipeline"), "doc_id", F.posexplode("s").alias("sent_id", "words"))
 
 
 def flat_tokens(of_pipelines: DataFrame) -> DataFrame:
@@ -192,6 +201,11 @@ def pipeline_table(of_pipelines: DataFrame, seconds: dict[str, float] | None = N
     return probes.join(counts, "pipeline")
 
 
+def entity_counts(found: DataFrame) -> DataFrame:
+    """(label, frequency), the most frequent first."""
+    return found.groupBy("label").agg(F.count("*").alias("frequency")).orderBy(F.desc("frequency"), "label")
+
+
 def lemma_table(spark, words: list[str]) -> DataFrame:
     """(word, stems by each stemmer, lemma as a noun, lemma by its tag)."""
     rows = [(w, *(f(w) for f in stem.STEMMERS.values()), annotate.lemma(w), annotate.lemma(w, annotate.tag([w])[0])) for w in words]

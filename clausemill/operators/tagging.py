@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..kernels.annotate import MONEY_TOKEN, tag, tag_domain
+from ..kernels.annotate import MONEY_TOKEN, tag, tag_domain, tag_shapes
 from ..kernels.words import DOMAIN_TAGS, NOUN_OR_VERB
 
 FEATURES = ["w", "suf3", "suf2", "pre2", "is_title", "is_upper", "has_digit", "has_hyphen", "has_currency", "in_domain_lexicon", "prev", "prev2", "next"]
 #: Taggers by name, words in, tags out; more can be added.
-TAGGERS = {"rules": tag, "domain": tag_domain}
+TAGGERS = {"general": tag, "shapes": tag_shapes, "domain": tag_domain}
 
 
 def without_traces(tagged: DataFrame) -> DataFrame:

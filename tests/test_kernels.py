@@ -38,7 +38,6 @@ def test_tokenizers():
     assert tokens.word_punct("a-b c!!") == ["a", "-", "b", "c", "!!"] and tokens.whitespace(" a  b ") == ["a", "b"]
     assert tokens.sentences("Mr. Rao of X Pvt. Ltd. left. He shan't. Mr. B. came\nNew line") == ["Mr. Rao of X Pvt. Ltd. left.", "He shan't.", "Mr. B. came", "New line"]
     assert tokens.terms(["A", "a", "-", "b1"]) == {"a", "b1"}
-    assert tokens.problems(["-", "₹", "Aa", "aa", "x", "9"]) == {"punctuation_only": 2, "bare_currency_symbol": 1, "hyphen_fragments": 1, "case_duplicates": 1, "single_char_tokens": 1}
 
 
 @settings(max_examples=200, deadline=None)
@@ -89,16 +88,12 @@ def test_amounts():
     assert ocr.repair_amounts("salary 15,000", "context") == ("salary ₹15,000", 1, 0)
 
 
-def test_reading_order():
-    assert ocr.reading_order([(10, 50, 8, "b", 0.9), (11, 0, 8, "a", 0.7), (30, 0, 8, "c", 0.8)]) == ("a b\nc", pytest.approx(80))
-    assert ocr.reading_order([]) == ("", 0.0)
-
-
 def test_tagging():
     assert annotate.tag_domain(["The", "Employee", "shall", "bond", "the", "CTC", "."]) == ["DT", "NN", "MD", "VB", "DT", "NN", "."]
     assert annotate.tag_domain(["shall", "not", "claim"])[2] == "VB" and annotate.tag_domain(["the", "claim"])[1] == "NN" and annotate.tag_domain(["₹5"]) == ["CD"]
-    f = annotate.features(["A", "Non-x"], 1)
-    assert (f["prev"], f["prev2"], f["next"], f["suf3"], f["has_hyphen"], f["is_title"]) == ("a", "<S>", "</S>", "n-x", True, "Non-x".istitle())
+    assert annotate.tag_domain(["Notice"]) == annotate.tag(["Notice"]) and annotate.override(["x", "bond"], ["TO", "NN"]) == ["TO", "VB"] and annotate.override(["not", "bond"], ["RB", "XX"]) == ["RB", "XX"]
+    assert annotate.override(["company", "his", "service", "to", "release"], ["X", "PRP$", "VBZ", "TO", "NN"]) == ["NN", "PRP$", "NN", "TO", "VB"]
+    assert annotate.tag_shapes(["The", "Employee", "quickly", "signed", "24", "bonds", "."]) == ["DT", "NNP", "RB", "VBN", "CD", "NNS", "."]
 
 
 def test_pipelines():

@@ -87,10 +87,11 @@ def test_lines(spark):
 
 
 def test_native_cleaning_is_the_kernels(spark):
-    text = "Page 1 of 2\n12\n1. one\na) two\n(b) three\nv) four"
-    df = spark.createDataFrame([(text,)], "text string")
-    got = df.select(T.drop_labels(T.drop_number_lines(T.drop_page_lines(F.col("text")))).alias("t"), T.normalise_numbers(F.lit("6 (six) months")).alias("n")).first()
-    assert [x for x in got["t"].split("\n") if x] == [x for x in clean.drop_layout(text).split("\n") if x] and got["n"] == "6 months"
+    texts = ["Page 1 of 2\n12\n1. one\na) two\n(b) three\nv) four", "x\n 1)\n\nnext\n2.\n\n\nmore", "a\r\n3) b\n\u2003 page\u00a07 \n\t12\u2009\nc\u20284. d", "\n\n page 1\n\n 5 \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r["t"] for r in df.select(T.drop_labels(T.drop_number_lines(T.drop_page_lines(F.col("text")))).alias("t")).collect()]
+    assert got == [clean.drop_layout(t) for t in texts]
+    assert df.select(T.normalise_numbers(F.lit("6 (six) months")).alias("n")).first()["n"] == "6 months"
 
 
 def test_ngrams(spark):
@@ -266,7 +267,10 @@ def test_sinks(spark, tmp_path):
 def test_page_boxes(spark):
     box = "array<struct<y:double,x:double,height:double,text:string,score:double>>"
     df = spark.createDataFrame([([(10.0, 5.0, 8.0, "b", 0.5), (11.0, 0.0, 8.0, "a", 1.0)],), ([],)], f"boxes {box}")
-    assert [tuple(r["r"]) for r in df.select(K.reading_order(F.col("boxes")).alias("r")).collect()] == [("a b", 75.0), ("", 0.0)]
+    assert [tuple(r["r"]) for r in df.select(T.reading_order(F.col("boxes")).alias("r")).collect()] == [("a b", 75.0), ("", 0.0)]
+    df = spark.createDataFrame([([(10.0, 50.0, 8.0, "b", 0.9), (30.0, 0.0, 8.0, "c", 0.8), (11.0, 0.0, 8.0, "a", 0.7), (13.0, 90.0, 2.0, "d", 0.8)],), ([(0.0, 0.0, 1.0, "x", 1.0), (1.0, 0.0, 1.0, "y", 1.0), (1.5, 9.0, 1.0, "z", 1.0)],)], f"boxes {box}")
+    got = [tuple(r["r"]) for r in df.select(T.reading_order(F.col("boxes")).alias("r")).collect()]
+    assert got[0] == ("a b d\nc", pytest.approx(80)) and got[1][0] == "x\ny z"
 
 
 def test_stream(spark, tmp_path, docs):
