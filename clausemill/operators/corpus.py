@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import text as T
 from ..kernels.words import FUNCTION_WORDS
+from ..session import checkpoint
 
 MEANINGLESS = sorted(FUNCTION_WORDS)
 
@@ -33,11 +34,10 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
 def rejoin_lines(of_lines: DataFrame) -> DataFrame:
     """(doc_id, paragraph_no, paragraph) from (doc_id, line_no, line): hard-wrapped lines joined, as gaps and islands."""
-    doc = W.partitionBy("doc_id")
-    order = doc.orderBy("line_no")
-    long = F.when(F.length("line") > 20, F.length("line"))
-    widths = F.array_sort(F.collect_list(long).over(doc))
-    held = of_lines.withColumn("w", widths).withColumn("width", F.when(F.size("w") > 0, F.element_at("w", (0.9 * (F.size("w") - 1)).cast("int") + 1)).otherwise(0))
+    order = W.partitionBy("doc_id").orderBy("line_no")
+    long = F.array_sort(F.collect_list(F.when(F.length("line") > 20, F.length("line"))))  # of one document, as numbers
+    widths = of_lines.groupBy("doc_id").agg(long.alias("w")).select("doc_id", F.when(F.size("w") > 0, F.element_at("w", (0.9 * (F.size("w") - 1)).cast("int") + 1)).otherwise(0).alias("width"))
+    held = of_lines.join(widths, "doc_id")
     before = F.coalesce(F.lag("line").over(order), F.lit(""))
     goes_on = before.rlike(r"\b(Pvt|Ltd|Co|Inc|No|Rs|Sr|Jr|Dr|Mr|Mrs|Ms|viz|Govt|Dept)\.$")
     lower = F.substring("line", 1, 1).rlike(r"\p{Ll}")
@@ -93,23 +93,32 @@ def document_statistics(docs: DataFrame, sentences: Callable[[Column], Column] =
 
 
 def word_frequencies(docs: DataFrame, least: int = 4) -> DataFrame:
-    """(word, n, first_seen) of lower-cased words with at least so many letters; first_seen is (doc_id, pos)."""
-    return tokens(docs).where(F.length("term") >= least).groupBy("term").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first_seen")).withColumnRenamed("term", "word")
+    """(word, n, first_doc) of lower-cased words with at least so many letters."""
+    return tokens(docs).where(F.length("term") >= least).groupBy(F.col("term").alias("word")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-def common_words(frequencies: DataFrame, k: int = 8) -> DataFrame:
-    return frequencies.orderBy(F.desc("n"), "first_seen").limit(k)
+def common_words(frequencies: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
+    """(word, n) of the k most frequent words, equals in order of first sight; only documents that decide are read again."""
+    some = checkpoint(frequencies.withColumn("place", F.rank().over(W.orderBy(F.desc("n"), "first_doc"))).where(F.col("place") <= k))
+    where = F.broadcast(some.select(F.col("first_doc").alias("doc_id")).distinct())  # k at most
+    seen = tokens(docs.join(where, "doc_id", "left_semi")).groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
+    first = some.join(seen, (some["first_doc"] == seen["doc_id"]) & (some["word"] == seen["term"]))
+    return first.orderBy(F.desc("n"), "first_doc", "pos").limit(k).select("word", "n")
 
 
 def rare_words(frequencies: DataFrame, k: int = 8) -> DataFrame:
-    return frequencies.where("n = 1").orderBy("word").limit(k)
+    return frequencies.where("n = 1").orderBy("word").limit(k).select("word", "n")
 
 
-def ngram_counts(of_sentences: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
-    """(n, gram, frequency, first_seen), never across sentences; counted on the map side before one shuffle."""
+def grams_of(of_sentences: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(doc_id, sent_id, at, n, gram), never across sentences."""
     grams = F.concat(*[F.transform(T.ngrams(F.col("words"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in sizes])
-    each = of_sentences.select("doc_id", "sent_id", F.posexplode(grams).alias("at", "g")).select("doc_id", "sent_id", "at", "g.n", "g.gram")
-    return each.groupBy("n", "gram").agg(F.count("*").alias("frequency"), F.min(F.struct("doc_id", "sent_id", "at")).alias("first_seen"))
+    return of_sentences.select("doc_id", "sent_id", F.posexplode(grams).alias("at", "g")).select("doc_id", "sent_id", "at", "g.n", "g.gram")
+
+
+def ngram_counts(of_sentences: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
+    """(n, gram, frequency, first_doc); counted on the map side before one shuffle."""
+    return grams_of(of_sentences, sizes).groupBy("n", "gram").agg(F.count("*").alias("frequency"), F.min("doc_id").alias("first_doc"))
 
 
 def meaningful(grams: DataFrame) -> DataFrame:
@@ -122,10 +131,19 @@ def ngram_summary(grams: DataFrame) -> DataFrame:
     return good.groupBy("n").agg(F.sum("frequency").alias("total"), F.count("*").alias("unique_grams"), F.count_if((F.col("frequency") >= 2) & F.col("meaningful")).alias("meaningful_grams"))
 
 
-def top_ngrams(grams: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent of each n, ties in order of first sight. Spark limits each partition's group first."""
-    rank = F.row_number().over(W.partitionBy("n").orderBy(F.desc("frequency"), "first_seen"))
-    return grams.withColumn("rank", rank).where(F.col("rank") <= k).select("n", "rank", F.array_join("gram", " ").alias("ngram"), "frequency")
+def top_ngrams(grams: DataFrame, of_sentences: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent of each n, ties in order of first sight. Spark limits each partition's group first.
+
+    Numbers decide but for grams that one document has first; where in it they stand is looked up there only.
+    """
+    place = F.rank().over(W.partitionBy("n").orderBy(F.desc("frequency"), "first_doc"))
+    some = checkpoint(grams.withColumn("place", place).where(F.col("place") <= k).select("n", "gram", "frequency", "first_doc"))
+    sizes = tuple(r["n"] for r in some.select("n").distinct().orderBy("n").collect()) or (1,)
+    where = F.broadcast(some.select(F.col("first_doc").alias("doc_id")).distinct())  # k a size at most
+    seen = grams_of(of_sentences.join(where, "doc_id", "left_semi"), sizes).groupBy("doc_id", "n", "gram").agg(F.min(F.struct("sent_id", "at")).alias("first"))
+    both = some.join(seen.withColumnRenamed("doc_id", "first_doc"), ["first_doc", "n", "gram"])
+    rank = F.row_number().over(W.partitionBy("n").orderBy(F.desc("frequency"), "first_doc", "first"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("n", "rank", F.array_join("gram", " ").alias("ngram"), "frequency")
 
 
 def dictionary_growth(grams: DataFrame) -> DataFrame:

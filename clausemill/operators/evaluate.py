@@ -99,3 +99,26 @@ def entity_table(gold: DataFrame, predictions: dict[str, DataFrame]) -> DataFram
         last = frame.groupBy("sent_id", "text").agg(F.max_by("label", "ord").alias(name))
         out = out.join(last, ["sent_id", "text"], "left").withColumn(name, F.coalesce(name, F.lit("(missed)"))).withColumn(f"{name}_correct", F.col(name) == F.col("label"))
     return out
+
+
+def domain_tokens(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(sent_id, pos, word, gold, each tagger's tag, whether it is right) for domain words; rows have (sent_id, pos, word, gold, tagger, predicted, is_domain)."""
+    wide = rows.where("is_domain").groupBy("sent_id", "pos", "word", "gold").pivot("tagger", names).agg(F.first("predicted"))
+    return wide.select("sent_id", "pos", "word", "gold", *names, *[(F.col(n) == F.col("gold")).alias(f"{n}_correct") for n in names])
+
+
+def in_order(rows: DataFrame, by: str, names: list[str]) -> DataFrame:
+    """One row for each of the names, in their order (`ord`), with nulls where rows have none."""
+    order = rows.sparkSession.createDataFrame(list(enumerate(names)), f"ord int, {by} string")
+    return order.join(rows, by, "left")
+
+
+def rounded(rows: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Columns rounded half to even."""
+    return rows.withColumns({c: F.bround(c, digits) for c in columns})
+
+
+def provisional(sources: DataFrame) -> DataFrame:
+    """(queries, provisional, report): how many queries have provisional judgements, and whether the numbers may be reported."""
+    n = F.count_if(F.col("source") == "PROVISIONAL")
+    return sources.agg(F.count("*").alias("queries"), n.alias("provisional"), (n == 0).alias("report"))

@@ -26,14 +26,37 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
-def index_json(postings: DataFrame) -> DataFrame:
-    """(term, json) sorted by term: {"df", "postings": {doc: positions}}, in order of document."""
-    entries = F.array_sort(F.collect_list(F.struct("doc_id", "positions")))
-    grouped = postings.groupBy("term").agg(F.count("*").alias("df"), entries.alias("e"))
+def index_json(postings: DataFrame, parts: int = 1) -> DataFrame:
+    """(term, json) sorted by term: {"df", "postings": {doc: positions}}, in order of document.
+
+    With several parts a term has up to so many rows, dealt by document, each with the whole df: no row then holds all
+    postings of a frequent term.
+    """
+    entries = F.array_sort(F.collect_list(F.struct("doc_id", "positions"))).alias("e")
+    if parts == 1:
+        grouped = postings.groupBy("term").agg(F.count("*").alias("df"), entries)
+    else:
+        grouped = postings.groupBy("term", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")).agg(entries).join(document_frequencies(postings).drop("cf"), "term")
     as_map = F.map_from_entries(F.transform("e", lambda x: F.struct(x["doc_id"].cast("string"), x["positions"])))
     return grouped.select("term", F.to_json(F.struct("df", as_map.alias("postings"))).alias("json")).orderBy("term")
 
 
+def write_index_json(postings: DataFrame, path: str, parts: int = 1) -> None:
+    """Lines {"term", "df", "postings"}, sorted by term over the files."""
+    rows = index_json(postings, parts)
+    rows.select(F.concat(F.lit('{"term":'), F.regexp_extract(F.to_json(F.struct("term")), r'(?s)^\{"term":(.*)\}$', 1), F.lit(","), F.substring("json", 2, 1 << 30))).write.mode("overwrite").text(path)
+
+
+def index_summary(postings: DataFrame) -> DataFrame:
+    """(pipeline, terms) from (pipeline, term, doc_id, positions)."""
+    return postings.groupBy("pipeline").agg(F.count_distinct("term").alias("terms"))
+
+
+def sample_postings(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """(term, doc_ids) of some terms, ids in order."""
+    return postings.where(F.col("term").isin(terms)).groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+
+
 def token_stream(postings: DataFrame) -> DataFrame:
     """(doc_id, terms) back from the index."""
     each = postings.select("doc_id", "term", F.explode("positions").alias("pos"))

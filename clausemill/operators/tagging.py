@@ -30,7 +30,7 @@ def features(words: DataFrame) -> DataFrame:
     w = F.col("word")
     return words.withColumns({
         "w": F.lower(w), "suf3": F.lower(F.right(w, F.lit(3))), "suf2": F.lower(F.right(w, F.lit(2))), "pre2": F.lower(F.substring(w, 1, 2)),
-        "is_title": w.rlike(r"^[^\p{L}]*\p{Lu}[^\p{Lu}]*$"), "is_upper": w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"), "has_digit": w.rlike(r"\p{Nd}"),
+        "is_title": w.rlike(r"^[^\p{L}]*\p{Lu}\p{Ll}*(?:[^\p{L}]+\p{Lu}\p{Ll}*)*[^\p{L}]*$"), "is_upper": w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"), "has_digit": w.rlike(r"\p{Nd}"),
         "has_hyphen": w.contains("-"), "has_currency": w.rlike(MONEY_TOKEN.pattern), "in_domain_lexicon": F.lower(w).isin(sorted(DOMAIN_TAGS)),
         "prev": F.coalesce(near(F.lag("word").over(order)), F.lit("<S>")), "prev2": F.coalesce(near(F.lag("word", 2).over(order)), F.lit("<S>")),
         "next": F.coalesce(near(F.lead("word").over(order)), F.lit("</S>")),

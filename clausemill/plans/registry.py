@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import text as T
-from ..kernels.words import FUNCTION_WORDS
+from ..kernels.words import DOMAIN_TAGS, FUNCTION_WORDS
 from ..operators import corpus, evaluate, extract, search, subwords, tagging
 from ..session import table
 from ..sources.readers import html_text
+from .prepared import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +41,7 @@ WORDS_SQL = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
 TOKENS_SQL = f"tok AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS term FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents))"
 LINES_SQL = "ln AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
 SENTS_SQL = f"{LINES_SQL}, sent AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[a-z]+') AS w FROM ln WHERE len(regexp_extract_all(lower(line), '[a-z]+')) > 0)"
+DOMAIN_SQL = ", ".join(f"'{w}'" for w in sorted(DOMAIN_TAGS))
 STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(FUNCTION_WORDS))
 GRAMS_SQL = (
     f"{SENTS_SQL}, g AS (SELECT n, doc_id, line_no, i, w[i : i + n - 1] AS gram FROM (SELECT n, doc_id, line_no, w, unnest(range(1, len(w) - n + 2)) AS i "
@@ -54,6 +56,10 @@ NATIVE_SQL = (
 )
 
 
+#: All tokenizers: those of the JVM, and the kernels.
+EVERY = NATIVE | {name: K.tokenize(name) for name in ("treebank", "rules", "custom", "hybrid")}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -68,16 +74,19 @@ def ascii_terms(text: str) -> list[str]:
     return re.findall("[a-z]+", text.lower())
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents, clustered by term, built once a session; a search reads its terms' row groups."""
+    return prepared(spark, "index", documents(spark, sf_dir), lambda docs, path: search.write_index(search.build_index(corpus.tokens(docs)), path))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the phrase `in the` and the word `and`, ranked."""
-    docs = documents(spark, sf_dir)
-    return search.search(search.build_index(corpus.tokens(docs)), docs.select("doc_id"), '"in the" AND and', ascii_terms)
+    return search.search(indexed(spark, sf_dir), documents(spark, sf_dir).select("doc_id"), '"in the" AND and', ascii_terms)
 
 
 def _found(names: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = documents(spark, sf_dir)
-        return search.search_all(search.build_index(corpus.tokens(docs)), docs.select("doc_id"), {n: SEARCHES[n] for n in names}, ascii_terms)
+        return search.search_all(indexed(spark, sf_dir), documents(spark, sf_dir).select("doc_id"), {n: SEARCHES[n] for n in names}, ascii_terms)
 
     return run
 
@@ -128,6 +137,12 @@ def tokenizer_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.tokenizer_problems(documents(spark, sf_dir), NATIVE)
 
 
+@query()
+def corpus_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokenizer table for all tokenizers."""
+    return corpus.tokenizer_table(documents(spark, sf_dir), EVERY)
+
+
 @query(f"WITH {SENTS_SQL}, d AS (SELECT doc_id, length(coalesce(text, '')) AS characters FROM documents), s AS (SELECT doc_id, count(*) AS sentences, sum(len(w)) AS tokens FROM sent GROUP BY doc_id), v AS (SELECT doc_id, unnest(w) AS word FROM sent), vd AS (SELECT doc_id, count(DISTINCT word) AS vocabulary FROM v GROUP BY GROUPING SETS ((doc_id), ())) SELECT d.doc_id, CAST(coalesce(sentences, 0) AS BIGINT) AS sentences, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, characters, coalesce(vocabulary, 0) AS vocabulary FROM d LEFT JOIN s USING (doc_id) LEFT JOIN vd USING (doc_id) UNION ALL SELECT NULL, CAST((SELECT sum(sentences) FROM s) AS BIGINT), CAST((SELECT sum(tokens) FROM s) AS BIGINT), CAST((SELECT sum(characters) FROM d) AS BIGINT), (SELECT vocabulary FROM vd WHERE doc_id IS NULL)")
 def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.document_statistics(documents(spark, sf_dir))
@@ -135,8 +150,9 @@ def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TOKENS_SQL} (SELECT 'common' AS category, term AS word, count(*) AS n FROM tok WHERE length(term) >= 4 GROUP BY term ORDER BY n DESC, min((doc_id, pos)) LIMIT 8) UNION ALL (SELECT 'rare', term, count(*) AS n FROM tok WHERE length(term) >= 4 GROUP BY term HAVING count(*) = 1 ORDER BY term LIMIT 8)")
 def common_and_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = corpus.word_frequencies(documents(spark, sf_dir))
-    common, rare = corpus.common_words(f), corpus.rare_words(f)
+    docs = documents(spark, sf_dir)
+    f = corpus.word_frequencies(docs)
+    common, rare = corpus.common_words(f, docs), corpus.rare_words(f)
     return common.select(F.lit("common").alias("category"), "word", "n").unionByName(rare.select(F.lit("rare").alias("category"), "word", "n"))
 
 
@@ -156,12 +172,14 @@ def ngram_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {GRAMS_SQL} SELECT CAST(n AS INTEGER) AS n, CAST(row_number() OVER (PARTITION BY n ORDER BY frequency DESC, first_seen) AS INTEGER) AS rank, array_to_string(gram, ' ') AS ngram, frequency FROM c QUALIFY rank <= 10")
 def top_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.top_ngrams(_grams(spark, sf_dir))
+    return corpus.top_ngrams(_grams(spark, sf_dir), corpus.sentence_tokens(documents(spark, sf_dir)))
 
 
 @query(f"WITH {GRAMS_SQL} SELECT CAST(n AS INTEGER) AS n, CAST(row_number() OVER (PARTITION BY n ORDER BY frequency DESC, first_seen) AS INTEGER) AS rank, array_to_string(gram, ' ') AS ngram, frequency FROM c WHERE n >= 2 AND frequency >= 2 AND {MEANINGFUL_SQL} QUALIFY rank <= 10")
 def top_meaningful_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.top_ngrams(corpus.meaningful(_grams(spark, sf_dir)).where("n >= 2 and frequency >= 2 and meaningful"))
+    of_sentences = corpus.sentence_tokens(documents(spark, sf_dir))
+    grams = corpus.meaningful(corpus.ngram_counts(of_sentences, (2, 3, 4, 5))).where("frequency >= 2 and meaningful")
+    return corpus.top_ngrams(grams, of_sentences)
 
 
 @query(f"WITH {GRAMS_SQL} SELECT array_to_string(gram, ' ') AS ngram, frequency, {MEANINGFUL_SQL} AS meaningful FROM c WHERE n = 2")
@@ -189,7 +207,7 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.repeated_lines(documents(spark, sf_dir))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?im)^[ \t]*page[ \t]+[0-9]+([ \t]+of[ \t]+[0-9]+)?[ \t]*$', '', 'g'), '(?m)^[ \t]*[0-9]+[ \t]*$', '', 'g'), '(?m)^[ \t]*(?:[0-9]+(?:\.[0-9]+)*|[a-z]|[ivx]+)[.)][ \t]+', '', 'g'), '[ \t]+', ' ', 'g'), chr(10) || '{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?im)^\s*page\s+\d+(\s+of\s+\d+)?\s*$', '', 'g'), '(?m)^\s*\d+\s*$', '', 'g'), '(?m)^\s*(?:\d+(?:\.\d+)*|[a-z]|[ivx]+)[.)]\s+', '', 'g'), '[ \t]+', ' ', 'g'), chr(10) || '{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
 def layout_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.collapse(T.drop_labels(T.drop_number_lines(T.drop_page_lines(T.text("text")))))
     return documents(spark, sf_dir).select("doc_id", t.alias("text"))
@@ -324,11 +342,11 @@ def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.merge_entities(model, rules)
 
 
-@query("WITH w AS (SELECT conv_id * 1000 + turn AS sent_id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS word FROM (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS x FROM conversations)) SELECT sent_id, CAST(pos AS INTEGER) AS pos, lower(word) AS w, lower(right(word, 3)) AS suf3, coalesce(lower(lag(word) OVER s), '<S>') AS prev, coalesce(lower(lag(word, 2) OVER s), '<S>') AS prev2, coalesce(lower(lead(word) OVER s), '</S>') AS next FROM w WINDOW s AS (PARTITION BY sent_id ORDER BY pos)")
+@query("WITH w AS (SELECT conv_id * 1000 + turn AS sent_id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS word FROM (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9₹-]+') AS x FROM conversations)) SELECT sent_id, CAST(pos AS INTEGER) AS pos, lower(word) AS w, lower(right(word, 3)) AS suf3, lower(right(word, 2)) AS suf2, lower(left(word, 2)) AS pre2, regexp_matches(word, '^[^A-Za-z]*[A-Z][a-z]*([^A-Za-z]+[A-Z][a-z]*)*[^A-Za-z]*$') AS is_title, regexp_matches(word, '[A-Z]') AND NOT regexp_matches(word, '[a-z]') AS is_upper, regexp_matches(word, '[0-9]') AS has_digit, contains(word, '-') AS has_hyphen, regexp_matches(word, '^(₹|Rs|INR)[0-9]') AS has_currency, lower(word) IN (" + DOMAIN_SQL + ") AS in_domain_lexicon, coalesce(lower(lag(word) OVER s), '<S>') AS prev, coalesce(lower(lag(word, 2) OVER s), '<S>') AS prev2, coalesce(lower(lead(word) OVER s), '</S>') AS next FROM w WINDOW s AS (PARTITION BY sent_id ORDER BY pos)")
 def tagger_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    words = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), F.posexplode(F.regexp_extract_all(T.text("text"), F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "word"))
-    return tagging.features(words).select("sent_id", "pos", "w", "suf3", "prev", "prev2", "next")
+    words = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), F.posexplode(F.regexp_extract_all(T.text("text"), F.lit("[A-Za-z0-9₹-]+"), F.lit(0))).alias("pos", "word"))
+    return tagging.features(words).select("sent_id", "pos", *tagging.FEATURES)
 
 
 @query()
@@ -388,7 +406,7 @@ def subword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     f = corpus.word_frequencies(docs)
     merges = subwords.learn_merges(subwords.pre_tokens(docs), vocabulary=2000)
-    return subwords.subword_table(corpus.common_words(f), corpus.rare_words(f), merges)
+    return subwords.subword_table(corpus.common_words(f, docs), corpus.rare_words(f), merges)
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL 1 hour, ts)) AS started, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")

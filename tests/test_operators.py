@@ -70,6 +70,11 @@ def test_index_forms(spark, postings, tmp_path):
     rows = {r["term"]: json.loads(r["json"]) for r in search.index_json(postings).collect()}
     assert rows["a"] == {"df": 2, "postings": {"1": [0, 2], "2": [1]}} and list(rows) == sorted(rows)
     assert {r["doc_id"]: r["terms"] for r in search.token_stream(postings).collect()} == {1: ["a", "b", "a", "c"], 2: ["b", "a"], 3: ["c"] * 3}
+    cut = [json.loads(r["json"]) for r in search.index_json(postings, 3).where("term = 'b'").collect()]
+    assert all(c["df"] == 2 for c in cut) and {d: p for c in cut for d, p in c["postings"].items()} == rows["b"]["postings"]
+    search.write_index_json(postings, str(tmp_path / "j"))
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "j")).collect()]
+    assert {x.pop("term"): x for x in lines} == rows
     search.write_index(postings, str(tmp_path / "i"))
     plan = spark.read.parquet(str(tmp_path / "i")).where("term in ('a', 'b')")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term" in plan
@@ -100,7 +105,7 @@ def test_ngrams(spark):
     assert {(r["n"], tuple(r["gram"])): r["frequency"] for r in grams.where("n <= 2").collect()} == {(1, ("a",)): 2, (1, ("b",)): 3, (2, ("a", "b")): 2, (2, ("b", "a")): 1}
     totals = {r["n"]: r["total"] for r in corpus.ngram_summary(grams).collect()}
     assert totals == {1: 5, 2: 3, 3: 2, 4: 1}
-    assert [r["ngram"] for r in corpus.top_ngrams(grams, 1).orderBy("n").collect()] == ["b", "a b", "a b a", "a b a b"]
+    assert [r["ngram"] for r in corpus.top_ngrams(grams, s, 1).orderBy("n").collect()] == ["b", "a b", "a b a", "a b a b"]
 
 
 def test_statistics(docs):
