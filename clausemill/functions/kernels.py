@@ -40,11 +40,12 @@ def stemmed(name: str) -> Callable[[Column], Column]:
 
 
 def repair(mode: str) -> Callable[[Column], Column]:
-    def run(t: str) -> dict:
-        text, fixed, unresolved = ocr.repair_amounts(t, mode)
-        return {"text": text, "fixed": fixed, "unresolved": unresolved}
+    """(text, fixed, unresolved) of amounts repaired in that mode."""
 
-    return each(run, "struct<text:string,fixed:int,unresolved:int>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([ocr.repair_amounts(t or "", mode) for t in texts], columns=["text", "fixed", "unresolved"])
+
+    return lambda column: F.pandas_udf(run, "struct<text:string,fixed:int,unresolved:int>")(column)
 
 
 def pipeline_sentences(names: tuple[str, ...]) -> Callable[[Column], Column]:

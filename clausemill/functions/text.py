@@ -106,3 +106,9 @@ def reading_order(boxes: Column) -> Column:
     text = F.aggregate(ordered, start, add, lambda done: F.array_join(F.transform(done["lines"], lambda line: F.array_join(F.transform(F.array_sort(line), lambda x: x["text"]), " ")), "\n"))
     score = F.aggregate(boxes, F.lit(0.0), lambda a, b: a + b["score"]) * 100 / F.size(boxes)
     return F.struct(F.coalesce(text, F.lit("")).alias("text"), F.when(F.size(boxes) > 0, score).otherwise(0.0).alias("confidence"))
+
+
+def parsed_ngrams(cell: Column) -> Column:
+    """(ngram, frequency) of a cell `ngram (n), ngram (n)`."""
+    parts = F.split(cell, r"(?<=\([0-9]{1,18}\)),\s*")
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"^(.*) \([0-9]+\)$", 1).alias("ngram"), F.regexp_extract(x, r"\(([0-9]+)\)$", 1).cast("long").alias("frequency")))

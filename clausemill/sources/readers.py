@@ -1,7 +1,7 @@
 """Documents from folders of files, and results to files.
 
 Every reader takes the bytes of files through Spark, so any store that Spark reads will do. Formats that need a model or
-a library that isn't part of Spark (PDF, images) go through a backend that the caller registers.
+a library that isn't part of Spark (PDF, images) go through a backend that the caller registers, page by page in pages.py.
 """
 
 from __future__ import annotations
@@ -93,19 +93,20 @@ READERS: dict[str, Callable[[bytes], str]] = {
     **dict.fromkeys(("pdf", "png", "jpg", "jpeg", "tif", "tiff", "bmp"), _no_backend),
 }
 
-#: What a page backend gives for a PDF or image: (page number, text, read by recognition, confidence, repairs, unresolved).
-PAGES = "page_no int, text string, is_ocr boolean, confidence double, repairs int, unresolved int"
+def numbered(files: DataFrame) -> DataFrame:
+    """(doc_ord, doc_id, path, file, format, content) of (path, content): the documents among them, numbered in order of path."""
+    known = files.withColumn("format", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).where(F.col("format").isin(*EXTENSIONS))
+    names = known.select("path").withColumn("doc_ord", F.row_number().over(W.orderBy("path")))  # paths only; contents stay where they are
+    out = known.join(names, "path").withColumn("doc_id", F.format_string("D%02d", "doc_ord")).withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+    return out.select("doc_ord", "doc_id", "path", "file", "format", "content")
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_ord, doc_id, path, file, format, content) of the documents in a folder, numbered in order of path."""
-    files = spark.read.format("binaryFile").load(path).withColumn("format", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
-    known = files.where(F.col("format").isin(*EXTENSIONS))
-    names = known.select("path").withColumn("doc_ord", F.row_number().over(W.orderBy("path")))  # paths only; contents stay where they are
-    out = known.join(names, "path").withColumn("doc_id", F.format_string("D%02d", "doc_ord")).withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+    """numbered() of the files in a folder; a folder without documents is an error."""
+    out = numbered(spark.read.format("binaryFile").load(path).select("path", "content"))
     if out.select("path").isEmpty():
         raise FileNotFoundError(f"no documents in {path}")
-    return out.select("doc_ord", "doc_id", "path", "file", "format", "content")
+    return out
 
 
 def read_documents(files: DataFrame) -> DataFrame:
@@ -128,23 +129,12 @@ def read_documents(files: DataFrame) -> DataFrame:
     return found.withColumn("is_short", F.length(F.trim("text")) < SHORT)
 
 
-def read_pages(files: DataFrame, backend: Callable[[str, bytes], list[tuple]]) -> DataFrame:
-    """Page rows of PDFs and images from a backend of (format, bytes); it loads its engine once per Python worker."""
-
-    def run(parts):
-        for part in parts:
-            rows = [(i, *page) for i, k, d in zip(part["doc_id"], part["format"], part["content"], strict=True) for page in backend(k, bytes(d))]
-            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "text", "is_ocr", "confidence", "repairs", "unresolved"])
-
-    return files.select("doc_id", "format", "content").mapInPandas(run, f"doc_id string, {PAGES}")
-
-
 def document_map(pages: DataFrame) -> DataFrame:
-    """(doc_id, text, pages, ocr_pages, ocr_mean_conf, ocr_repairs, ocr_unresolved_amounts) from page rows."""
+    """(doc_id, text, pages, ocr_pages, unread_scanned_pages, ocr_mean_conf, ocr_repairs, ocr_unresolved_amounts) from page rows."""
     own = F.col("is_ocr")
     return pages.groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n").alias("text"),
-        F.count("*").alias("pages"), F.count_if(own).alias("ocr_pages"), F.avg(F.when(own, F.col("confidence"))).alias("ocr_mean_conf"),
+        F.count("*").alias("pages"), F.count_if(own).alias("ocr_pages"), F.count_if("unread").alias("unread_scanned_pages"), F.avg(F.when(own, F.col("confidence"))).alias("ocr_mean_conf"),
         F.coalesce(F.sum("repairs"), F.lit(0)).alias("ocr_repairs"), F.coalesce(F.sum("unresolved"), F.lit(0)).alias("ocr_unresolved_amounts"),
     )
 

@@ -15,7 +15,7 @@ from clausemill.functions import text as T
 from clausemill.kernels import annotate, clean
 from clausemill.operators import corpus, evaluate, extract, search, subwords, tagging
 from clausemill.plans.pipelines import PIPELINES
-from clausemill.sources import readers
+from clausemill.sources import pages, readers
 from clausemill.streaming import ingest
 
 DOCS = [(1, "a b a c"), (2, "b a"), (3, "c c c"), (4, None), (5, "")]
@@ -254,10 +254,39 @@ def test_readers(spark, tmp_path):
         (tmp_path / "none").mkdir()
         (tmp_path / "none/x.exe").write_bytes(b"")
         readers.scan_folder(spark, str(tmp_path / "none"))
-    pages = readers.read_pages(readers.scan_folder(spark, str(tmp_path)).where("format = 'pdf'"), lambda kind, data: [(2, "b", True, 80.0, 1, 0), (1, "a", False, None, 0, 0)])
-    m = readers.document_map(pages).first()
-    assert (m["text"], m["pages"], m["ocr_pages"], m["ocr_mean_conf"], m["ocr_repairs"]) == ("a\nb", 2, 1, 80.0, 1)
-    assert readers.ocr_report(readers.document_map(pages)).first()["low_confidence"]
+
+
+def test_pages(spark):
+    def open_pages(kind, data):
+        if data == b"bad":
+            raise ValueError("no such file")
+        return [pages.Page("a text layer that is long enough to be read", "img1"), pages.Page(" short ", "img2"), pages.Page("short, no image"), pages.Page("", "broken")]
+
+    def load():
+        def run(image):
+            if image == "broken":
+                raise RuntimeError("unreadable")
+            return [(10.0, 0.0, 8.0, "Pay", 0.9), (10.0, 50.0, 8.0, "5,00,000/-", 0.7)]
+
+        return run
+
+    def cannot():
+        raise ImportError("no engine")
+
+    files = spark.createDataFrame([("D01", "pdf", b"x"), ("D02", "pdf", b"bad")], "doc_id string, format string, content binary")
+    got = [tuple(r)[1:] for r in pages.read_pages(files, open_pages, load).orderBy("page_no").collect()]
+    assert got == [
+        (1, "a text layer that is long enough to be read", False, False, None, 0, 0), (2, "Pay ₹5,00,000/-", True, False, pytest.approx(80), 1, 0),
+        (3, "short, no image", False, False, None, 0, 0), (4, "", True, False, 0.0, 0, 0),
+    ]
+    for none in (None, cannot):
+        assert [r["unread"] for r in pages.read_pages(files, open_pages, none).orderBy("page_no").collect()] == [False, True, False, True]
+    m = readers.document_map(pages.read_pages(files, open_pages, load)).first()
+    assert (m["pages"], m["ocr_pages"], m["unread_scanned_pages"], m["ocr_mean_conf"], m["ocr_repairs"]) == (4, 2, 0, pytest.approx(40), 1)
+    assert readers.ocr_report(readers.document_map(pages.read_pages(files, open_pages, load))).first()["low_confidence"]
+    assert pages.enlargement(1000, 500) == 2.3 and pages.enlargement(4000, 100) == 1.0
+    engine = pages.Engine(cannot)
+    assert (engine.state, engine.boxes("x"), engine.state, pages.Engine(None).state) == ("waiting", None, "failed", "off")
 
 
 def test_sinks(spark, tmp_path):
