@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import lean, small
 
 CHARS, LONGEST, FULL, SYMBOLS, HASHED, LANE, BLOCK = 65_536, 4096, 8, 64, 16, 2048, 2_000_000
 UNKNOWN = "und"
@@ -266,7 +266,7 @@ def _predict(samples: tuple[tuple[str, str], ...], parts: Iterator[pa.RecordBatc
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row; score is 1 - phrases of the best / phrases of the second."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(partial(_predict, samples), f"id {plain.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    return plain.mapInArrow(lean(partial(_predict, samples)), f"id {plain.schema['id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def remainder(id_column: Column, modulus: int) -> Column:
@@ -283,4 +283,4 @@ def _accept(samples: tuple[tuple[str, str], ...], most: dict[str, float], text_a
 def accept(docs: DataFrame, samples: tuple[tuple[str, str], ...], most: dict[str, float], least_score: float = 0.0, text_col: str = "text") -> DataFrame:
     """The rows of docs, columns as they are, whose text is in a language of `most`, with at least the score and at most as
     many phrases per character as `most` says. Texts of fewer than LEAST characters need a letter only."""
-    return docs.mapInArrow(partial(_accept, samples, most, docs.columns.index(text_col), least_score), docs.schema)
+    return docs.mapInArrow(lean(partial(_accept, samples, most, docs.columns.index(text_col), least_score)), docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, shared_folder, written
 from . import attention
-from .common import small
+from .common import lean, small
 
 CHUNK_BYTES, START_DOCS, START_ROUNDS, BLOCK, SLOTS = 32 << 20, 400, 4, 1 << 20, 64
 END = b""  # as a word
@@ -303,7 +303,7 @@ def _score(vocabulary: Vocabulary, parts: Iterator[pa.RecordBatch]) -> Iterator[
 
 def learn(coded: DataFrame, size: int, rate: float = 0.01, refining: float = 0.01) -> Vocabulary:
     """Classes and a model from the rows (id, ids); every window of all of them is learned from."""
-    sums = coded.select("ids").mapInArrow(partial(_id_counts, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    sums = coded.select("ids").mapInArrow(lean(partial(_id_counts, size)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(size, np.int64)
     for r in sums:
         counts[r["id"]] = r["n"]
@@ -317,7 +317,7 @@ def learn(coded: DataFrame, size: int, rate: float = 0.01, refining: float = 0.0
         trainer = attention.Trainer(vocabulary.params, rate)
         for _ in range(START_ROUNDS):
             trainer.see(vocabulary.class_of[np.concatenate(start)], np.array([len(x) for x in start]))
-        each = coded.select("ids").mapInArrow(partial(_refine, vocabulary, refining), LEARNED)
+        each = coded.select("ids").mapInArrow(lean(partial(_refine, vocabulary, refining)), LEARNED)
         sums = each.repartition(SLOTS, "slot").mapInArrow(_average, LEARNED).collect()  # at most SLOTS rows
         vocabulary.params = average((r["params"], r["weight"]) for r in sums)[0].astype(np.float32)
     return vocabulary
@@ -332,7 +332,7 @@ def code(docs: DataFrame, path: str, pattern: str, modulus: int = 7, held: int =
     kind = plain.schema["id"].dataType.simpleString()
     remainder = F.crc32(F.col("id").cast("string").cast("binary")) % modulus
     plain = plain.select("id", F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.coalesce(remainder != held, F.lit(False)).alias("train"), "text")
-    chunked = written(plain.mapInArrow(partial(_number, chunk_bytes), CHUNKED.format(id=kind)), folder := shared_folder(docs.sparkSession), compression="zstd")
+    chunked = written(plain.mapInArrow(lean(partial(_number, chunk_bytes)), CHUNKED.format(id=kind)), folder := shared_folder(docs.sparkSession), compression="zstd")
     words = chunked.where("word is not null")
     total = words.agg(F.sum("c")).first()[0] or 0
     # a chunk has a word once, so a word has no more rows than there are chunks
@@ -342,7 +342,7 @@ def code(docs: DataFrame, path: str, pattern: str, modulus: int = 7, held: int =
     counted = counted.select("chunk", "n", "word", "c", (F.col("first") & (F.col("c") > 0)).alias("first"), none(kind).alias("id"), none("boolean").alias("held_out"), none("binary").alias("words"))
     texts = chunked.where("words is not null").select("chunk", "n", "word", "c", none("boolean").alias("first"), "id", "held_out", "words")
     met = counted.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("words").isNotNull())
-    coded = written(met.mapInArrow(partial(_code, path, pattern), CODED.format(id=kind)), **{"compression": "zstd", "parquet.block.size": str(16 << 20)})
+    coded = written(met.mapInArrow(lean(partial(_code, path, pattern)), CODED.format(id=kind)), **{"compression": "zstd", "parquet.block.size": str(16 << 20)})
     discard(docs.sparkSession, folder)
     distinct = coded.where("fresh is not null").agg(F.sum("fresh")).first()[0] or 0
     return coded.where("fresh is null").drop("fresh"), total, distinct
@@ -351,7 +351,7 @@ def code(docs: DataFrame, path: str, pattern: str, modulus: int = 7, held: int =
 def apply(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The coded rows with their scores for their ids."""
     kind = coded.schema["id"].dataType.simpleString()
-    return coded.mapInArrow(partial(_score, vocabulary), f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    return coded.mapInArrow(lean(partial(_score, vocabulary)), f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
 
 
 def score(docs: DataFrame, path: str, pattern: str, **options) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 LENGTH = 1024
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, placement string"
@@ -197,4 +199,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     end = np.array([end_id], "<u4").tobytes()
-    return plain.mapInArrow(partial(_pack, length, tokenizer_path, end), SCHEMA.format(id=plain.schema["doc_id"].dataType.simpleString()))
+    return plain.mapInArrow(lean(partial(_pack, length, tokenizer_path, end)), SCHEMA.format(id=plain.schema["doc_id"].dataType.simpleString()))

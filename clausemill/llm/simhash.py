@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import bounded, components, small, utf8
+from .common import bounded, components, lean, small, utf8
 
 SEED = 42
 BITS = 64
@@ -286,7 +286,7 @@ def fingerprint_links(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b) links that span the components of all fingerprints (long column fp) within the radius."""
     keyed = distinct_fps.select(F.explode(block_keys(F.col("fp"), radius)).alias("k"), "fp").select("k.n", "k.bits", "fp")
     dealt = keyed.repartition("n", "bits").sortWithinPartitions("n", "bits", "fp")
-    return dealt.mapInArrow(partial(_link_buckets, radius), "a long, b long").distinct()
+    return dealt.mapInArrow(lean(partial(_link_buckets, radius)), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, radius: int = 2, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -455,14 +455,14 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         return _named_groups(docs, id_col, text_col, similarity=similarity, shingle_words=shingle_words, members=members)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    rows = checkpoint(plain.mapInArrow(partial(_sketch, shingle_words), "id long, whole binary, n long, sketch binary, bands array<long>").where("size(bands) > 0"))
+    rows = checkpoint(plain.mapInArrow(lean(partial(_sketch, shingle_words)), "id long, whole binary, n long, sketch binary, bands array<long>").where("size(bands) > 0"))
     least = rows.groupBy("whole").agg(F.min("id").alias("least"), F.min(F.struct("n", "sketch", "bands")).alias("s"))
     keyed = least.select(F.posexplode("s.bands").alias("band", "key"), F.col("s.n").alias("n"), F.col("least").alias("id"))
     keyed = keyed.select(F.col("band").cast("long").alias("band"), "key", "n", "id").repartition("band", "key").sortWithinPartitions("band", "key", "n", "id")
-    shared = keyed.mapInArrow(partial(_blocks, similarity, members), "band long, key long, part long, id long")
+    shared = keyed.mapInArrow(lean(partial(_blocks, similarity, members)), "band long, key long, part long, id long")
     sketches = least.select(F.col("least").alias("id"), "s.n", "s.sketch")
     dealt = shared.join(sketches, "id").select("band", "key", "part", "id", "n", "sketch").repartition("band", "key", "part").sortWithinPartitions("band", "key", "part")
-    maybe = components(dealt.mapInArrow(partial(_screen, similarity), "a long, b long").where("a <> b").distinct())
+    maybe = components(dealt.mapInArrow(lean(partial(_screen, similarity)), "a long, b long").where("a <> b").distinct())
     # each group of possible pairs is verified as a whole: in one part, or in the pairs of its blocks if it is large
     sizes = maybe.groupBy("root").agg(F.ceil(F.count("*") / members).cast("long").alias("blocks"))
     blocked = maybe.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
@@ -470,7 +470,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     blocked = blocked.select("root", F.col("node").alias("id"), "blocks", "block", other.alias("other"))
     blocked = blocked.select("root", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("part"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id")
     texts = bounded(blocked).join(plain, "id").select("root", "part", "side", "id", "text").repartition("root", "part").sortWithinPartitions("root", "part")
-    similar = texts.mapInArrow(partial(_agree, shingle_words, similarity), "a long, b long").where("a <> b")
+    similar = texts.mapInArrow(lean(partial(_agree, shingle_words, similarity)), "a long, b long").where("a <> b")
     equal = rows.join(least.select("whole", "least"), "whole").select(F.col("id").alias("a"), F.col("least").alias("b")).where("a <> b")
     roots = components(similar.unionByName(equal))
     ids = plain.select("id")
