@@ -63,7 +63,9 @@ def literal(x: object) -> str:
         return str(x).upper()
     if isinstance(x, (list, tuple)):
         return "[" + ", ".join(map(literal, x)) + "]"
-    return str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
+    if isinstance(x, float):
+        return f"{x!r}::DOUBLE"
+    return str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 
 
 def values(name: str, columns: str, rows: list[tuple]) -> str:
@@ -645,4 +647,12 @@ def subwords_by_two_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sub.with_public(sub.subword_table(corpus.common_words(f, docs), corpus.rare_words(f), merges))
 
 
+#: Literals are 32-bit integers in SQL; these columns are 64-bit ones.
+LONG = {
+    "contract_search": "doc_id", "entity_table_of_models": "sent_id", "contract_entities": "doc_id", "contract_obligations": "doc_id", "contract_amount_lines": "doc_id",
+    "contract_numbers": "doc_id money dates durations other_numbers", "ocr_report": "pages ocr_pages ocr_repairs ocr_unresolved_amounts", "parsed_ngrams": "frequency",
+}
+for _name, _columns in LONG.items():
+    ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _columns.split())}) FROM ({ORACLES[_name]})"
+
 __all__ = ["ORACLES", "QUERIES"]
