@@ -11,7 +11,7 @@ from ..functions import kernels as K
 from ..functions import text as T
 from ..kernels.words import DOMAIN_TAGS, FUNCTION_WORDS
 from ..operators import corpus, evaluate, extract, search, subwords, tagging
-from ..session import table
+from ..session import spread, table
 from ..sources.readers import html_text
 from .prepared import prepared
 
@@ -61,7 +61,7 @@ EVERY = NATIVE | {name: K.tokenize(name) for name in ("treebank", "rules", "cust
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
