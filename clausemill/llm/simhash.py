@@ -11,6 +11,7 @@ word of pairs at a time, and a block is abandoned as soon as every pair in it ex
 * `similar_groups` serves wide radii, where such keys would be too short: its buckets are bands of minima of the
   same shingle hashes. Every pair of a bucket is looked at; sizes and parity sketches of the distinct shingles rule out
   only pairs that can't be similar, and the Jaccard similarity of the whole shingle sets decides on the others.
+* `copy_groups` takes the links of both: near fingerprints, and beyond their radius similar shingle sets.
 
 Defined cases: a null text is an empty one; without words the fingerprint is zero and links like any other;
 with fewer words than a shingle the whole sequence is the one shingle. Repeated rows give repeated results. Rows
@@ -489,6 +490,22 @@ def _named_groups(docs: DataFrame, id_col: str, text_col: str, **options) -> Dat
     return each.join(groups.join(least, "component_id").select("name", "least"), "name").select(F.col("name").alias("id"), F.col("least").alias("component_id"))
 
 
+# ---- both, and what is kept ------------------------------------------------------------------------------------
+
+
+def copy_groups(docs: DataFrame, radius: int = 2, near_words: int = 3, similarity: float = 0.8, similar_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for every id with a copy: texts whose fingerprints are within the radius, or whose shingle sets are similar.
+
+    Fingerprints are those of near_groups, with all their links; similar_groups adds the pairs that lie further apart. Groups
+    that share an id are one. Texts without words and rows with a null id link nothing.
+    """
+    named = docs.where(F.col(id_col).isNotNull() & F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"))
+    near = near_groups(named, radius, near_words, id_col, text_col)
+    wide = similar_groups(named, similarity, similar_words, id_col, text_col)
+    links = [g.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")) for g in (near, wide)]
+    return components(links[0].unionByName(links[1])).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
+
+
 def once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, those with the same id and text reduced to the one whose other columns come first.
 

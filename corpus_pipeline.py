@@ -30,11 +30,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of copies: five-word shingles, similarity 0.8.
+    """One document, that with the smallest id, of each group of copies.
 
-    Rows with the same id and text stay once. Texts without words, null ones among them, and rows with a null id all stay.
+    Copies are linked by fingerprints of three-word shingles at 2 or fewer differing bits, as in op2_, and beyond that by
+    similarity 0.8 of their five-word shingles. Rows with the same id and text stay once. Texts without words, null ones
+    among them, and rows with a null id all stay.
     """
-    return simhash.keep_first(simhash.once(docs), simhash.similar_groups(docs, similarity=0.8, shingle_words=5))
+    groups = simhash.copy_groups(docs, radius=2, near_words=3, similarity=0.8, similar_words=5)
+    return simhash.keep_first(simhash.once(docs), groups)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

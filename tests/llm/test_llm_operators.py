@@ -281,6 +281,33 @@ def test_repeated_rows_stay_once(spark, edges):
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, "a b c", "de"), (1, "other words", "en"), (None, "a b c", "en"), (None, "a b c", "en"), (2, None, "en"), (3, "x y", "en")]))
 
 
+def test_near_dedup_links_near_fingerprints(spark):
+    draw = np.random.default_rng(5)
+    word = lambda n: [f"w{k}" for k in draw.integers(0, 1 << 40, n)]
+    docs = []
+    for _ in range(12):  # 0 and 1: a line repeated, other ends: near fingerprints; 1 and 2: half the repeats: similar sets as well
+        line, ends = word(12), [word(10), word(10)]
+        docs += [line * 100 + ends[0], line * 100 + ends[1], line * 50 + ends[1]]
+    for _ in range(12):  # a few words of many replaced: similar sets, but fingerprints far apart
+        text = word(100)
+        docs += [text, text[:50] + word(2) + text[52:]]
+    docs = [" ".join(d) for d in docs] + ["", " \n", "alone"]
+    sets = [frozenset(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in docs]
+    fps = [brute_fingerprint(t) for t in docs]
+    pairs = [(a, b) for a, b in combinations(range(len(docs)), 2) if sets[a] and sets[b]]
+    near = {(a, b) for a, b in pairs if (fps[a] ^ fps[b]).bit_count() <= 2}
+    alike = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near - alike and alike - near
+    want = common_roots(len(docs), sorted(near | alike))
+    for kind in ("long", "string"):
+        name = (lambda k: k) if kind == "long" else (lambda k: f"{k:03}")
+        df = spark.createDataFrame([(name(k), t) for k, t in enumerate(docs)] + [(None, docs[0])], f"doc_id {kind}, text string").repartition(3)
+        groups = dict(simhash.copy_groups(df).collect())
+        assert {k: groups.get(name(k), name(k)) for k in range(len(docs))} == {k: name(c) for k, c in enumerate(want)}
+        kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+        assert sorted(map(str, kept)) == sorted(map(str, [None, *(name(k) for k in set(want))]))
+
+
 def common_roots(n, pairs):
     root = list(range(n))
 
