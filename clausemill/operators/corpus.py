@@ -6,13 +6,16 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import kernels as K
 from ..functions import text as T
+from ..kernels import grams
 from ..kernels.words import FUNCTION_WORDS
 from ..session import checkpoint
 
@@ -144,23 +147,107 @@ def rare_words(frequencies: DataFrame, k: int = 8) -> DataFrame:
 
 def grams_of(of_sentences: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     """(doc_id, sent_id, at, n, gram), never across sentences."""
-    grams = F.concat(*[F.transform(T.ngrams(F.col("words"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in sizes])
-    return of_sentences.select("doc_id", "sent_id", F.posexplode(grams).alias("at", "g")).select("doc_id", "sent_id", "at", "g.n", "g.gram")
+    every = F.concat(*[F.transform(T.ngrams(F.col("words"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in sizes])
+    return of_sentences.select("doc_id", "sent_id", F.posexplode(every).alias("at", "g")).select("doc_id", "sent_id", "at", "g.n", "g.gram")
 
 
-def ngram_counts(of_sentences: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
-    """(n, gram, frequency, first_doc); counted on the map side before one shuffle."""
-    return grams_of(of_sentences, sizes).groupBy("n", "gram").agg(F.count("*").alias("frequency"), F.min("doc_id").alias("first_doc"))
+#: Bytes of input for each of the partitions that longer n-grams are dealt over.
+GRAMS_SHARE = 1 << 21
+
+
+def _direct(sizes: tuple[int, ...]) -> tuple[int, ...]:
+    """Sizes whose grams are counted on the map side before their shuffle; longer grams hardly repeat."""
+    return tuple(n for n in sizes if n < 2 or max(sizes) < 3)
+
+
+def _short_grams(of_sentences: DataFrame, sizes: tuple[int, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, gram, frequency, first_doc)."""
+    starts = F.concat(*[F.transform(T.ngrams(F.col("words"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in sizes])
+    each = of_sentences.select(*by, "doc_id", F.explode(starts).alias("s")).select(*by, "doc_id", "s.n", "s.gram")
+    return each.groupBy(*by, "n", "gram").agg(F.count("*").alias("frequency"), F.min("doc_id").alias("first_doc"))
+
+
+def _windows(of_sentences: DataFrame, sizes: tuple[int, ...], by: Column, *more: str, only_meaningful: bool = False) -> DataFrame:
+    """(key, w, more): of each place the longest gram that begins there, sorted, where its key and first two words belong.
+
+    Where a function word stands no meaningful gram begins.
+    """
+    low = F.array_join("words", "").rlike("[\\x00-\\x0b]")
+    words = F.when(low, F.transform("words", lambda w: reduce(lambda done, c: F.replace(done, F.lit(c), F.lit(grams.escaped(c))), grams.LOW, w))).otherwise(F.col("words"))
+    held = of_sentences.where(F.size("words") >= min(sizes)).select(by.alias("key"), *more, words.alias("words"))
+    begins = F.sequence(F.lit(1), F.size("words") - (min(sizes) - 1))
+    begins = F.filter(begins, lambda i: ~F.element_at("words", i).isin(MEANINGLESS)) if only_meaningful else begins
+    places = F.transform(begins, lambda i: F.array_join(F.slice("words", i, max(sizes)), grams.BETWEEN))
+    each = held.select("key", F.explode(places).alias("w"), *more)
+    return each.repartition(_shares(of_sentences), "key", F.substring_index("w", grams.BETWEEN, 2)).sortWithinPartitions("key", "w")
+
+
+def ngram_counts(of_sentences: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4, 5), least: int = 1, only_meaningful: bool = False, top: int | None = None) -> DataFrame:
+    """(n, gram, frequency, first_doc); those as frequent as `least`, meaningful if asked.
+
+    Each place sends the longest gram that begins there, once, to where its first two words belong. All grams that begin
+    there are its beginnings, and counted in the sorted stream without another shuffle. With `top`, of grams of more than
+    two words only such come back among which the `top` most frequent of each size are.
+    """
+    direct = _direct(sizes)
+    longer = tuple(n for n in sizes if n not in direct)
+    counts = []
+    if direct:
+        short = _short_grams(of_sentences, direct).where(F.col("frequency") >= least)
+        counts.append(meaningful(short).where("meaningful").drop("meaningful") if only_meaningful else short)
+    if longer:
+        schema = StructType([StructField("n", IntegerType()), StructField("gram", ArrayType(StringType())), StructField("frequency", LongType()), StructField("first_doc", of_sentences.schema["doc_id"].dataType)])
+        counts.append(_windows(of_sentences, longer, F.lit(""), "doc_id", only_meaningful=only_meaningful).mapInArrow(partial(_gram_rows, longer, least, only_meaningful, top), schema))
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _gram_rows(sizes: tuple[int, ...], least: int, only_meaningful: bool, top: int | None, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for g in grams.counted(parts, sizes, MEANINGLESS):
+        if least > 1 or only_meaningful:
+            g = g.where(np.flatnonzero((g.frequency >= least) & (g.meaningful() if only_meaningful else True)))
+        g = grams.most_frequent(g, top) if top else g
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g.frequency), g.n, np.int32)), g.grams(), pa.array(g.frequency), g.first], names=["n", "gram", "frequency", "first_doc"])
+
+
+def ngram_sizes(of_sentences: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4, 5), by: str | None = None) -> DataFrame:
+    """ngram_summary() of all grams (of each value of a text column): summed where they are counted, so that no gram is a row."""
+    direct = _direct(sizes)
+    longer = tuple(n for n in sizes if n not in direct)
+    key = F.col(by) if by else F.lit("")
+    names = ("total", "unique_grams", "meaningful_grams")
+    sums = []
+    if direct:
+        sums.append(ngram_summary(_short_grams(of_sentences.withColumn("key", key), direct, ("key",)), ("key",)))
+    if longer:
+        sums.append(_windows(of_sentences, longer, key).mapInArrow(partial(_gram_sums, longer), "key string, n int, total long, unique_grams long, meaningful_grams long"))
+    total = reduce(DataFrame.unionByName, sums).groupBy("key", "n").agg(*[F.sum(c).alias(c) for c in names])
+    return total.select(*([F.col("key").alias(by)] if by else []), "n", *names)
+
+
+def _gram_sums(sizes: tuple[int, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[tuple, np.ndarray] = {}
+    for g in grams.counted(parts, sizes, MEANINGLESS):
+        sums[g.key, g.n] = sums.get((g.key, g.n), 0) + np.array([g.frequency.sum(), len(g.frequency), (g.meaningful() & (g.frequency >= 2)).sum()])
+    rows = [(key, n, *v.tolist()) for (key, n), v in sums.items()]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["key", "n", "total", "unique_grams", "meaningful_grams"])
+
+
+def _shares(rows: DataFrame) -> int:
+    """How many partitions rows are dealt over: by the size of what they are read from, where that is known."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, min(4096, size // GRAMS_SHARE)) if size < 1 << 50 else least
 
 
 def meaningful(grams: DataFrame) -> DataFrame:
     return grams.withColumn("meaningful", T.is_meaningful(F.col("gram"), MEANINGLESS))
 
 
-def ngram_summary(grams: DataFrame) -> DataFrame:
+def ngram_summary(grams: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Total, unique and meaningful (twice or more) n-grams for each n."""
     good = meaningful(grams)
-    return good.groupBy("n").agg(F.sum("frequency").alias("total"), F.count("*").alias("unique_grams"), F.count_if((F.col("frequency") >= 2) & F.col("meaningful")).alias("meaningful_grams"))
+    return good.groupBy(*by, "n").agg(F.sum("frequency").alias("total"), F.count("*").alias("unique_grams"), F.count_if((F.col("frequency") >= 2) & F.col("meaningful")).alias("meaningful_grams"))
 
 
 def top_ngrams(grams: DataFrame, of_sentences: DataFrame, k: int = 10) -> DataFrame:
@@ -178,9 +265,9 @@ def top_ngrams(grams: DataFrame, of_sentences: DataFrame, k: int = 10) -> DataFr
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select("n", "rank", F.array_join("gram", " ").alias("ngram"), "frequency")
 
 
-def dictionary_growth(grams: DataFrame) -> DataFrame:
-    """Each n-gram dictionary's size against that of single words."""
-    sizes = grams.groupBy("n").agg(F.count("*").alias("size"))
+def dictionary_growth(sums: DataFrame) -> DataFrame:
+    """Each n-gram dictionary's size against that of single words, from ngram_sizes() or ngram_summary()."""
+    sizes = sums.select("n", F.col("unique_grams").alias("size"))
     single = sizes.where("n = 1").select(F.col("size").alias("single"))
     return sizes.join(single, F.lit(True)).select("n", "size", (F.col("size") / F.col("single")).alias("growth"))
 
